@@ -14,6 +14,7 @@ from wavelane.functions.ordinals import null_safe_join, ordinal
 # Fixed value: multiplier of the xorshift-multiply mix; below 2^31, so products fit BIGINT.
 MULTIPLIER = 73244475
 WORD = 4294967296
+REPLICATE_BLOCK = 50
 
 
 def mix(state: Column) -> Column:
@@ -52,7 +53,8 @@ def percentile_ci(
 ) -> DataFrame:
     """Interval of sum(sums)/sum(count) over resampled clusters, per key.
 
-    ``clusters`` has one row per (keys, cluster). One resample of the clusters serves all
+    The drawn slots meet the cluster values in an equi-join on the drawn position: broadcast by
+    AQE while the clusters are few, an even shuffle otherwise. ``clusters`` has one row per (keys, cluster). One resample of the clusters serves all
     ``sums`` of a key. ``label`` names the key columns that enter the seed (default: all of
     them), so keys outside ``label`` share their draws. A single cluster gives (mean, mean).
     Returns ``keys, clusters, <sum>_mean, <sum>_lo, <sum>_hi``.
@@ -61,22 +63,30 @@ def percentile_ci(
     tail = (1.0 - confidence) / 2.0
     placed = ordinal(clusters, keys, order, bucket, "_pos", total="_n").withColumn("_ix", F.col("_pos") - 1)
     seeded = label_seed(seed, *[F.col(k).cast("string") for k in label])
+    spark = clusters.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = -(-replicates // REPLICATE_BLOCK)
     drawn = (
         placed.select(*keys, "_ix", "_n")
         .withColumn("_seed", seeded)
-        .withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        .withColumn("_ix", draw_index(F.col("_seed"), F.col("_rep"), F.col("_ix"), F.col("_n")))
-        .groupBy(*keys, "_rep", "_ix")
-        .agg(F.count(F.lit(1)).alias("_times"))
+        .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .repartition(parts, "_ix", "_blk")
+        .withColumn(
+            "_rep",
+            F.explode(
+                F.sequence(
+                    F.col("_blk") * REPLICATE_BLOCK,
+                    F.least(F.col("_blk") * REPLICATE_BLOCK + REPLICATE_BLOCK, F.lit(replicates)) - 1,
+                )
+            ),
+        )
+        .select(*keys, "_rep", draw_index(F.col("_seed"), F.col("_rep"), F.col("_ix"), F.col("_n")).alias("_ix"))
     )
     values = placed.select(*keys, "_ix", *sums, count)
     per_rep = (
         null_safe_join(drawn, values, [*keys, "_ix"])
         .groupBy(*keys, "_rep")
-        .agg(
-            F.sum(F.col(count) * F.col("_times")).alias("_count"),
-            *[F.sum(F.col(s) * F.col("_times")).alias(s) for s in sums],
-        )
+        .agg(F.sum(count).alias("_count"), *[F.sum(s).alias(s) for s in sums])
     )
     bounds = per_rep.groupBy(*keys).agg(
         *[

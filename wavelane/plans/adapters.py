@@ -65,6 +65,10 @@ SELECT row_id, track_id, corpus, codec_id, quality, sample_rate, channel_role, b
 FROM metric_rows
 """
 
+SQL["pairs"] = """
+SELECT m.*, c.delta AS control FROM metric_rows m JOIN control_rows c USING (row_id)
+"""
+
 SQL["manifest"] = """
 SELECT m.row_id, corpus || ':' || CASE WHEN m.row_id % 97 = 0 THEN 'x' ELSE '' END || CAST(track_id AS VARCHAR(20)) AS track_id,
        corpus, 2 AS schema_version,
@@ -188,6 +192,9 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
         return out.withColumn("frame", F.col("frame") - 1)
     if name == "triples":
         return consecutive(load(spark, sf, "spectra"))
+    if name == "pairs":
+        control = load(spark, sf, "control_rows").select("row_id", F.col("delta").alias("control"))
+        return load(spark, sf, "metric_rows").join(control, "row_id")
     return _same_text(spark, sf, name)
 
 
