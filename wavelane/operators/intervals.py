@@ -6,10 +6,11 @@ fractions. Long sources are cut into time blocks; no task holds a whole source.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelane.functions.ordinals import null_safe_join, running_extreme, running_sum
+from wavelane.session import cut_lineage
 
 # Ticks per sample for the two supported rates.
 TICKS_44100 = 160
@@ -94,21 +95,22 @@ def allowed_starts(rows: DataFrame, protected: DataFrame, source: str, length: i
 
     ``rows`` needs ``row_id, source, sample_rate, origin, length_samples``; protected time is in
     ticks. Forbidden starts of each merged span are the integers strictly between
-    span.lo - crop and span.hi, in the row's own sample clock.
+    span.lo - crop and span.hi, in the row's own sample clock. The merged spans and the holes are
+    written out between steps: each feeds several branches of the next one.
     """
     ticks = ticks_per_sample(F.col("sample_rate"))
-    spans = merged(protected, [source])
+    spans = cut_lineage(merged(protected, [source]))
     base = rows.filter(F.col("length_samples") >= length).withColumn("_max", F.col("length_samples") - length)
     near = base.join(spans, source, "left")
     low = F.floor(F.col("lo") / ticks) - F.col("origin") - length + 1
     high = F.ceil(F.col("hi") / ticks) - F.col("origin") - 1
-    blocked = (
+    blocked = cut_lineage(
         near.withColumn("a", F.greatest(low, F.lit(0))).withColumn("z", F.least(high, F.col("_max")))
         .filter(F.col("lo").isNotNull() & (F.col("a") <= F.col("z")))
         .select("row_id", "a", F.col("z") + 1)
         .toDF("row_id", "lo_s", "hi_s")
     )
-    holes = merged(blocked, ["row_id"], "lo_s", "hi_s", block=1 << 22)
+    holes = cut_lineage(merged(blocked, ["row_id"], "lo_s", "hi_s", block=1 << 22))
     edges = holes.select("row_id", F.col("lo").alias("stop"), F.col("hi").alias("resume")).unionByName(
         base.select("row_id", (F.col("_max") + 1).alias("stop"), F.lit(None).cast("bigint").alias("resume"))
     )
