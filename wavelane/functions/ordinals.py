@@ -32,21 +32,21 @@ def ordinal(
     Ties must be broken by ``order`` itself. ``total`` also adds the group's row count.
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    tagged = df.withColumn("_b", bucket)
-    inner = Window.partitionBy(*keys, "_b").orderBy(*order)
-    ranked = tagged.withColumn("_r", F.row_number().over(inner))
-    sizes = tagged.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    by_key = Window.partitionBy(*keys).orderBy("_b")
+    tagged = df.withColumn("__b", bucket)
+    inner = Window.partitionBy(*keys, "__b").orderBy(*order)
+    ranked = tagged.withColumn("__r", F.row_number().over(inner))
+    sizes = tagged.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    by_key = Window.partitionBy(*keys).orderBy("__b")
     offsets = sizes.select(
         *keys,
-        "_b",
-        (F.sum("_n").over(by_key) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
+        "__b",
+        (F.sum("__n").over(by_key) - F.col("__n")).alias("__before"),
+        F.sum("__n").over(Window.partitionBy(*keys)).alias("__total"),
     )
-    out = null_safe_join(ranked, offsets, [*keys, "_b"]).withColumn(name, F.col("_r") + F.col("_before"))
+    out = null_safe_join(ranked, offsets, [*keys, "__b"]).withColumn(name, F.col("__r") + F.col("__before"))
     if total:
-        out = out.withColumn(total, F.col("_total"))
-    return out.drop("_b", "_r", "_before", "_total")
+        out = out.withColumn(total, F.col("__total"))
+    return out.drop("__b", "__r", "__before", "__total")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -82,10 +82,10 @@ def with_halo(
             F.when((offset < after) & (own > 0), F.struct((own - 1).alias("b"), F.lit(True).alias("h"))).otherwise(none)
         )
     return (
-        df.withColumn("_c", F.explode(F.array_compact(F.array(*copies))))
-        .withColumn("_block", F.col("_c.b"))
-        .withColumn("_halo", F.col("_c.h"))
-        .drop("_c")
+        df.withColumn("__c", F.explode(F.array_compact(F.array(*copies))))
+        .withColumn("_block", F.col("__c.b"))
+        .withColumn("_halo", F.col("__c.h"))
+        .drop("__c")
     )
 
 
@@ -104,16 +104,16 @@ def running_sum(
     df: DataFrame, keys: list[str], order: str, value: Column, name: str, bucket: Column
 ) -> DataFrame:
     """Inclusive running sum per key: in-block window plus the sum of the earlier blocks."""
-    tagged = df.withColumn("_b", bucket).withColumn("_v", value)
-    inner = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = tagged.withColumn("_s", F.sum("_v").over(inner))
-    totals = tagged.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t"))
-    outer = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, "_b", F.coalesce(F.sum("_t").over(outer), F.lit(0)).alias("_before"))
+    tagged = df.withColumn("__b", bucket).withColumn("__v", value)
+    inner = Window.partitionBy(*keys, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = tagged.withColumn("__s", F.sum("__v").over(inner))
+    totals = tagged.groupBy(*keys, "__b").agg(F.sum("__v").alias("__t"))
+    outer = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*keys, "__b", F.coalesce(F.sum("__t").over(outer), F.lit(0)).alias("__before"))
     return (
-        null_safe_join(local, carried, [*keys, "_b"])
-        .withColumn(name, F.col("_s") + F.col("_before"))
-        .drop("_b", "_v", "_s", "_before")
+        null_safe_join(local, carried, [*keys, "__b"])
+        .withColumn(name, F.col("__s") + F.col("__before"))
+        .drop("__b", "__v", "__s", "__before")
     )
 
 
@@ -131,16 +131,16 @@ def running_extreme(
     fold = F.max if kind == "max" else F.min
     join2 = F.greatest if kind == "max" else F.least
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    tagged = df.withColumn("_b", bucket).withColumn("_v", value)
-    inner = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(
+    tagged = df.withColumn("__b", bucket).withColumn("__v", value)
+    inner = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1 if strict else 0
     )
-    local = tagged.withColumn("_s", fold("_v").over(inner))
-    totals = tagged.groupBy(*keys, "_b").agg(fold("_v").alias("_t"))
-    outer = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, "_b", fold("_t").over(outer).alias("_before"))
+    local = tagged.withColumn("__s", fold("__v").over(inner))
+    totals = tagged.groupBy(*keys, "__b").agg(fold("__v").alias("__t"))
+    outer = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*keys, "__b", fold("__t").over(outer).alias("__before"))
     return (
-        null_safe_join(local, carried, [*keys, "_b"])
-        .withColumn(name, join2("_s", "_before"))
-        .drop("_b", "_v", "_s", "_before")
+        null_safe_join(local, carried, [*keys, "__b"])
+        .withColumn(name, join2("__s", "__before"))
+        .drop("__b", "__v", "__s", "__before")
     )
