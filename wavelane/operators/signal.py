@@ -18,6 +18,7 @@ from wavelane.functions.numeric import clamp, db_power, ratio
 from wavelane.functions.ordinals import lagged, with_halo
 from wavelane.operators import sequence
 from wavelane.operators import spectrum as sp
+from wavelane.session import cut_lineage
 
 
 def hann(n: int) -> np.ndarray:
@@ -476,16 +477,18 @@ def restore_batch(df: DataFrame, keys: list[str], ordinal: str, value: str, n: i
 
     Causal frames, bandwidth detection with smoothing and hangover, spectral extension blended
     above the cutoff, phase blending by surviving power, overlap-add, limiter and wet/dry gate.
-    Output has the input's length and does not depend on how the recording is chunked.
+    Output has the input's length and does not depend on how the recording is chunked. Spectra,
+    gated frames and the mixed streams are written out between stages, as each feeds several.
     """
     hz, bins = rate / n, n // 2 + 1
     frames = sequence.frame_signal(df, keys, ordinal, value, n, hop, causal=True)
     quiet = F.array_max(F.transform("samples", F.abs)) <= 1e-10
-    spectra = stft(frames).withColumn("silent", quiet)
+    spectra = cut_lineage(stft(frames).withColumn("silent", quiet))
     seen = sp.detect_bandwidth(spectra, "log_magnitude", hz, threshold_db)
     smooth = sequence.ema(seen, keys, "frame", "detected_hz", 0.1, F.col("silent"))
     seen = seen.join(smooth, [*keys, "frame"]).withColumn("magnitude", F.transform("log_magnitude", lambda d: F.pow(F.lit(10.0), d / 20)))
-    gated = sequence.hangover(seen, keys, "frame", F.col("smoothed") / (rate / 2) < min_ratio, F.col("silent"), hangover)
+    gated = sequence.hangover(cut_lineage(seen), keys, "frame", F.col("smoothed") / (rate / 2) < min_ratio, F.col("silent"), hangover)
+    gated = cut_lineage(gated)
     ext = spectral_extension(gated, keys, n, hop, rate).withColumn("w", sp.crossover_weights(F.col("smoothed"), bins, hz, width))
     better = F.zip_with("candidate", "magnitude", lambda a, b: a > b)
     gen = F.zip_with("candidate", "magnitude", lambda a, b: F.greatest(a, b))
@@ -501,6 +504,7 @@ def restore_batch(df: DataFrame, keys: list[str], ordinal: str, value: str, n: i
     joined = df.select(*keys, ordinal, F.col(value).alias("dry")).join(wet, [*keys, ordinal])
     request = gated.select(*keys, F.col("frame").alias("_hop"), F.col("active").alias("request"))
     joined = joined.withColumn("_hop", F.floor(F.col(ordinal) / hop)).join(request, [*keys, "_hop"]).drop("_hop")
+    joined = cut_lineage(joined)
     mix = sequence.release_mix(joined, keys, ordinal, F.col("request"), hold, ramp)
     m = F.col("mix")
     return joined.join(mix, [*keys, ordinal]).select(*keys, ordinal, "dry", "wet", "mix", (F.col("dry") * (1 - m) + F.col("wet") * m).alias("output"))

@@ -137,9 +137,6 @@ def f22_inverse(spark, sf):
     return fixed(back.groupBy(*K).agg(F.max(F.array_max(err)).alias("max_inverse_error")), ["max_inverse_error"])
 
 
-DELAYED = "CASE WHEN sample_ix >= track_id % 4 THEN lag(x, CAST(track_id % 4 AS INT)) OVER (PARTITION BY track_id, channel ORDER BY sample_ix) ELSE 0 END"
-
-
 def delayed(spark, sf):
     """Excerpts and copies delayed by track_id mod 4 samples (zero filled)."""
     c = clips(spark, sf).withColumn("k", (F.col("track_id") % 4).cast("int"))
