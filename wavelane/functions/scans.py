@@ -3,29 +3,36 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelane.functions.ordinals import BLOCK
 
 
-def _compose(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix compositions of the maps s -> a s + b."""
-    big_a, big_b = np.empty(len(a)), np.empty(len(b))
-    x, y = 1.0, 0.0
-    for i in range(len(a)):
-        x, y = a[i] * x, a[i] * y + b[i]
-        big_a[i], big_b[i] = x, y
-    return big_a, big_b
+def _running(batches, ids: list[str], a: str, b: str, start: tuple[float, float], emit):
+    """Compose maps row by row over sorted batches, restarting whenever the id columns change."""
+    last, x, y = None, *start
+    for pdf in batches:
+        xs, ys = np.empty(len(pdf)), np.empty(len(pdf))
+        rows = zip(zip(*[pdf[c] for c in ids]), pdf[a].to_numpy(), pdf[b].to_numpy())
+        for i, (ident, p, q) in enumerate(rows):
+            if ident != last:
+                last, (x, y) = ident, start
+            if emit == "before":
+                xs[i], ys[i] = x, y
+            x, y = p * x, p * y + q
+            if emit == "after":
+                xs[i], ys[i] = x, y
+        pdf[a], pdf[b] = xs, ys
+        yield pdf
 
 
 def affine_scan(df: DataFrame, keys: list[str], ordinal: str, a: str, b: str, initial: float, name: str, rows: int = BLOCK) -> DataFrame:
     """``keys, ordinal, name``: the state after each row.
 
-    Blocks of the ordinal compose their own maps in parallel; one summary row per block is
-    scanned per key for the carried state; a join applies it. A key of any length uses many
-    tasks. Ordinals need not be dense, only unique and ordered.
+    Blocks of the ordinal compose their own maps in parallel, streaming through sorted
+    partitions; one summary row per block is scanned per key for the carried state; a join
+    applies it. A key of any length uses many tasks. Ordinals need only be unique and ordered.
     """
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     head = ", ".join(f"{k} {types[k]}" for k in keys)
@@ -33,21 +40,19 @@ def affine_scan(df: DataFrame, keys: list[str], ordinal: str, a: str, b: str, in
         "_b", F.floor(F.col(ordinal) / rows).cast("bigint")
     )
 
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ordinal)
-        pdf["_a"], pdf["_m"] = _compose(pdf["_a"].to_numpy(), pdf["_m"].to_numpy())
-        return pdf
+    block_ids = [*keys, "_b"]
 
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_b")
-        big_a, big_b = _compose(pdf["_ta"].to_numpy(), pdf["_tm"].to_numpy())
-        after = big_a * initial + big_b
-        pdf["_in"] = np.concatenate([[initial], after[:-1]])
-        return pdf[[*keys, "_b", "_in"]]
+    def local(batches):
+        return _running(batches, block_ids, "_a", "_m", (1.0, 0.0), "after")
+
+    def carry(batches):
+        for pdf in _running(batches, keys, "_ta", "_tm", (1.0, 0.0), "before"):
+            pdf["_in"] = pdf["_ta"] * initial + pdf["_tm"]
+            yield pdf[[*keys, "_b", "_in"]]
 
     schema = f"{head}, {ordinal} {types[ordinal]}, _a double, _m double, _b bigint"
-    mapped = slim.groupBy(*keys, "_b").applyInPandas(local, schema)
+    mapped = slim.repartition(*block_ids).sortWithinPartitions(*block_ids, ordinal).mapInPandas(local, schema)
     last = mapped.groupBy(*keys, "_b").agg(F.max_by(F.struct("_a", "_m"), ordinal).alias("_l"))
     ends = last.select(*keys, "_b", F.col("_l._a").alias("_ta"), F.col("_l._m").alias("_tm"))
-    carried = ends.groupBy(*keys).applyInPandas(carry, f"{head}, _b bigint, _in double")
+    carried = ends.repartition(*keys).sortWithinPartitions(*block_ids).mapInPandas(carry, f"{head}, _b bigint, _in double")
     return mapped.join(carried, [*keys, "_b"]).select(*keys, ordinal, (F.col("_a") * F.col("_in") + F.col("_m")).alias(name))

@@ -17,6 +17,8 @@ R = ["run_id"]
 
 
 def hops(spark, sf):
+    """Hop events with UTC timestamps."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return monitors.event_timestamp(load(spark, sf, "hops"))
 
 
@@ -28,6 +30,7 @@ def text_time(df, *columns):
 
 def event_stream(spark, sf):
     """The event table as a file stream with hop columns (sequence numbers are event ids)."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     events = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
     return events.select(
