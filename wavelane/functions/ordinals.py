@@ -56,10 +56,15 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     for k in keys:
         term = left[k].eqNullSafe(renamed[f"_k_{k}"])
         condition = term if condition is None else condition & term
-    joined = left.join(renamed, condition, how) if keys else left.crossJoin(renamed)
+    joined = left.join(renamed, condition, how) if keys else attach_row(left, renamed)
     return joined.drop(*[f"_k_{k}" for k in keys])
 
 
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a keyless aggregate: exactly one row, so it is safe to send everywhere."""
+    return df.join(F.broadcast(one_row))
+
+
 def with_halo(
     df: DataFrame, ordinal_column: str, before: int, rows: int = BLOCK, after: int = 0
 ) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wavelane.functions import bootstrap
 from wavelane.functions.numeric import finite, ratio
-from wavelane.functions.ordinals import null_safe_join, ordinal
+from wavelane.functions.ordinals import attach_row, null_safe_join
 from wavelane.functions.quantiles import exact_quantiles, quantile_columns
 
 
@@ -257,7 +257,7 @@ def dominance(approved: DataFrame, limits: dict[str, float]) -> DataFrame:
     rows = part("artist-dominance", F.col("artist_id")).unionByName(part("genre-dominance", F.col("genre"))).unionByName(
         part("unknown-region", F.col("music_region")).filter(F.col("name") == "unknown")
     )
-    shares = rows.crossJoin(F.broadcast(total)).withColumn("share", F.col("_n") / F.col("_all"))
+    shares = attach_row(rows, total).withColumn("share", F.col("_n") / F.col("_all"))
     return shares.filter(F.col("share") > F.col("limit")).select("metric", "name", "share", "limit")
 
 
@@ -292,7 +292,7 @@ def speech_mix_ratios(df: DataFrame, synthetic: float = 0.0) -> DataFrame:
     )
     music = F.lit(1.0 - synthetic)
     speech = music * F.col("_small") / F.col("_all")
-    return counts.crossJoin(F.broadcast(total)).select(
+    return attach_row(counts, total).select(
         "genre", "recordings", (music / (1 + speech)).alias("music_ratio"), (speech / (1 + speech)).alias("speech_ratio"),
         (music / (1 + speech) * F.col("recordings") / F.col("_all")).alias("genre_ratio"),
         (F.col("recordings") == F.col("_small")).alias("smallest"),
@@ -388,7 +388,7 @@ def attribution(scores: DataFrame, metric: str = "value") -> DataFrame:
         count_if(F.col("a") < F.col("b")).alias("better_sources"), count_if(F.col("a") > F.col("b")).alias("worse_sources"),
     )
     raw = out.filter(F.col("stage") == "raw").select("role", F.col("delta").alias("_raw"))
-    return out.join(F.broadcast(raw), "role", "left").withColumn("native_minus_raw", F.when(F.col("stage") == "native", F.col("delta") - F.col("_raw"))).drop("_raw")
+    return out.join(raw, "role", "left").withColumn("native_minus_raw", F.when(F.col("stage") == "native", F.col("delta") - F.col("_raw"))).drop("_raw")
 
 
 def source_lists(scores: DataFrame) -> DataFrame:
@@ -429,7 +429,7 @@ def release_gates(overall: DataFrame, strata: DataFrame, rows: DataFrame, thresh
         F.count("perceptual").alias("scored"), F.count(F.lit(1)).alias("rows"), F.avg("perceptual").alias("perceptual"),
     )
     s = strata.agg(count_if(F.coalesce(F.col("lo") > 0, F.lit(True))).alias("regressions"), F.countDistinct("dimension").alias("dims"))
-    wide = overall.crossJoin(s).crossJoin(r)
+    wide = attach_row(attach_row(overall, s), r)
     t = thresholds
     checks = {
         "mean_high_band_improvement": F.col("mean_delta") < t["mean_delta_max"],

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavelane.functions.ordinals import null_safe_join
+from wavelane.functions.ordinals import attach_row, null_safe_join
 from wavelane.functions.quantiles import quantile_columns
 from wavelane.operators import sequence
 from wavelane.operators.aggregates import count_if, distribution
@@ -66,8 +66,7 @@ def report_set_checks(cases: DataFrame, required_cases: Sequence[str], platforms
         count_if(F.col("failed")).alias("failed_gates"),
     )
     seen = cases.agg((F.lit(len(platforms)) - F.countDistinct(F.when(F.col("platform").isin(*platforms), F.col("platform")))).alias("missing_platforms"))
-    # One row each side.
-    joined = wide.join(seen)
+    joined = attach_row(wide, seen)
     names = ["wrong_case_set", "repeated_hardware", "peak_not_case_maximum", "failed_gates", "missing_platforms"]
     return joined.unpivot([], names, "check", "failures")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelane.functions.hashing import hash_integer, set_hash, text_hash
@@ -163,7 +163,7 @@ def disjoint_roles(draws: DataFrame, roles: int, anchor: int, keys: Sequence[str
         if picked:
             members = draws.filter(F.col("draw_id").isin(picked))
             for k in keys:
-                clash = draws.join(F.broadcast(members.select(k).distinct()), k, "left_semi").select("draw_id").distinct()
+                clash = draws.join(members.select(k), k, "left_semi").select("draw_id").distinct()
                 free = free.join(clash, "draw_id", "left_anti")
             free = free.filter(~F.col("draw_id").isin(picked))
         start = anchor + r * total // roles

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelane.functions.hashing import row_digest, text_hash
-from wavelane.functions.ordinals import ordinal
+from wavelane.functions.ordinals import attach_row, ordinal
 from wavelane.operators.rules import first_reason
 
 
@@ -83,7 +83,7 @@ def match_template(tracks: DataFrame, templates: DataFrame, rows: DataFrame, cro
     Tracks without a matching row come back with NULL row_id.
     """
     size = templates.agg(F.count(F.lit(1)).alias("_size"))
-    ranked = ordinal(tracks.select("track_id"), [], ["track_id"], bucket, "_rank").join(F.broadcast(size))
+    ranked = attach_row(ordinal(tracks.select("track_id"), [], ["track_id"], bucket, "_rank"), size)
     wanted = ranked.withColumn("template_ix", F.pmod(F.col("_rank") - 1, F.col("_size"))).join(
         templates.select("template_ix", "codec_id", "channel_role", F.col("start").alias("_ts"), F.col("length_samples").alias("_tl")), "template_ix"
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelane.functions.hashing import hash_bucket, hash_integer, hash_uniform, text_hash
-from wavelane.functions.ordinals import block, null_safe_join, ordinal, running_sum
+from wavelane.functions.ordinals import attach_row, block, null_safe_join, ordinal, running_sum
 from wavelane.operators.intervals import locate_rank
 from wavelane.session import cut_lineage
 
@@ -50,7 +50,8 @@ def stratified_cap(df: DataFrame, strata: Sequence[str], row: str, n: int, seed:
     size = first.agg(F.count(F.lit(1)).alias("_strata"))
     flagged = null_safe_join(hashed, first, list(strata)).withColumn("mandatory", F.col("_h") == F.col("_m"))
     bucket = F.when(F.col("mandatory"), F.lit(-1)).otherwise(hash_bucket(F.col("_h")))
-    ranked = ordinal(flagged, [], ["_h"], bucket, "_pos").join(F.broadcast(size))
+    ranked = ordinal(flagged, [], ["_h"], bucket, "_pos")
+    ranked = attach_row(ranked, size)
     ok = F.when(F.col("_strata") <= n, F.col("_pos") <= n).otherwise(F.raise_error(F.lit("cap cannot preserve every stratum")).cast("boolean"))
     return ranked.filter(ok).drop("_h", "_m", "_pos", "_strata")
 
@@ -65,7 +66,7 @@ def weighted_mix(df: DataFrame, source: str, weight: str, ratios: dict[str, floa
     ratio = F.create_map(*[x for k, v in positive.items() for x in (F.lit(k), F.lit(v / total))])
     sums = df.filter(F.col(source).isin(*positive)).groupBy(source).agg(F.sum(weight).alias("_s"))
     present = sums.agg(F.count(F.lit(1)).alias("_present"))
-    checked = sums.join(F.broadcast(present)).filter(
+    checked = attach_row(sums, present).filter(
         F.when((F.col("_present") == len(positive)) & (F.col("_s") > 0), F.lit(True)).otherwise(F.raise_error(F.lit("missing positive source")).cast("boolean"))
     )
     return df.join(checked.drop("_present"), source).withColumn("probability", ratio[F.col(source)] * F.col(weight) / F.col("_s")).drop("_s")
@@ -167,7 +168,7 @@ def cycled_tracks(tracks: DataFrame, corpus: str, track: str, per_step: int, ste
         )
         free = F.pmod(-F.pmod(F.col("cycle") * n, F.lit(per_step)), F.lit(per_step))
         head = ranked.filter(F.col("_pos") < 2 * per_step)
-        flagged = head.join(F.broadcast(tail), [track, "cycle"], "left").withColumn("_clash", F.coalesce("_clash", F.lit(False)))
+        flagged = head.join(tail, [track, "cycle"], "left").withColumn("_clash", F.coalesce("_clash", F.lit(False)))
         fill = ordinal(flagged.filter(~F.col("_clash")), ["cycle"], ["_pos"], F.lit(0), "_fill").select(track, "cycle", "_fill")
         order = flagged.join(fill, [track, "cycle"], "left").withColumn(
             "_late", F.when(F.col("_fill") <= free, 0).otherwise(1)
