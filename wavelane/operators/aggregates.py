@@ -78,9 +78,8 @@ def cluster_sums(df: DataFrame, keys: Sequence[str], cluster: str, metrics: Sequ
 def stratified(df: DataFrame, cluster: str, metrics: Sequence[str], dims: Sequence[str]) -> DataFrame:
     """Cluster sums for the whole and for each value of each dimension (``dimension, stratum``)."""
     typed = df.select(cluster, *metrics, *[F.col(d).cast("string").alias(d) for d in dims])
-    slim = cluster_sums(typed, dims, cluster, metrics)
-    out = slim.groupingSets([[cluster], *[[cluster, d] for d in dims]], cluster, *dims).agg(
-        F.sum("rows").alias("rows"), *[F.sum(m).alias(m) for m in metrics], *[F.grouping(d).alias(f"_g_{d}") for d in dims]
+    out = typed.groupingSets([[cluster], *[[cluster, d] for d in dims]], cluster, *dims).agg(
+        F.count(F.lit(1)).alias("rows"), *[F.sum(m).alias(m) for m in metrics], *[F.grouping(d).alias(f"_g_{d}") for d in dims]
     )
     stratum, dimension = F.lit("all"), F.lit("overall")
     for d in dims:
