@@ -11,8 +11,10 @@ form a *region*.
    sorted by the signature order, and each row is paired with the next one.
 3. Over all trees, regions that still hold several components are finished: small ones compare
    their documents across components; documents of larger ones go through an exact join on their
-   rarest shingles (any two sets at the wanted similarity share one of those), again only across
-   components, so a large group of copies that is already connected makes no pairs.
+   rarest shingles (any two sets at the wanted similarity share one of those). There a shingle's
+   holders first meet the smallest set that holds it. Holders that no partner at the shingle's
+   best position could match are left out, then shingles whose holders are in one component, and
+   only what is left makes pairs.
 
 Pairs are first held against the signature estimate, far below the wanted similarity, then
 confirmed on the full shingle sets. A pair at 0.75 shares no region with probability below 1e-7.
@@ -43,6 +45,8 @@ REGION = 32
 #: Signature values a sorted order goes on with beyond the base.
 DEEPER = 9
 ESTIMATE = 0.5
+#: Ids that may be sent to every task to pick their texts (8 bytes each); more ids go through a shuffled join.
+SENT_IDS = 1 << 20
 
 
 def _signature_keys() -> tuple[np.ndarray, np.ndarray]:
@@ -114,10 +118,16 @@ def _likely(pairs: DataFrame, sigs: DataFrame, floor: float) -> DataFrame:
     return both.mapInPandas(run, "a bigint, b bigint")
 
 
+def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one of ``ids`` (``doc_id``); texts stay where they are while the ids are few."""
+    few = ids.count() <= SENT_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = shingle_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width)
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    sets = shingle_sets(_picked(docs, wanted), width).dropDuplicates(["doc_id"])
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sizes"))
     return shared.filter(100 * F.col("both") >= percent * (F.col("sizes") - F.col("both"))).select("a", "b")
@@ -145,21 +155,40 @@ def _labelled(rows: DataFrame, labels: DataFrame, id_column: str = "doc_id") ->
     return rows.join(named, id_column, "left").withColumn("label", F.coalesce("known", id_column)).drop("known")
 
 
-def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Exact candidates across labels: pairs of sets (``doc_id, label, shingles``) sharing a rare shingle.
+def _rare_holders(sets: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, n, s, p``: the rarest shingles of each set (``doc_id, shingles``) with their place.
 
     With all shingles in one order, rarest first, two sets of the wanted similarity share one of
-    the first ``n - ceil(percent * n / 100) + 1``. Shingles whose holders have one label are left
-    out before any pair is made.
+    the first ``n - ceil(percent * n / 100) + 1``. At the first one they share, at places ``p`` and
+    ``q``, the overlap is at most ``n - p``, and the other set has ``q`` shingles more than it; so
+    ``100 * (n - p) >= percent * (n + q)``, with ``q`` no less than the shingle's best place.
     """
-    rows = sets.select("doc_id", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    holders = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("low"), F.max("label").alias("high"))
-    ranked = rows.join(holders, "s").groupBy("doc_id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s", "low", "high"))).alias("order"))
+    rows = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    spread = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    order = rows.join(spread, "s").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("order"))
     keep = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    prefix = ranked.select("doc_id", "label", "n", F.explode(F.slice("order", F.lit(1), keep)).alias("o")).filter("o.df > 1 and o.low <> o.high").select("doc_id", "label", "n", F.col("o.s").alias("s"))
-    other = prefix.select(F.col("doc_id").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), "s")
-    near = (F.col("doc_id") < F.col("b")) & (F.col("label") != F.col("label_b")) & (100 * F.col("n") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n"))
-    return prefix.join(other, "s").filter(near).select(F.col("doc_id").alias("a"), "b").distinct()
+    placed = order.select("doc_id", "n", F.posexplode(F.slice("order", F.lit(1), keep)).alias("p", "o")).filter("o.df > 1").select("doc_id", "n", F.col("o.s").alias("s"), "p")
+    best = placed.groupBy("s").agg(F.min("p").alias("best"))
+    return placed.join(best, "s").filter(100 * (F.col("n") - F.col("p")) >= percent * (F.col("n") + F.col("best"))).drop("best")
+
+
+def _open(holders: DataFrame, labels: DataFrame) -> DataFrame:
+    """Holders with labels, without the shingles whose holders have one label; ``hub``: the smallest set."""
+    named = _labelled(holders, labels)
+    kinds = named.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("n", "doc_id")).alias("hub"))
+    return named.join(kinds.filter("low <> high").select("s", F.col("hub.doc_id").alias("hub")), "s")
+
+
+def _hub_pairs(held: DataFrame) -> DataFrame:
+    return held.filter("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+
+
+def _rare_pairs(held: DataFrame, percent: int) -> DataFrame:
+    """Exact candidates across labels that share a rare shingle."""
+    other = held.select(F.col("doc_id").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("p").alias("q"), "s")
+    room = F.least(F.col("n") - F.col("p"), F.col("n_b") - F.col("q"))
+    near = (F.col("doc_id") < F.col("b")) & (F.col("label") != F.col("label_b")) & ((100 + percent) * room >= percent * (F.col("n") + F.col("n_b")))
+    return held.join(other, "s").filter(near).select(F.col("doc_id").alias("a"), "b").distinct()
 
 
 def components(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
@@ -169,7 +198,7 @@ def components(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     classes = known.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     reps = known.join(classes, "set_key").filter("doc_id = rep").select("doc_id", "sig").dropDuplicates(["doc_id"])
 
-    trees = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), _tree_key(t, BASE)).alias("region"), _tree_key(t, BASE + DEEPER).alias("order")) for t in range(TREES)])
+    trees = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), _tree_key(t, BASE)).alias("region"), (_tree_key(t, BASE + DEEPER) if t < FIRST else F.lit(None).cast("binary")).alias("order")) for t in range(TREES)])
     rows = reps.select("doc_id", F.explode(trees).alias("x")).select("doc_id", "x.*")
     sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = cut(rows.join(sizes, "region"))
@@ -188,10 +217,13 @@ def components(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     small = rest.filter(F.col("size") <= REGION)
     other = small.select("region", F.col("doc_id").alias("b"), F.col("label").alias("label_b"))
     across = small.join(other, "region").filter((F.col("doc_id") < F.col("b")) & (F.col("label") != F.col("label_b"))).select(F.col("doc_id").alias("a"), "b").distinct()
-    large = rest.filter(F.col("size") > REGION).select("doc_id", "label").distinct()
-    sets = cut(shingle_sets(docs.join(large, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width).join(large, "doc_id"))
-    candidates = _likely(across.union(_rare_pairs(sets, percent)).distinct(), reps, ESTIMATE)
-    more = _confirmed(cut(candidates), docs, percent, width)
+    large = cut(rest.filter(F.col("size") > REGION).select("doc_id").distinct())
+    holders = cut(_rare_holders(shingle_sets(_picked(docs, large), width).dropDuplicates(["doc_id"]), percent))
+    met = across.union(_hub_pairs(_open(holders, labels))).distinct()
+    found = cut(found.union(_confirmed(cut(_likely(met, reps, ESTIMATE)), docs, percent, width)))
+    labels = connect(found)
+    rest_pairs = _rare_pairs(_open(holders, labels), percent)
+    more = _confirmed(cut(_likely(rest_pairs, reps, ESTIMATE)), docs, percent, width)
     labels = connect(found.union(more))
 
     by_class = _labelled(classes.select("set_key", F.col("rep").alias("doc_id")), labels).select("set_key", F.col("label").alias("component"))
