@@ -231,3 +231,15 @@ def components(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     group = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", group.alias("component_id"), (F.col("doc_id") == group).alias("kept"))
 
+
+
+def keep_one(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
+    """The rows of ``docs`` that have the smallest id of their group, with their own columns; of rows that repeat an id, one."""
+    gone = cut(components(docs, percent, width).filter("not kept").select("doc_id").distinct())
+    left = docs.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = cut(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+    few = repeated.count()
+    if not few:
+        return left
+    single = left.join(F.broadcast(repeated) if few <= SENT_IDS else repeated, "doc_id", "left_anti").select(*docs.columns)
+    return single.unionByName(_picked(left, repeated).select(*docs.columns).dropDuplicates(["doc_id"]))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavelane.llm import backoff, forest, mixing, quality, secret_scan, simple8b
+from wavelane.llm import backoff, forest, mixing, pieces, quality, secret_scan, simple8b
 from wavelane.llm.common import own_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op7_quality_rules"] = quality.sql()
 
 
+@query
+def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.sample(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), with_ids=False)
+
+
 @query
 def op9_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.scores(table(spark, sf_dir, "documents"), backoff.seventh_held_out())
