@@ -147,7 +147,7 @@ MARKED = (
     f"""<body><p data-keep="1">{_SHORT}</p><p data-keep="1">Nothing more to say.</p></body>""",
     f"""<body><div data-keep="1">{_SHORT} All went home.</div></body>""",
     f"""<body><article data-keep="1"><p>{_LONG}</p><aside data-keep="0">{_LONG}</aside><p>{_SHORT}</p><nav data-keep="0"><a href=/1>Next</a> part</nav><form data-keep="0"><p>Your mail</p><p>{_LONG}</p></form><p>{_LONG}</p><footer data-keep="0"><p>{_LONG}</p><p>{_SHORT}</p></footer></article></body>""",
-    f"""<body><main data-keep="1"><h1>Bread</h1><p>{_LONG}</p><aside data-keep="0"><h3>{_SHORT}</h3><p>{_LONG}</p></aside><ul><li><a href=/w>Wool</a></li><li>Bread and news</li></ul><p>{_SHORT}</p><form data-keep="0">Mail <button>Go</button></form></main><p><a href=/i>Imprint</a></p></body>""",
+    f"""<body><main data-keep="1"><h1>Bread</h1><p>{_LONG}</p><aside data-keep="0"><h3>{_SHORT}</h3><p>{_LONG}</p></aside><ul><li><a href=/w>Wool</a></li><li>Bread and news</li></ul><p><a href=/m>The map of all roads</a></p><p><a href=/n>A list of towns</a></p><p>{_SHORT}</p><form data-keep="0">Mail <button>Go</button></form></main><p><a href=/i>Imprint</a></p></body>""",
 )
 
 

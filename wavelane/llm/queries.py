@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavelane.llm import backoff, forest, mixing, multiset, pages, pieces, quality, secret_scan, simple8b
+from wavelane.llm import backoff, forest, mixing, multiset, notices, pages, pieces, quality, secret_scan, simple8b
 from wavelane.llm.common import own_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,11 @@ def op5_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.compare(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notices.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
