@@ -131,7 +131,8 @@ def repeat(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP
     """The rows of ``docs``, each as often as the mix takes it. Rows with one id and source and as many words are alike to the mix."""
     plan = mix(docs, weights, cap).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
     # Rows that repeat an id are numbered on both sides, so each meets its own share.
-    left = docs.withColumn("_words", word_count()).withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "source", "_words").orderBy(F.xxhash64("text"))))
-    right = plan.withColumn("_j", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.desc("copies"))))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")) & (F.col("_k") == F.col("_j"))
-    return left.join(right, same).filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", word_count().alias("words"), F.xxhash64("text").alias("h"))
+    left = whole.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "source", "words").orderBy("h"))).drop("h")
+    right = plan.withColumn("j", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.desc("copies"))))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("words") == F.col("_size")) & (F.col("k") == F.col("j"))
+    return left.join(right, same).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

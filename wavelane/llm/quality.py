@@ -5,8 +5,7 @@ and ``verdict`` turns the table into one Boolean expression; both are built-in e
 no shuffle, so a document costs one pass over its own text wherever it lies.
 
 Defined cases: null text counts as empty (no words, base failed, not kept); ties and repeated rows
-are judged alone; columns of the input keep their names and values, the measures' names are
-prefixed with ``q_`` inside and can't clash.
+are judged alone; the input's columns travel in one struct, so no name of theirs can clash.
 """
 
 from __future__ import annotations
@@ -84,16 +83,15 @@ def _short(words: Column) -> Column:
 
 
 def measure(docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """Add ``q_*``: exact counts over the whole text."""
-    text = text_of()
-    plain = docs.withColumn("q_text", text).withColumn("q_words", _words(F.col("q_text")))
+    """``row`` (all columns of ``docs``) and ``q_*``: exact counts over the whole text."""
+    plain = docs.select(F.struct(*docs.columns).alias("row"), text_of().alias("q_text")).withColumn("q_words", _words(F.col("q_text")))
     lines = F.filter(F.split("q_text", "\n", -1), lambda x: F.btrim(x, F.lit(BLANK)) != "")
     counted = plain.withColumn("q_lines", lines)
     letters = F.translate("q_text", BLANK, "")
     stops = F.array(*[F.lit(w) for w in sorted(set(stop_words))])
     lowered = F.split(F.lower(F.btrim("q_text", F.lit(BLANK))), r"[\x20\x09-\x0D.,;:]+")
     return counted.select(
-        *docs.columns,
+        "row",
         F.size("q_words").cast("bigint").alias("q_n_words"),
         F.length(letters).cast("bigint").alias("q_word_chars"),
         (F.length("q_text") - F.length(F.translate("q_text", "#*$%&|<>", ""))).cast("bigint").alias("q_n_symbols"),
@@ -136,7 +134,7 @@ def verdict(rules: Sequence[Rule] = RULES) -> Column:
 def judge(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """``docs`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept``."""
     measured = measure(docs)
-    own = [c for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")]
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")]
     counts = [F.col(f"q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     failed = base_failed()
     return measured.select(*own, *counts, failed.alias("base_failed"), (~failed & verdict(rules)).alias("kept"))
@@ -144,7 +142,7 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
 def keep(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The documents the rules keep, with their own columns."""
-    return measure(docs).filter(~base_failed() & verdict(rules)).select(*docs.columns)
+    return measure(docs).filter(~base_failed() & verdict(rules)).select("row.*")
 
 
 def sql(rules: Sequence[Rule] = RULES, stop_words: Sequence[str] = STOP_WORDS, table: str = "documents") -> str:

@@ -13,8 +13,9 @@ its cut-offs are one row that goes to every task.
 
 A document's spans are made from its own text in one projection; documents are never shuffled.
 
-Defined cases: null text counts as empty (no spans); repeated rows are scanned each; columns of
-the input are kept (``secret_*`` names are used inside); an empty table gives no rows.
+Defined cases: null text counts as empty (no spans; it stays null); repeated rows are scanned each;
+the input's columns travel in one struct, so no name of theirs can clash; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -154,13 +155,15 @@ def cut_offs(tested: DataFrame, alpha: float = ALPHA) -> DataFrame:
 
 
 def find(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """``docs`` with ``secret_base`` and ``secret_spans``: arrays of ``struct(start, kind, end)``, sorted."""
-    tested = docs.withColumn("secret_runs", candidates(text_of()))
-    edged = attach_row(docs.withColumn("secret_base", base_spans(text_of())).withColumn("secret_runs", candidates(text_of())), cut_offs(tested, alpha))
+    """``row`` (all columns of ``docs``), ``secret_base``, ``secret_spans``: arrays of ``struct(start, kind, end)``, sorted."""
+    text = text_of(F.col("row.text"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    tested = rows.withColumn("secret_runs", candidates(text))
+    edged = attach_row(tested.withColumn("secret_base", base_spans(text)), cut_offs(tested, alpha))
     edge = lambda r: F.try_element_at(F.col("secret_edges"), r["class"])
     random = F.filter("secret_runs", lambda r: F.coalesce(r["bin"] < edge(r), F.lit(True)))
     as_spans = F.transform(random, lambda r: F.struct(r["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), r["end"].alias("end")))
-    return edged.select(*docs.columns, "secret_base", F.sort_array(F.concat("secret_base", as_spans)).alias("secret_spans"))
+    return edged.select("row", "secret_base", F.sort_array(F.concat("secret_base", as_spans)).alias("secret_spans"))
 
 
 def written(spans: str | Column) -> Column:
@@ -173,7 +176,7 @@ def scan(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans``: one row for each row of ``docs``."""
     found = find(docs.select("doc_id", "text"), alpha)
     count = lambda k: F.size(F.filter("secret_spans", lambda s: s["kind"] == KINDS.index(k))).cast("bigint").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(written("secret_base"), 256).alias("base_sha256"), written("secret_spans").alias("spans"))
+    return found.select("row.doc_id", *[count(k) for k in KINDS], F.sha2(written("secret_base"), 256).alias("base_sha256"), written("secret_spans").alias("spans"))
 
 
 def redact(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -183,11 +186,13 @@ def redact(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(done: Column, s: Column) -> Column:
-        piece = F.array(F.substring(F.col("text"), done["at"] + 1, s["start"] - done["at"]), F.concat(F.lit("["), names[s["kind"]], F.lit("]")))
+        piece = F.array(F.substring(F.col("row.text"), done["at"] + 1, s["start"] - done["at"]), F.concat(F.lit("["), names[s["kind"]], F.lit("]")))
         return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(s["start"] >= done["at"], F.concat(done["out"], piece)).otherwise(done["out"]).alias("out"))
 
-    tail = lambda done: F.concat(F.array_join(done["out"], ""), F.substring(F.col("text"), done["at"] + 1, F.length("text")))
-    clean = F.when(F.size("secret_spans") == 0, F.col("text")).otherwise(F.aggregate("secret_spans", begun, step, tail))
+    tail = lambda done: F.concat(F.array_join(done["out"], ""), F.substring(F.col("row.text"), done["at"] + 1, F.length("row.text")))
+    clean = F.when(F.size("secret_spans") == 0, F.col("row.text")).otherwise(F.aggregate("secret_spans", begun, step, tail))
     out = found.withColumn("secret_text", clean)
-    kept = [F.col("secret_text").alias("text") if c == "text" else F.when(F.size("secret_spans") > 0, F.length("secret_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*kept)
+    changed = {"text": F.col("secret_text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.size("secret_spans") > 0, F.length("secret_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
