@@ -53,42 +53,40 @@ def _words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
-def _repeated(words: Column) -> Column:
-    """Word positions inside three-word windows that are found twice or more.
-
-    Windows are sorted with their positions, so equal ones stand together; the positions they
-    start at then cover up to three words each, less where the next one starts earlier.
-    """
+def _windows(words: str) -> Column:
+    """Three-word windows in text order; words hold no spaces, so a space between them is unambiguous."""
     n = F.size(words)
-    windows = F.transform(
-        F.arrays_zip(F.slice(words, 1, n - 2).alias("a"), F.slice(words, 2, n - 2).alias("b"), F.slice(words, 3, n - 2).alias("c")),
-        lambda x, i: F.struct(F.concat_ws(" ", x["a"], x["b"], x["c"]).alias("w"), i.alias("i")),
-    )
-    ordered = F.sort_array(windows)
+    zipped = F.arrays_zip(F.slice(words, F.lit(1), n - 2).alias("a"), F.slice(words, F.lit(2), n - 2).alias("b"), F.slice(words, F.lit(3), n - 2).alias("c"))
+    return F.when(n < 3, F.array().cast("array<string>")).otherwise(F.transform(zipped, lambda x: F.concat_ws(" ", x["a"], x["b"], x["c"])))
+
+
+def _ordered(windows: str) -> Column:
+    """Windows with their places, equal ones together; empty where no window is found twice, as in most texts."""
+    placed = F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), F.sort_array(placed)).otherwise(F.array().cast("array<struct<w:string,i:int>>"))
+
+
+def _twice(ordered: str) -> Column:
+    """Places of the windows that are found twice or more, in text order."""
     m = F.size(ordered)
-    pairs = F.arrays_zip(F.slice(ordered, 1, m - 1).alias("p"), F.slice(ordered, 2, m - 1).alias("q"))
-    twice = F.filter(pairs, lambda x: x["p"]["w"] == x["q"]["w"])
-    starts = F.array_sort(F.array_distinct(F.concat(F.transform(twice, lambda x: x["p"]["i"]), F.transform(twice, lambda x: x["q"]["i"]))))
-    begun = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
-    covered = F.aggregate(starts, begun, lambda s, x: F.struct(x.alias("last"), (s["n"] + F.least(F.lit(3), x - s["last"])).alias("n")), lambda s: s["n"])
-    return F.when(n < 6, _short(words)).otherwise(covered)
+    pairs = F.arrays_zip(F.slice(ordered, F.lit(1), m - 1).alias("p"), F.slice(ordered, F.lit(2), m - 1).alias("q"))
+    same = F.filter(pairs, lambda x: x["p"]["w"] == x["q"]["w"])
+    both = F.flatten(F.transform(same, lambda x: F.array(x["p"]["i"], x["q"]["i"])))
+    return F.when(m == 0, F.array().cast("array<int>")).otherwise(F.sort_array(F.array_distinct(both)))
 
 
-def _short(words: Column) -> Column:
-    """Three to five words: windows compared one by one."""
-    w = lambda i: F.concat_ws(" ", F.get(words, F.lit(i)), F.get(words, F.lit(i + 1)), F.get(words, F.lit(i + 2)))
-    n = F.size(words)
-    a, b, c = (n >= 4) & (w(0) == w(1)), (n >= 5) & (w(1) == w(2)), (n >= 5) & (w(0) == w(2))
-    return F.when(c & ~a, 5).when(a & b, 5).when(a, 4).when(b, 4).otherwise(0)
+def _covered(places: str) -> Column:
+    """Words inside the windows at these places: three each, less where the next one begins earlier."""
+    begun = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
+    return F.aggregate(places, begun, lambda s, x: F.struct(x.alias("last"), (s["n"] + F.least(F.lit(3), x - s["last"])).alias("n")), lambda s: s["n"])
 
 
 def measure(docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """``row`` (all columns of ``docs``) and ``q_*``: exact counts over the whole text."""
     plain = docs.select(F.struct(*docs.columns).alias("row"), text_of().alias("q_text")).withColumn("q_words", _words(F.col("q_text")))
     lines = F.filter(F.split("q_text", "\n", -1), lambda x: F.btrim(x, F.lit(BLANK)) != "")
-    counted = plain.withColumn("q_lines", lines)
+    counted = plain.withColumn("q_lines", lines).withColumn("q_windows", _windows("q_words")).withColumn("q_ordered", _ordered("q_windows")).withColumn("q_places", _twice("q_ordered"))
     letters = F.translate("q_text", BLANK, "")
-    stops = F.array(*[F.lit(w) for w in sorted(set(stop_words))])
     lowered = F.split(F.lower(F.btrim("q_text", F.lit(BLANK))), r"[\x20\x09-\x0D.,;:]+")
     return counted.select(
         "row",
@@ -98,7 +96,7 @@ def measure(docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFram
         (F.length("q_text") - F.length(F.translate("q_text", "!", ""))).cast("bigint").alias("q_n_shouts"),
         F.size("q_lines").cast("bigint").alias("q_n_lines"),
         (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("bigint").alias("q_n_dup_lines"),
-        _repeated(F.col("q_words")).cast("bigint").alias("q_n_repeat_words"),
+        _covered("q_places").cast("bigint").alias("q_n_repeat_words"),
         F.size(F.filter(lowered, lambda x: x.isin(*sorted(set(stop_words))))).cast("bigint").alias("q_n_stop_words"),
     )
 
