@@ -8,13 +8,13 @@ form a *region*.
 1. Equal sets are one class; only its smallest id goes on.
 2. In a few trees each document meets the neighbour with the longest common prefix: regions that
    hold more than ``REGION`` classes are cut at a greater depth, chosen from the region's own size,
-   sorted by the signature order, and each row is paired with the next one.
-3. Over all trees, regions that still hold several components are finished: small ones compare
-   their documents across components; documents of larger ones go through an exact join on their
-   rarest shingles (any two sets at the wanted similarity share one of those). There a shingle's
-   holders first meet the smallest set that holds it. Holders that no partner at the shingle's
-   best position could match are left out, then shingles whose holders are in one component, and
-   only what is left makes pairs.
+   sorted by the signature order, and each row is paired with the next one. Documents of such large
+   regions are also indexed by their rarest shingles (any two sets at the wanted similarity share
+   one of those; holders that no partner at a shingle's best place could match are left out), and
+   meet the smallest set that holds the shingle.
+3. Regions and shingles whose documents are by then in one component are done. In the others,
+   small regions of any tree compare their documents across components, and so do the holders of a
+   rare shingle, so that no link is left out and a large group of copies makes no pairs.
 
 Pairs are first held against the signature estimate, far below the wanted similarity, then
 confirmed on the full shingle sets. A pair at 0.75 shares no region with probability below 1e-7.
@@ -172,15 +172,18 @@ def _rare_holders(sets: DataFrame, percent: int) -> DataFrame:
     return placed.join(best, "s").filter(100 * (F.col("n") - F.col("p")) >= percent * (F.col("n") + F.col("best"))).drop("best")
 
 
-def _open(holders: DataFrame, labels: DataFrame) -> DataFrame:
-    """Holders with labels, without the shingles whose holders have one label; ``hub``: the smallest set."""
-    named = _labelled(holders, labels)
-    kinds = named.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("n", "doc_id")).alias("hub"))
-    return named.join(kinds.filter("low <> high").select("s", F.col("hub.doc_id").alias("hub")), "s")
+def _hub_pairs(holders: DataFrame) -> DataFrame:
+    """Each holder of a shingle with the smallest set that holds it."""
+    hubs = holders.groupBy("s").agg(F.min(F.struct("n", "doc_id")).alias("hub")).select("s", F.col("hub.doc_id").alias("hub"))
+    met = holders.join(hubs, "s").filter("doc_id <> hub")
+    return met.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
 
 
-def _hub_pairs(held: DataFrame) -> DataFrame:
-    return held.filter("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+def _open(holders: DataFrame, labels: DataFrame) -> DataFrame:
+    """Holders with labels, without the shingles whose holders have one label."""
+    named = _labelled(holders, labels)
+    kinds = named.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    return named.join(kinds.filter("low <> high").select("s"), "s", "left_semi")
 
 
 def _rare_pairs(held: DataFrame, percent: int) -> DataFrame:
@@ -207,24 +210,22 @@ def components(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     extra = F.least(F.lit(DEEPER), F.greatest(F.lit(0), F.ceil(F.log(F.col("size") / REGION) / F.log(F.lit(4 / 3))).cast("int")))
     first = members.filter(F.col("t") < FIRST).withColumn("cell", F.substring("order", F.lit(1), 4 * (BASE + extra)))
     ahead = F.lead("doc_id").over(Window.partitionBy("region", "cell").orderBy("order", "doc_id"))
-    next_pairs = first.select("doc_id", ahead.alias("b")).filter("b is not null").select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
-    found = cut(_confirmed(cut(_likely(next_pairs, reps, ESTIMATE)), docs, percent, width))
-    labels = connect(found)
+    next_pairs = first.select("doc_id", ahead.alias("b")).filter("b is not null").select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"))
+    large = cut(members.filter(F.col("size") > REGION).select("doc_id").distinct())
+    holders = cut(_rare_holders(shingle_sets(_picked(docs, large), width).dropDuplicates(["doc_id"]), percent))
+    near = cut(_likely(next_pairs.union(_hub_pairs(holders)).distinct(), reps, ESTIMATE))
+    labels = connect(_confirmed(near, docs, percent, width))
 
-    placed = _labelled(members.select("region", "size", "doc_id"), labels)
+    placed = _labelled(members.filter(F.col("size") <= REGION).select("region", "doc_id"), labels)
     open_regions = placed.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("region")
-    rest = cut(placed.join(open_regions, "region", "left_semi"))
-    small = rest.filter(F.col("size") <= REGION)
+    small = placed.join(open_regions, "region", "left_semi")
     other = small.select("region", F.col("doc_id").alias("b"), F.col("label").alias("label_b"))
-    across = small.join(other, "region").filter((F.col("doc_id") < F.col("b")) & (F.col("label") != F.col("label_b"))).select(F.col("doc_id").alias("a"), "b").distinct()
-    large = cut(rest.filter(F.col("size") > REGION).select("doc_id").distinct())
-    holders = cut(_rare_holders(shingle_sets(_picked(docs, large), width).dropDuplicates(["doc_id"]), percent))
-    met = across.union(_hub_pairs(_open(holders, labels))).distinct()
-    found = cut(found.union(_confirmed(cut(_likely(met, reps, ESTIMATE)), docs, percent, width)))
-    labels = connect(found)
-    rest_pairs = _rare_pairs(_open(holders, labels), percent)
-    more = _confirmed(cut(_likely(rest_pairs, reps, ESTIMATE)), docs, percent, width)
-    labels = connect(found.union(more))
+    across = small.join(other, "region").filter((F.col("doc_id") < F.col("b")) & (F.col("label") != F.col("label_b"))).select(F.col("doc_id").alias("a"), "b")
+    rest = cut(_likely(across.union(_rare_pairs(_open(holders, labels), percent)).distinct(), reps, ESTIMATE))
+    more = _confirmed(rest, docs, percent, width)
+    ends = _labelled(_labelled(more.withColumnRenamed("a", "doc_id"), labels).select(F.col("label").alias("a"), F.col("b").alias("doc_id")), labels)
+    merged = connect(ends.select("a", F.col("label").alias("b")))
+    labels = _labelled(labels.select(F.col("id"), F.col("label").alias("doc_id")), merged).select("id", "label").union(merged.join(labels.select("id"), "id", "left_anti"))
 
     by_class = _labelled(classes.select("set_key", F.col("rep").alias("doc_id")), labels).select("set_key", F.col("label").alias("component"))
     out = known.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
