@@ -111,8 +111,11 @@ def select_balanced(df: DataFrame, row: str, genre: str, author: str, keys: Sequ
     """Rows chosen rare-genre-first, in hash order, with author cap and disjoint aliases.
 
     The choice holds at most genres x per_genre rows. Each genre is read in pages of its hash
-    order until filled or exhausted; a page leaves out rows the choices made so far rule out.
+    order until filled or exhausted; a page leaves out rows the choices made so far rule out, so its
+    length changes nothing. Rows without a genre are one genre (``unlabeled``), rows without an
+    author one author (``unknown``); empty aliases clash with nothing.
     """
+    df = df.withColumn(genre, F.coalesce(genre, F.lit("unlabeled"))).withColumn(author, F.coalesce(author, F.lit("unknown")))
     counts = df.groupBy(genre).agg(F.count(F.lit(1)).alias("n")).orderBy("n", genre)
     hashed = df.select(row, genre, author, *keys, text_hash(seed, F.col(row).cast("string")).alias("_h"))
     chosen: list = []

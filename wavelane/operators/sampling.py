@@ -104,16 +104,14 @@ def validation_quota(df: DataFrame, source: str, row: str, quotas: dict[str, int
     return take_per_source(df, source, row, targets, seed)
 
 
-def default_validation_cap(samples: int, ratio: float) -> int:
-    """Cap of a source without a quota: 10 % of its share of an epoch, at least 32."""
-    return max(32, round(0.1 * samples * ratio))
-
-
 def cumulative_cells(df: DataFrame, keys: Sequence[str], order: str, weight: str, bucket: Column, cells: int) -> DataFrame:
     """Each row's slice [lo, hi) of its key's weight axis, cut into ``cells`` equal cells."""
     cum = running_sum(df, list(keys), order, F.col(weight), "_hi", bucket)
     total = df.groupBy(*keys).agg(F.sum(weight).alias("_total"))
-    placed = null_safe_join(cum, total, list(keys)).withColumn("_lo", F.col("_hi") - F.col(weight))
+    # The last row ends at the total whatever order the two sums were made in: ``_end`` keeps its slice closed.
+    last = cum.groupBy(*keys).agg(F.max("_hi").alias("_top"))
+    placed = null_safe_join(null_safe_join(cum, total, list(keys)), last, list(keys)).withColumn("_lo", F.col("_hi") - F.col(weight))
+    placed = placed.withColumn("_end", (F.col("_hi") == F.col("_top")) & (F.col(weight) > 0)).drop("_top")
     a = F.floor(F.col("_lo") / F.col("_total") * cells)
     z = F.least(F.floor(F.col("_hi") / F.col("_total") * cells), F.lit(cells - 1))
     return placed.withColumn("_cell", F.explode(F.sequence(F.least(a, F.lit(cells - 1)), z)))
@@ -123,8 +121,13 @@ def weighted_draws(df: DataFrame, corpus: str, row: str, weight: str, length: st
     """``draw, corpus, row, start, gain_db``: n draws with replacement.
 
     A draw takes a corpus by ratio, a row by weight, a uniform start and a gain in [-6, 3). Draws
-    meet rows in an equi-join on (corpus, cell of the weight axis), so no corpus is one task.
+    meet rows in an equi-join on (corpus, cell of the weight axis), so no corpus is one task. A
+    corpus with a positive ratio and no weight fails the job: its draws could not be made.
     """
+    wanted = [k for k, v in ratios.items() if v > 0]
+    there = {r[0] for r in df.filter(F.col(corpus).isin(*wanted)).groupBy(corpus).agg(F.sum(weight).alias("w")).filter("w > 0").collect()}
+    if set(wanted) - there:
+        raise ValueError(f"no rows to draw from: {sorted(set(wanted) - there)}")
     total = sum(ratios.values())
     n = df.sparkSession.range(draws).withColumnRenamed("id", "draw")
     u = hash_uniform(seed, "corpus", F.col("draw"))
@@ -138,7 +141,7 @@ def weighted_draws(df: DataFrame, corpus: str, row: str, weight: str, length: st
         pick = F.when(u < edge, F.lit(k)).otherwise(pick)
     n = n.withColumn(corpus, pick).withColumn("_u", hash_uniform(seed, "row", F.col("draw"))).withColumn("_cell", F.floor(F.col("_u") * cells))
     placed = cumulative_cells(df.select(corpus, row, weight, length), [corpus], row, weight, bucket, cells)
-    hit = n.join(placed, [corpus, "_cell"]).filter((F.col("_u") * F.col("_total") >= F.col("_lo")) & (F.col("_u") * F.col("_total") < F.col("_hi")))
+    hit = n.join(placed, [corpus, "_cell"]).filter((F.col("_u") * F.col("_total") >= F.col("_lo")) & ((F.col("_u") * F.col("_total") < F.col("_hi")) | F.col("_end")))
     span = F.greatest(F.lit(1), F.col(length) - crop + 1)
     return hit.select(
         "draw", corpus, row,

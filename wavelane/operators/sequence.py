@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavelane.functions.numeric import clamp
+from wavelane.operators.intervals import locate_rank
 from wavelane.functions.ordinals import BLOCK, block, lagged, null_safe_join, running_extreme, running_sum, with_halo
 from wavelane.functions.scans import affine_scan
 
@@ -128,38 +129,28 @@ def positive_flux(df: DataFrame, keys: list[str], frame: str, magnitude: str) ->
 
 
 def evenly_spaced_crops(df: DataFrame, k: int, crop: int, support: int) -> DataFrame:
-    """``row_id, position, start``: the anchor, then k-1 evenly spaced legal starts.
+    """``row_id, position, start``: the anchor, then k-1 starts spread evenly over the free ones.
 
-    Needs ``row_id, anchor, reserved, length_samples``. Legal starts keep supervision away from
-    the reserved input [reserved, reserved + crop); ``support`` is the offset where supervision
-    begins. Rows with too few legal starts, or an illegal anchor, fail the job.
+    Needs ``row_id, anchor, reserved, length_samples``. A start is free when its supervised part,
+    which begins ``support`` samples in, stays clear of [reserved, reserved + crop), and it is not
+    the anchor. The free starts are the gaps between two holes; the crops stand at the middles of
+    k-1 equal shares of them. A row whose anchor is in the reserved hole or outside the recording,
+    or that has fewer than k-1 free starts, fails the job.
     """
-    top, begin, end, anchor = F.col("length_samples") - crop, F.col("reserved"), F.col("reserved") + crop, F.col("anchor")
-    spans = F.array(
-        F.struct(F.lit(0).cast("bigint").alias("a"), F.least(top, begin - crop).cast("bigint").alias("z")),
-        F.struct(F.greatest(F.lit(0), end - support).cast("bigint").alias("a"), top.cast("bigint").alias("z")),
-    )
-    legal = F.filter(spans, lambda s: s["a"] <= s["z"])
-    around = F.flatten(F.transform(legal, lambda s: F.array(
-        F.struct(s["a"].alias("a"), F.least(s["z"], anchor - 1).alias("z")), F.struct(F.greatest(s["a"], anchor + 1).alias("a"), s["z"].alias("z")))))
-    free = F.filter(around, lambda s: s["a"] <= s["z"])
-    count = F.aggregate(free, F.lit(0).cast("bigint"), lambda acc, s: acc + s["z"] - s["a"] + 1)
-    ok = F.exists(legal, lambda s: (s["a"] <= anchor) & (anchor <= s["z"])) & (count >= k - 1)
-    safe = df.withColumn("_free", free).withColumn("_n", count).filter(
-        F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("insufficient protected crop positions")).cast("boolean"))
-    )
-    ranked = safe.withColumn("position", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    rank = F.floor((2 * (F.col("position") - 1) + 1) * F.col("_n") / (2 * max(k - 1, 1)))
-    # The target falls in the first span whose cumulative length exceeds the rank.
-    state = F.struct(rank.alias("left"), F.lit(None).cast("bigint").alias("start"))
-    walk = F.aggregate(
-        F.col("_free"), state,
-        lambda acc, s: F.struct(
-            (acc["left"] - (s["z"] - s["a"] + 1)).alias("left"),
-            F.coalesce(acc["start"], F.when((acc["left"] >= 0) & (acc["left"] <= s["z"] - s["a"]), s["a"] + acc["left"])).alias("start"),
-        ),
-    )
-    return ranked.select("row_id", "position", F.when(F.col("position") == 0, anchor).otherwise(walk["start"]).alias("start"))
+    last, anchor = F.col("length_samples") - crop, F.col("anchor")
+    hole = F.struct((F.col("reserved") - crop + 1).cast("bigint").alias("a"), (F.col("reserved") + crop - support - 1).cast("bigint").alias("z"))
+    own = F.struct(anchor.cast("bigint").alias("a"), anchor.cast("bigint").alias("z"))
+    rows = df.withColumn("_last", last.cast("bigint")).withColumn("_holes", F.array_sort(F.array(hole, own)))
+    stops = F.concat(F.transform("_holes", lambda h: h["a"] - 1), F.array("_last"))
+    begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("_holes", lambda h: h["z"] + 1))
+    gaps = F.zip_with(begins, stops, lambda lo, hi: F.struct(F.greatest(lo, F.lit(0)).alias("lo"), F.least(hi, F.col("_last")).alias("hi")))
+    spans = rows.select("row_id", F.explode(gaps).alias("g")).select("row_id", "g.lo", "g.hi").filter("lo <= hi")
+    free = spans.groupBy("row_id").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("_n"))
+    fits = anchor.between(0, F.col("_last")) & ~anchor.between(F.col("reserved") - crop + 1, F.col("reserved") + crop - support - 1) & (F.coalesce("_n", F.lit(0)) >= k - 1)
+    checked = rows.join(free, "row_id", "left").filter(F.when(fits, True).otherwise(F.raise_error(F.lit("too few free crop starts beside the anchor")).cast("boolean")))
+    wanted = checked.select("row_id", "_n", F.explode(F.sequence(F.lit(1), F.lit(k - 1))).alias("position")).withColumn("rank", F.floor((2 * F.col("position") - 1) * F.col("_n") / (2 * (k - 1))).cast("bigint")) if k > 1 else None
+    first = checked.select("row_id", F.lit(0).alias("position"), anchor.alias("start"))
+    return first if wanted is None else first.unionByName(locate_rank(spans, ["row_id"], wanted).select("row_id", "position", "start"))
 
 
 def best_so_far(df: DataFrame, keys: list[str], epoch: str, primary: str, tie: str) -> DataFrame:
@@ -197,7 +188,7 @@ def repair_overlaps(specs: DataFrame, spans: DataFrame) -> DataFrame:
         F.countDistinct(F.when(F.col("ok"), F.col("start"))).alias("_distinct"), F.count(F.when(F.col("ok"), 1)).alias("_valid"),
     )
     rows = rows.filter(
-        F.when(F.col("_distinct") == F.col("_valid"), F.lit(True)).otherwise(F.raise_error(F.lit("duplicate finite-bank crop")).cast("boolean"))
+        F.when(F.col("_distinct") == F.col("_valid"), F.lit(True)).otherwise(F.raise_error(F.lit("two given crops share one start")).cast("boolean"))
     )
     broken = F.exists("crops", lambda c: ~c["ok"])
 

@@ -145,108 +145,108 @@ def stereo_image(df: DataFrame, keys: list[str], left: str, right: str) -> DataF
 
 
 def excerpts(df: DataFrame, keys: list[str], ordinal: str, columns: Sequence[str], length: int) -> DataFrame:
-    """``keys, excerpt`` and one array per column: complete excerpts of exactly ``length`` samples."""
+    """``keys, excerpt, valid`` and one array of exactly ``length`` samples per column.
+
+    Every sample is in one excerpt. Where a recording ends inside an excerpt, or misses samples, the
+    places are zero; ``valid`` counts the samples that are there.
+    """
     at = F.col(ordinal) - F.floor(F.col(ordinal) / length) * length
-    g = df.groupBy(*keys, F.floor(F.col(ordinal) / length).alias("excerpt")).agg(F.array_sort(F.collect_list(F.struct(at.alias("_at"), *columns))).alias("_s"))
-    return g.filter(F.size("_s") == length).select(*keys, "excerpt", *[F.col(f"_s.{c}").alias(c) for c in columns])
-
-
-def _frames(x: np.ndarray, n: int, hop: int) -> np.ndarray:
-    return np.lib.stride_tricks.sliding_window_view(x, n)[::hop]
-
-
-def _resolution_parts(p: np.ndarray, t: np.ndarray, rate: float, n: int) -> dict[tuple[int, str], float]:
-    """Four component scores per band of one excerpt at one transform size."""
-    w = hann(n)
-    sides = np.full(n // 2 + 1, 2.0)
-    sides[[0, -1]] = 1
-    scale = np.sqrt(sides / (n * np.sum(w**2)))
-    pm, tm = [np.abs(np.fft.rfft(_frames(v, n, n // 4) * w, axis=1) * scale) for v in (p, t)]
-    floor = (tm**2).sum(1).mean() * 1e-4 + 1e-12
-    hz = np.arange(n // 2 + 1) * rate / n
-    out = {}
-    for low, high in sp.BANDS:
-        m = (hz >= low) & (hz < high)
-        if not m.any():
-            continue
-        a, b, k = pm[:, m], tm[:, m], m.sum()
-        tp, pp, err = (b**2).sum(1), (a**2).sum(1), a - b
-        den = tp.mean() + floor
-
-        def norm(v):
-            return np.sqrt(v / den + 1e-6) - 1e-3
-
-        lf = np.sqrt(floor / k)
-        logs = np.log1p(a / lf) - np.log1p(b / lf)
-        out[low, "amplitude"] = norm((err**2).sum(1).mean())
-        out[low, "log_shape"] = np.sqrt(((logs**2).sum(1) / k).mean() + 1e-6) - 1e-3
-        out[low, "envelope"] = norm(((np.sqrt(pp + floor) - np.sqrt(tp + floor)) ** 2).mean())
-        out[low, "dynamics"] = norm((np.diff(err, axis=0) ** 2).sum(1).mean())
-    return out
+    g = df.groupBy(*keys, F.floor(F.col(ordinal) / length).alias("excerpt")).agg(F.array_sort(F.collect_list(F.struct(at.cast("int").alias("_at"), *columns))).alias("_s"))
+    places = F.sequence(F.lit(0), F.lit(length - 1))
+
+    def whole(name: str) -> Column:
+        known = F.map_from_arrays(F.col("_s._at"), F.col(f"_s.{name}"))
+        packed = F.concat(F.col(f"_s.{name}"), F.array_repeat(F.lit(0.0), F.lit(length) - F.size("_s")))
+        dense = F.element_at("_s", -1)["_at"] == F.size("_s") - 1
+        return F.when(dense, packed).otherwise(F.transform(places, lambda i: F.coalesce(F.try_element_at(known, i), F.lit(0.0)))).alias(name)
+
+    return g.select(*keys, "excerpt", F.size("_s").alias("valid"), *[whole(c) for c in columns])
+
+
+def excerpt_frames(df: DataFrame, keys: list[str], waves: dict[str, str], n: int, hop: int) -> DataFrame:
+    """Frames of every excerpt: ``keys, excerpt, frame`` and, for each wave, ``<name>`` (magnitude) and ``<name>_phase``."""
+    others = [c for c in df.columns if c not in waves.values()]
+    taken = df.select(*others, *[F.col(column).alias(f"_in_{name}") for name, column in waves.items()])
+    count = F.floor((F.size(f"_in_{next(iter(waves))}") - n) / hop).cast("int")
+    spread = taken.withColumn("frame", F.explode(F.sequence(F.lit(0), count)))
+    for name in waves:
+        cut = spread.withColumn("_w", F.slice(f"_in_{name}", F.col("frame") * hop + 1, F.lit(n)))
+        z = stft(cut, "_w").withColumn(name, F.transform("log_magnitude", lambda d: F.pow(F.lit(10.0), d / 20)))
+        spread = z.withColumn(f"{name}_phase", F.col("phase")).drop("_w", "log_magnitude", "phase")
+    return spread.drop(*[f"_in_{name}" for name in waves])
 
 
 def multires_score(df: DataFrame, keys: list[str], predicted: str, target: str, rate: int, sizes: Sequence[int] = (256, 1024, 2048)) -> DataFrame:
     """``keys, excerpt, size, band, component, value, weighted`` of bounded excerpts.
 
-    A missing band scores nothing; ``weighted`` sums to the excerpt's total score.
+    Per size the excerpts become a frame table; band sums per frame and means per excerpt give the
+    four components. A missing band scores nothing; ``weighted`` sums to the excerpt's total score.
     """
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    head = ", ".join(f"{k} {types[k]}" for k in [*keys, "excerpt"])
-
-    def score(batches):
-        for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                p, t = np.asarray(getattr(row, predicted), float), np.asarray(getattr(row, target), float)
-                ident = [getattr(row, k) for k in [*keys, "excerpt"]]
-                for n in sizes:
-                    for (low, name), v in _resolution_parts(p, t, rate, n).items():
-                        weight = (0.25 if low == 0 else 1.0) / 4.25 * sp.WEIGHTS[name] / len(sizes)
-                        rows.append((*ident, n, low, name, v, v * weight))
-            yield pd.DataFrame(rows, columns=[*keys, "excerpt", "size", "band", "component", "value", "weighted"])
-
-    return df.select(*keys, "excerpt", predicted, target).mapInPandas(score, f"{head}, size int, band int, component string, value double, weighted double")
+    own = [*keys, "excerpt"]
+    out = []
+    for n in sizes:
+        bins = n // 2 + 1
+        unit = 1.0 / (n * float(np.sum(hann(n) ** 2)))
+        power = F.array(*[F.lit(unit * (1 if k in (0, bins - 1) else 2)) for k in range(bins)])
+        frames = excerpt_frames(df.select(*own, predicted, target), own, {"p": predicted, "t": target}, n, n // 4)
+        for name in ("p", "t"):
+            frames = frames.withColumn(name, F.zip_with(name, power, lambda m, u: m * F.sqrt(u)))
+        frames = frames.drop("p_phase", "t_phase")
+        floors = frames.groupBy(*own).agg((F.avg(sp.total(sp.squares(F.col("t")))) * 1e-4 + 1e-12).alias("floor"))
+        error = sp.with_previous(frames.withColumn("e", sp.minus(F.col("p"), F.col("t"))), own, ["e"]).join(floors, own)
+        change = F.when(F.col("e0").isNotNull(), sp.square_error(F.col("e"), F.col("e0")))
+        sums = []
+        for low, first, count in sp.band_bins(rate / n, bins):
+            part = lambda c: F.slice(c, first + 1, count)
+            level = F.sqrt(F.col("floor") / count)
+            logs = F.zip_with(part("p"), part("t"), lambda a, b: F.pow(F.log1p(a / level) - F.log1p(b / level), F.lit(2.0)))
+            sums.append(F.struct(
+                F.lit(low).alias("band"), sp.total(part(sp.squares(F.col("e")))).alias("ee"), sp.total(part(sp.squares(F.col("t")))).alias("tt"), sp.total(part(sp.squares(F.col("p")))).alias("pp"),
+                (sp.total(logs) / count).alias("ll"), F.when(change.isNotNull(), sp.total(part(change))).alias("dd"),
+            ))
+        rows = error.select(*own, "floor", F.explode(F.array(*sums)).alias("s")).select(*own, "floor", "s.*")
+        lift = F.pow(F.sqrt(F.col("pp") + F.col("floor")) - F.sqrt(F.col("tt") + F.col("floor")), F.lit(2.0))
+        means = rows.groupBy(*own, "band").agg(F.avg("ee").alias("ee"), (F.avg("tt") + F.first("floor")).alias("den"), F.avg("ll").alias("ll"), F.avg(lift).alias("env"), F.avg("dd").alias("dd"))
+        parts = {"amplitude": sp.soft(F.col("ee"), F.col("den")), "log_shape": sp.soft(F.col("ll"), F.lit(1.0)), "envelope": sp.soft(F.col("env"), F.col("den")), "dynamics": sp.soft(F.coalesce("dd", F.lit(0.0)), F.col("den"))}
+        named = F.explode(F.array(*[F.struct(F.lit(k).alias("component"), v.alias("value"), F.lit(sp.WEIGHTS[k] / len(sizes)).alias("w")) for k, v in parts.items()]))
+        scored = means.select(*own, F.lit(n).alias("size"), "band", named.alias("c"))
+        out.append(scored.select(*own, "size", "band", "c.component", "c.value", (F.col("c.value") * F.col("c.w") * sp.band_weight(F.col("band"))).alias("weighted")))
+    whole = out[0]
+    for other in out[1:]:
+        whole = whole.unionByName(other)
+    return whole
 
 
 def multires_reconstruction(df: DataFrame, keys: list[str], predicted: str, target: str, degraded: str, cutoff: str, rate: int, width: float, sizes: Sequence[int] = (512, 1024, 2048), relative: float = 0.01, absolute: float = 1e-7) -> DataFrame:
-    """Mean over long windows of high-band spectral, energy and temporal error and retained-band complex error."""
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    head = ", ".join(f"{k} {types[k]}" for k in [*keys, "excerpt"])
-
-    def weights(n: int, cut: float) -> np.ndarray:
-        hz = np.arange(n // 2 + 1) * rate / n
-        start = max(cut - width / 2, 0.0)
-        end = max(cut + width / 2, start)
-        ramp = 0.5 * (1 - np.cos(np.pi * np.clip((hz - start) / max(end - start, 1.0), 0, 1)))
-        return np.where(hz <= start, 0.0, np.where(hz >= end, 1.0, ramp))
-
-    def relative_error(a, b, w, ref):
-        err, high = np.linalg.norm((a - b) * np.sqrt(w)), np.linalg.norm(b * np.sqrt(w))
-        full = np.sqrt(np.mean(ref**2)) * np.sqrt(b.size)
-        return err / max(high, full * relative, absolute)
-
-    def score(batches):
-        for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                waves = [np.asarray(getattr(row, c), float) for c in (predicted, target, degraded)]
-                terms = []
-                for n in sizes:
-                    w = weights(n, getattr(row, cutoff))
-                    z = [np.fft.rfft(_frames(v, n, n // 4) * hann(n), axis=1) for v in waves]
-                    a = [np.abs(v) for v in z]
-                    floor = np.maximum((a[1] ** 2).mean(1) * relative**2, absolute**2)
-                    power = [np.maximum((v**2 * w).mean(1), floor) for v in a[:2]]
-                    low = np.linalg.norm((z[0] - z[2]) * np.sqrt(1 - w))
-                    base = max(np.linalg.norm(z[2] * np.sqrt(1 - w)), np.linalg.norm(a[2]) * relative, absolute)
-                    terms.append((
-                        relative_error(a[0], a[1], w, a[1]), np.abs(10 * np.log10(power[0] / power[1])).mean(),
-                        relative_error(np.diff(a[0], axis=0), np.diff(a[1], axis=0), w, a[1][1:]), low / base,
-                    ))
-                rows.append((*[getattr(row, k) for k in [*keys, "excerpt"]], *np.mean(terms, axis=0)))
-            yield pd.DataFrame(rows, columns=[*keys, "excerpt", "high_spectral", "high_energy", "high_temporal", "low_complex"])
-
-    return df.select(*keys, "excerpt", predicted, target, degraded, cutoff).mapInPandas(score, f"{head}, high_spectral double, high_energy double, high_temporal double, low_complex double")
+    """Mean over window sizes of high-band spectral, energy and temporal error and retained-band complex error.
+
+    All four are sums over a frame table, weighted by the crossover at the excerpt's cutoff; a base
+    never falls below ``relative`` of the whole spectrum or ``absolute``.
+    """
+    own = [*keys, "excerpt"]
+    terms = None
+    for n in sizes:
+        bins = n // 2 + 1
+        frames = excerpt_frames(df.select(*own, predicted, target, degraded, F.col(cutoff).alias("cut")), own, {"p": predicted, "t": target, "d": degraded}, n, n // 4)
+        frames = sp.with_previous(frames.withColumn("w", sp.crossover_weights(F.col("cut"), bins, rate / n, width)), own, ["p", "t"])
+        high = lambda v: sp.total(sp.weighted(v, F.col("w")))
+        kept = F.transform("w", lambda v: 1 - v)
+        step = lambda c: sp.minus(F.col(c), F.col(f"{c}0"))
+        target_power = sp.total(sp.squares(F.col("t")))
+        least = F.greatest(target_power / bins * relative**2, F.lit(absolute**2))
+        level = lambda c: F.greatest(high(sp.squares(F.col(c))) / bins, least)
+        has = F.col("t0").isNotNull()
+        away = sp.complex_error(F.col("p"), F.col("p_phase"), F.col("d"), F.col("d_phase"))
+        sums = frames.groupBy(*own).agg(
+            F.sqrt(F.sum(high(sp.square_error(F.col("p"), F.col("t"))))).alias("e"), F.sqrt(F.sum(high(sp.squares(F.col("t"))))).alias("b"), F.sqrt(F.sum(target_power)).alias("f"),
+            F.avg(F.abs(10 * F.log10(level("p") / level("t")))).alias("high_energy"),
+            F.sqrt(F.sum(F.when(has, high(sp.square_error(step("p"), step("t")))))).alias("de"), F.sqrt(F.sum(F.when(has, high(sp.squares(step("t")))))).alias("db"), F.sqrt(F.sum(F.when(has, target_power))).alias("df"),
+            F.sqrt(F.sum(sp.total(sp.weighted(away, kept)))).alias("le"), F.sqrt(F.sum(sp.total(sp.weighted(sp.squares(F.col("d")), kept)))).alias("lb"), F.sqrt(F.sum(sp.total(sp.squares(F.col("d"))))).alias("lf"),
+        )
+        share = lambda e, b, f: F.col(e) / F.greatest(F.col(b), F.col(f) * relative, F.lit(absolute))
+        one = sums.select(*own, share("e", "b", "f").alias("high_spectral"), "high_energy", share("de", "db", "df").alias("high_temporal"), share("le", "lb", "lf").alias("low_complex"))
+        terms = one if terms is None else terms.unionByName(one)
+    return terms.groupBy(*own).agg(*[F.avg(c).alias(c) for c in ("high_spectral", "high_energy", "high_temporal", "low_complex")])
 
 
 def longform_score(df: DataFrame, keys: list[str], channels: Sequence[tuple[str, str]], rate: int, length: int) -> DataFrame:
@@ -284,26 +284,23 @@ def mid_side_error(df: DataFrame, keys: list[str], left: str, right: str) -> Dat
 
 def delay_estimate(df: DataFrame, clean: str, degraded: str, rate: int, max_lag: int, cutoff_hz: float | None = 8000.0, name: str = "delay") -> DataFrame:
     """Adds the lag of the largest low-band cross-correlation within +-max_lag; 0 on silence."""
-    def low(x: np.ndarray) -> np.ndarray:
-        if cutoff_hz is not None and x.size >= 2:
-            z = np.fft.rfft(x)
-            z[np.fft.rfftfreq(x.size, 1 / rate) > min(cutoff_hz, rate * 0.45)] = 0
-            x = np.fft.irfft(z, n=x.size)
-        return x - x.mean() if x.size else x
-
     @F.pandas_udf("int")
     def lag(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            n = min(len(x), len(y))
-            x, y = low(np.asarray(x, float)[:n]), low(np.asarray(y, float)[:n])
-            if n < 2 or np.linalg.norm(x) < 1e-10 or np.linalg.norm(y) < 1e-10:
-                out.append(0)
-                continue
-            size = 1 << (2 * n - 1).bit_length()
-            corr = np.fft.irfft(np.fft.rfft(y, size) * np.conj(np.fft.rfft(x, size)), size)
-            lags = np.arange(-min(max_lag, n - 1), min(max_lag, n - 1) + 1)
-            out.append(int(lags[int(np.argmax(corr[lags]))]))
+        lengths = np.minimum(a.map(len), b.map(len)).to_numpy()
+        out = np.zeros(len(lengths), dtype=np.int64)
+        for n in np.unique(lengths[lengths > 1]):  # pairs of one length are transformed together
+            rows = np.flatnonzero(lengths == n)
+            pair = [np.stack([np.asarray(v, dtype=np.float64)[:n] for v in s.iloc[rows]]) for s in (a, b)]
+            size = 1 << int(2 * n - 1).bit_length()
+            x, y = (np.fft.rfft(v - v.mean(axis=1, keepdims=True), size, axis=1) for v in pair)
+            if cutoff_hz is not None:
+                kept = np.fft.rfftfreq(size, 1 / rate) <= min(cutoff_hz, rate * 0.45)
+                x, y = x * kept, y * kept
+            reach = min(max_lag, int(n) - 1)
+            lags = np.arange(-reach, reach + 1)
+            best = lags[np.argmax(np.fft.irfft(y * x.conj(), size, axis=1)[:, lags], axis=1)]
+            loud = (np.linalg.norm(x, axis=1) >= 1e-10) & (np.linalg.norm(y, axis=1) >= 1e-10)
+            out[rows] = np.where(loud, best, 0)
         return pd.Series(out)
 
     return df.withColumn(name, lag(clean, degraded))

@@ -125,10 +125,10 @@ FROM embeddings
 SQL["bins"] = """
 SELECT a.track_id, a.frame, unnest(range(64)) AS bin,
        unnest(list_transform(a.samples, lambda v: abs(v))) AS t, unnest(list_transform(a.samples, lambda v: pi() * v)) AS tp,
-       unnest(list_transform(b.samples, lambda v: abs(v))) AS p, unnest(list_transform(b.samples, lambda v: pi() * v)) AS pp,
-       unnest(list_transform(c.samples, lambda v: abs(v))) AS o, unnest(list_transform(c.samples, lambda v: pi() * v)) AS op
-FROM spectra a JOIN spectra b ON a.track_id = b.track_id AND b.frame = a.frame + 1
-JOIN spectra c ON a.track_id = c.track_id AND c.frame = a.frame + 2
+       unnest(list_transform(coalesce(b.samples, a.samples), lambda v: abs(v))) AS p, unnest(list_transform(coalesce(b.samples, a.samples), lambda v: pi() * v)) AS pp,
+       unnest(list_transform(coalesce(c.samples, b.samples, a.samples), lambda v: abs(v))) AS o, unnest(list_transform(coalesce(c.samples, b.samples, a.samples), lambda v: pi() * v)) AS op
+FROM spectra a LEFT JOIN spectra b ON a.track_id = b.track_id AND b.frame = a.frame + 1
+LEFT JOIN spectra c ON a.track_id = c.track_id AND c.frame = a.frame + 2
 """
 
 
@@ -202,7 +202,8 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def consecutive(spectra: DataFrame) -> DataFrame:
     """Frames t (reference), t+1 (prediction) and t+2 (original input) of a track side by side.
 
-    The join key (track, frame) is unique, so a long track spreads over all tasks.
+    A track's last frame stands for the ones after it, so every frame and every track is kept. The
+    join key (track, frame) is unique, so a long track spreads over all tasks.
     """
     def shifted(k: int, m: str, ph: str) -> DataFrame:
         return spectra.select(
@@ -214,6 +215,7 @@ def consecutive(spectra: DataFrame) -> DataFrame:
 
     return (
         shifted(0, "t", "tp")
-        .join(shifted(1, "p", "pp"), ["track_id", "frame"])
-        .join(shifted(2, "o", "op"), ["track_id", "frame"])
+        .join(shifted(1, "p", "pp"), ["track_id", "frame"], "left")
+        .join(shifted(2, "o", "op"), ["track_id", "frame"], "left")
+        .select("track_id", "frame", "t", "tp", F.coalesce("p", "t").alias("p"), F.coalesce("pp", "tp").alias("pp"), F.coalesce("o", "p", "t").alias("o"), F.coalesce("op", "pp", "tp").alias("op"))
     )

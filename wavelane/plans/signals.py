@@ -78,14 +78,15 @@ def f05(spark, sf):
 
 
 @query("f05_compare_bands", with_ctes("dft", body=f"""
-WITH z AS (SELECT a.track_id, a.frame, {BAND.replace('k *', 'a.k *')} AS band, CASE WHEN a.k IN (0, 32) THEN 1 ELSE 2 END / (64 * 24.0::DOUBLE) AS w, a.re * a.re + a.im * a.im AS r, b.re * b.re + b.im * b.im AS o,
- pow(b.re - a.re, 2) + pow(b.im - a.im, 2) AS e FROM dft a JOIN dft b ON a.track_id = b.track_id AND a.k = b.k AND b.frame = a.frame + 1),
+WITH z AS (SELECT a.track_id, a.frame, {BAND.replace('k *', 'a.k *')} AS band, CASE WHEN a.k IN (0, 32) THEN 1 ELSE 2 END / (64 * 24.0::DOUBLE) AS w, a.re * a.re + a.im * a.im AS r, pow(coalesce(b.re, a.re), 2) + pow(coalesce(b.im, a.im), 2) AS o,
+ pow(coalesce(b.re, a.re) - a.re, 2) + pow(coalesce(b.im, a.im) - a.im, 2) AS e FROM dft a LEFT JOIN dft b ON a.track_id = b.track_id AND a.k = b.k AND b.frame = a.frame + 1),
 f AS (SELECT track_id, frame, band, sum(w * r) AS r, sum(w * o) AS o, sum(w * e) AS e FROM z GROUP BY 1, 2, 3)
 SELECT track_id, band, {fx('sqrt(avg(r))')} AS reference, {fx('sqrt(avg(o))')} AS output, {fx('sqrt(avg(e))')} AS error FROM f GROUP BY 1, 2"""))
 def f05_bands(spark, sf):
     s = load(spark, sf, "spectra").select("track_id", "frame", "samples")
     after = s.select("track_id", (F.col("frame") - 1).alias("frame"), F.col("samples").alias("next"))
-    return fixed(sg.compare_bands(s.join(after, ["track_id", "frame"]), K, "next", "samples", 48000, 64), ["reference", "output", "error"])
+    both = s.join(after, ["track_id", "frame"], "left").withColumn("next", F.coalesce("next", "samples"))
+    return fixed(sg.compare_bands(both, K, "next", "samples", 48000, 64), ["reference", "output", "error"])
 
 
 @query("f12_si_sdr", with_ctes("pairsig", body=f"""
@@ -116,20 +117,56 @@ def clips(spark, sf, length=32):
     return sg.excerpts(pair_signal(spark, sf), SK, "sample_ix", ["x", "y"], length)
 
 
-@query("f15_multires_score")
+LONG = 4096
+
+
+def frames_sql(n: int, waves: dict[str, str]) -> str:
+    """CTEs ``c``, ``g`` and ``z<n>``: spectra of all frames of the padded excerpts by their defining sums."""
+    hop, bins = n // 4, n // 2 + 1
+    win = f"(0.5 - 0.5 * cos(2 * pi() * (i - f * {hop}) / {n}))"
+    angle = f"2 * pi() * k * (i - f * {hop}) / {n}"
+    sums = ", ".join(f"sum({v} * {win} * cos({angle})) AS {name}r, sum({v} * {win} * sin({angle})) AS {name}i" for name, v in waves.items())
+    made = ", ".join(f"greatest(sqrt(coalesce({name}r, 0) * coalesce({name}r, 0) + coalesce({name}i, 0) * coalesce({name}i, 0)), 1e-10) AS {name}, coalesce({name}r, 0) AS {name}r, coalesce({name}i, 0) AS {name}i" for name in waves)
+    return f"""r{n} AS (SELECT track_id, channel, excerpt, f, k, {sums} FROM c, range({(LONG - n) // hop + 1}) a(f), range({bins}) b(k) WHERE i >= f * {hop} AND i < f * {hop} + {n} GROUP BY 1, 2, 3, 4, 5),
+z{n} AS (SELECT g.*, f, k, {made} FROM g CROSS JOIN range({(LONG - n) // hop + 1}) a(f) CROSS JOIN range({bins}) b(k) LEFT JOIN r{n} USING (track_id, channel, excerpt, f, k))"""
+
+
+LONG_CLIPS = f"""c AS (SELECT track_id, channel, sample_ix // {LONG} AS excerpt, sample_ix % {LONG} AS i, x, y FROM pairsig), g AS (SELECT DISTINCT track_id, channel, excerpt FROM c)"""
+
+
+def multires_sql(sizes: tuple[int, ...]) -> str:
+    steps, ends = [LONG_CLIPS], []
+    for n in sizes:
+        bins = n // 2 + 1
+        unit = f"sqrt(CASE WHEN k IN (0, {bins - 1}) THEN 1 ELSE 2 END / ({n} * {n * 0.375}::DOUBLE))"
+        band = f"CASE WHEN k * 48000 / {n}.0 < 4000 THEN 0 WHEN k * 48000 / {n}.0 < 8000 THEN 4000 WHEN k * 48000 / {n}.0 < 12000 THEN 8000 WHEN k * 48000 / {n}.0 < 16000 THEN 12000 ELSE 16000 END"
+        steps.append(frames_sql(n, {"p": "y", "t": "x"}))
+        steps.append(f"""m{n} AS (SELECT track_id, channel, excerpt, f, k, {band} AS band, p * {unit} AS p, t * {unit} AS t FROM z{n}),
+f{n} AS (SELECT track_id, channel, excerpt, avg(s) * 1e-4 + 1e-12 AS fl FROM (SELECT track_id, channel, excerpt, f, sum(t * t) AS s FROM m{n} GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+d{n} AS (SELECT *, p - t - lag(p - t) OVER (PARTITION BY track_id, channel, excerpt, k ORDER BY f) AS d, count(*) OVER (PARTITION BY track_id, channel, excerpt, f, band) AS nb FROM m{n} JOIN f{n} USING (track_id, channel, excerpt)),
+b{n} AS (SELECT track_id, channel, excerpt, f, band, sum((p - t) * (p - t)) AS ee, sum(t * t) AS tt, sum(p * p) AS pp, avg(pow(ln(1 + p / sqrt(fl / nb)) - ln(1 + t / sqrt(fl / nb)), 2)) AS ll, sum(d * d) AS dd, max(fl) AS fl FROM d{n} GROUP BY 1, 2, 3, 4, 5),
+a{n} AS (SELECT track_id, channel, excerpt, band, avg(ee) AS ee, avg(tt) + max(fl) AS den, avg(ll) AS ll, avg(pow(sqrt(pp + fl) - sqrt(tt + fl), 2)) AS env, avg(dd) AS dd FROM b{n} GROUP BY 1, 2, 3, 4),
+e{n} AS (SELECT track_id, channel, excerpt, CAST({n} AS INT) AS size, band, unnest(['amplitude', 'log_shape', 'envelope', 'dynamics']) AS component,
+ unnest([sqrt(ee / den + 1e-6) - 1e-3, sqrt(ll + 1e-6) - 1e-3, sqrt(env / den + 1e-6) - 1e-3, sqrt(dd / den + 1e-6) - 1e-3]) AS v, unnest([1.0::DOUBLE, 0.25, 0.1, 0.25]) AS w FROM a{n})""")
+        ends.append(f"SELECT * FROM e{n}")
+    weight = f"v * w / {len(sizes)}.0 * (CASE WHEN band = 0 THEN 0.25 ELSE 1 END / 4.25::DOUBLE)"
+    return "WITH " + ",\n".join(steps) + f"\nSELECT track_id, channel, excerpt, size, CAST(band AS INT) AS band, component, {fx('v')} AS value, {fx(weight)} AS weighted FROM ({' UNION ALL '.join(ends)})"
+
+
+@query("f15_multires_score", with_ctes("pairsig", body=multires_sql((256, 1024, 2048))))
 def f15(spark, sf):
-    out = sg.multires_score(clips(spark, sf), SK, "y", "x", 48000, (4, 8, 16))
+    out = sg.multires_score(clips(spark, sf, LONG), SK, "y", "x", 48000)
     return fixed(out, ["value", "weighted"])
 
 
 @query("f22_inverse_error", with_ctes("dft", body=f"""
-WITH d AS (SELECT a.track_id, a.frame, a.k, b.re - a.re AS re, b.im - a.im AS im FROM dft a JOIN dft b ON a.track_id = b.track_id AND a.k = b.k AND b.frame = a.frame + 1),
+WITH d AS (SELECT a.track_id, a.frame, a.k, coalesce(b.re, a.re) - a.re AS re, coalesce(b.im, a.im) - a.im AS im FROM dft a LEFT JOIN dft b ON a.track_id = b.track_id AND a.k = b.k AND b.frame = a.frame + 1),
 y AS (SELECT track_id, frame, j, sum(CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END * (re * cos(2 * pi() * k * j / 64) - im * sin(2 * pi() * k * j / 64))) / 64 AS x FROM d, range(64) g(j) GROUP BY 1, 2, 3)
 SELECT track_id, {fx('max(abs(x))')} AS max_inverse_error FROM y GROUP BY 1"""))
 def f22_inverse(spark, sf):
     s = load(spark, sf, "spectra").select("track_id", "frame", "samples")
     after = s.select("track_id", (F.col("frame") - 1).alias("frame"), F.col("samples").alias("next"))
-    d = s.join(after, ["track_id", "frame"]).withColumn("e", F.zip_with("next", "samples", lambda a, b: a - b))
+    d = s.join(after, ["track_id", "frame"], "left").withColumn("e", F.zip_with(F.coalesce("next", "samples"), "samples", lambda a, b: a - b))
     # The spectra differ linearly, so the inverse of their difference is the windowed sample difference.
     back = sg.inverse(sg.stft(d, "e"), "log_magnitude", "phase", 64, "y")
     window = F.array(*[F.lit(float(v)) for v in sg.hann(64)])
@@ -144,8 +181,8 @@ def delayed(spark, sf):
 
 
 @query("f23_delay_estimate", with_ctes("signal", body="""
-WITH c AS (SELECT track_id, channel, sample_ix // 32 AS excerpt, sample_ix % 32 AS i, x FROM signal), n AS (SELECT track_id, channel, excerpt FROM c GROUP BY 1, 2, 3 HAVING count(*) = 32),
-b AS (SELECT c.* FROM c JOIN n USING (track_id, channel, excerpt)),
+WITH c AS (SELECT track_id, channel, sample_ix // 32 AS excerpt, sample_ix % 32 AS i, x FROM signal), n AS (SELECT DISTINCT track_id, channel, excerpt FROM c),
+b AS (SELECT n.*, i, coalesce(x, 0) AS x FROM n CROSS JOIN range(32) h(i) LEFT JOIN c USING (track_id, channel, excerpt, i)),
 z AS (SELECT a.track_id, a.channel, a.excerpt, a.i, a.x, coalesce(d.x, 0) AS z FROM b a LEFT JOIN b d ON a.track_id = d.track_id AND a.channel = d.channel AND a.excerpt = d.excerpt AND d.i = a.i - a.track_id % 4),
 m AS (SELECT *, x - avg(x) OVER w AS xc, z - avg(z) OVER w AS zc FROM z WINDOW w AS (PARTITION BY track_id, channel, excerpt)),
 r AS (SELECT p.track_id, p.channel, p.excerpt, l AS lag, sum(p.xc * q.zc) AS c FROM m p, range(-6, 7) g(l), m q WHERE q.track_id = p.track_id AND q.channel = p.channel AND q.excerpt = p.excerpt AND q.i = p.i + l GROUP BY 1, 2, 3, 4)
@@ -251,17 +288,33 @@ def f40_consistency(spark, sf):
     return fixed(sg.spectral_consistency(z, K, 64, 16), ["inconsistency"])
 
 
-@query("f43_multires_reconstruction")
+def reconstruction_sql(sizes: tuple[int, ...], cut: float, width: float) -> str:
+    steps, ends = [LONG_CLIPS.replace(", x, y FROM", ", x, y, x * 0.5 AS h FROM")], []
+    low, high = cut - width / 2, cut + width / 2
+    for n in sizes:
+        hz = f"(k * 48000 / {n}.0::DOUBLE)"
+        w = f"CASE WHEN {hz} <= {low} THEN 0 WHEN {hz} >= {high} THEN 1 ELSE 0.5 * (1 - cos(pi() * ({hz} - {low}) / {high - low}::DOUBLE)) END"
+        steps.append(frames_sql(n, {"p": "y", "t": "x", "d": "h"}))
+        steps.append(f"""m{n} AS (SELECT *, {w} AS w, p - lag(p) OVER v AS p1, t - lag(t) OVER v AS t1 FROM z{n} WINDOW v AS (PARTITION BY track_id, channel, excerpt, k ORDER BY f)),
+b{n} AS (SELECT track_id, channel, excerpt, f, sum((p - t) * (p - t) * w) AS e, sum(t * t * w) AS b, sum(p * p * w) AS bp, sum(t * t) AS q, count(*) AS n, sum((p1 - t1) * (p1 - t1) * w) AS de, sum(t1 * t1 * w) AS db, sum(CASE WHEN t1 IS NOT NULL THEN t * t END) AS dq,
+ sum((pow(pr - dr, 2) + pow(pi - di, 2)) * (1 - w)) AS le, sum(d * d * (1 - w)) AS lb, sum(d * d) AS lq FROM m{n} GROUP BY 1, 2, 3, 4),
+e{n} AS (SELECT track_id, channel, excerpt, sqrt(sum(e)) / greatest(sqrt(sum(b)), sqrt(sum(q)) * 0.01, 1e-7) AS s1, avg(abs(10 * log10(greatest(bp / n, greatest(q / n * 1e-4, 1e-14)) / greatest(b / n, greatest(q / n * 1e-4, 1e-14))))) AS s2,
+ sqrt(sum(de)) / greatest(sqrt(sum(db)), sqrt(sum(dq)) * 0.01, 1e-7) AS s3, sqrt(sum(le)) / greatest(sqrt(sum(lb)), sqrt(sum(lq)) * 0.01, 1e-7) AS s4 FROM b{n} GROUP BY 1, 2, 3)""")
+        ends.append(f"SELECT * FROM e{n}")
+    return "WITH " + ",\n".join(steps) + f"\nSELECT track_id, channel, excerpt, {fx('avg(s1)')} AS high_spectral, {fx('avg(s2)')} AS high_energy, {fx('avg(s3)')} AS high_temporal, {fx('avg(s4)')} AS low_complex FROM ({' UNION ALL '.join(ends)}) GROUP BY 1, 2, 3"
+
+
+@query("f43_multires_reconstruction", with_ctes("pairsig", body=reconstruction_sql((512, 1024, 2048), 9000.0, 4000.0)))
 def f43(spark, sf):
-    c = clips(spark, sf).withColumn("d", F.transform("x", lambda v: v * 0.5)).withColumn("cut", F.lit(9000.0))
-    out = sg.multires_reconstruction(c, SK, "y", "x", "d", "cut", 48000, 4000.0, (8, 16))
+    c = clips(spark, sf, LONG).withColumn("d", F.transform("x", lambda v: v * 0.5)).withColumn("cut", F.lit(9000.0))
+    out = sg.multires_reconstruction(c, SK, "y", "x", "d", "cut", 48000, 4000.0)
     return fixed(out, ["high_spectral", "high_energy", "high_temporal", "low_complex"])
 
 
 @query("f50_longform_score", with_ctes("pairsig", body=f"""
-WITH c AS (SELECT track_id, channel, sample_ix // 32 AS excerpt, sample_ix % 32 AS i, x, y - x AS e FROM pairsig), n AS (SELECT track_id, channel, excerpt FROM c GROUP BY 1, 2, 3 HAVING count(*) = 32),
+WITH c AS (SELECT track_id, channel, sample_ix // 32 AS excerpt, sample_ix % 32 AS i, x, y - x AS e FROM pairsig),
 z AS (SELECT c.track_id, c.channel, c.excerpt, k, sum(x * cos(2 * pi() * k * i / 32)) / 32 AS xr, sum(x * sin(2 * pi() * k * i / 32)) / 32 AS xi, sum(e * cos(2 * pi() * k * i / 32)) / 32 AS er, sum(e * sin(2 * pi() * k * i / 32)) / 32 AS ei
- FROM c JOIN n USING (track_id, channel, excerpt), range(17) g(k) GROUP BY 1, 2, 3, 4), b AS (SELECT *, k * 1500 AS hz, CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END AS w FROM z)
+ FROM c, range(17) g(k) GROUP BY 1, 2, 3, 4), b AS (SELECT *, k * 1500 AS hz, CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END AS w FROM z)
 SELECT track_id, channel, excerpt, CASE WHEN hz < 4000 THEN 0 WHEN hz < 8000 THEN 4000 WHEN hz < 12000 THEN 8000 WHEN hz < 16000 THEN 12000 ELSE 16000 END AS band,
  {fx('sqrt(sum(w * (xr * xr + xi * xi)))')} AS reference_rms, {fx('sqrt(sum(w * (er * er + ei * ei)))')} AS error_rms FROM b GROUP BY 1, 2, 3, 4"""))
 def f50(spark, sf):

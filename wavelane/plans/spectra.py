@@ -300,13 +300,14 @@ def f46(spark, sf):
 
 
 @query("f47_pair_geometry", with_ctes("spectra", body=f"""
-WITH v AS (SELECT a.track_id, a.frame, unnest(a.samples) AS x, unnest(b.samples) AS y FROM spectra a JOIN spectra b ON a.track_id = b.track_id AND b.frame = a.frame + 1),
+WITH v AS (SELECT a.track_id, a.frame, unnest(a.samples) AS x, unnest(coalesce(b.samples, a.samples)) AS y FROM spectra a LEFT JOIN spectra b ON a.track_id = b.track_id AND b.frame = a.frame + 1),
 f AS (SELECT track_id, frame, sum(x * y) / greatest(sqrt(sum(x * x)) * sqrt(sum(y * y)), 1e-8) AS c FROM v GROUP BY 1, 2)
 SELECT v.track_id, {fx('(SELECT avg(c) FROM f WHERE f.track_id = v.track_id)')} AS cosine, {fx('avg((x - y) * (x - y))')} AS contrast, {fx('avg(y * y)')} AS identity_power FROM v GROUP BY 1"""))
 def f47(spark, sf):
     s = load(spark, sf, "spectra")
     after = s.select("track_id", (F.col("frame") - 1).alias("frame"), F.col("samples").alias("next"))
-    return fixed(sp.pair_geometry(s.join(after, ["track_id", "frame"]), K, "samples", "next"), ["cosine", "contrast", "identity_power"])
+    both = s.join(after, ["track_id", "frame"], "left").withColumn("next", F.coalesce("next", "samples"))
+    return fixed(sp.pair_geometry(both, K, "samples", "next"), ["cosine", "contrast", "identity_power"])
 
 
 @query("f48_sc_logmag_bands", with_ctes("fb", body=f"""

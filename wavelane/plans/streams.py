@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,6 +11,7 @@ from wavelane.operators import evidence, sequence
 from wavelane.plans.adapters import load
 from wavelane.plans.evaluation import fixed
 from wavelane.plans.registry import fx, query, with_ctes
+from wavelane.session import shared_folder
 from wavelane.streaming import monitors
 
 R = ["run_id"]
@@ -41,11 +42,7 @@ def event_stream(spark, sf):
 
 def scratch(spark):
     """A new folder for one stream run, on the shared storage the cluster names."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-        return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("r01_framed_hops", with_ctes("signal", body=f"""

@@ -129,8 +129,8 @@ def v09(spark, sf):
 
 @query("v10_validate_pairs", with_ctes("spectra", body=f"""
 WITH p AS (SELECT a.track_id, a.frame, CASE WHEN a.frame % 7 = 0 THEN list_transform(a.samples, lambda v: v * 1e-7) ELSE a.samples END AS c,
-  CASE WHEN a.frame % 11 = 0 THEN list_transform(b.samples, lambda v: v * 100) ELSE b.samples END AS d
-  FROM spectra a JOIN spectra b ON a.track_id = b.track_id AND b.frame = a.frame + 1),
+  CASE WHEN a.frame % 11 = 0 THEN list_transform(coalesce(b.samples, a.samples), lambda v: v * 100) ELSE coalesce(b.samples, a.samples) END AS d
+  FROM spectra a LEFT JOIN spectra b ON a.track_id = b.track_id AND b.frame = a.frame + 1),
 r AS (SELECT *, sqrt(list_sum(list_transform(c, lambda v: v * v)) / len(c)) AS cr, sqrt(list_sum(list_transform(d, lambda v: v * v)) / len(d)) AS dr,
   greatest(list_max(list_transform(c, lambda v: abs(v))), list_max(list_transform(d, lambda v: abs(v)))) AS peak FROM p)
 SELECT track_id, frame, {fx('cr')} AS clean_rms, {fx('dr')} AS degraded_rms,
@@ -139,7 +139,8 @@ def v10(spark, sf):
     s = load(spark, sf, "spectra")
     clean = F.when(F.col("frame") % 7 == 0, F.transform("samples", lambda v: v * 1e-7)).otherwise(F.col("samples"))
     after = s.select("track_id", (F.col("frame") - 1).alias("frame"), F.col("samples").alias("next"))
-    pairs = s.withColumn("clean", clean).join(after, ["track_id", "frame"]).withColumn(
+    both = s.withColumn("clean", clean).join(after, ["track_id", "frame"], "left").withColumn("next", F.coalesce("next", "samples"))
+    pairs = both.withColumn(
         "degraded", F.when(F.col("frame") % 11 == 0, F.transform("next", lambda v: v * 100)).otherwise(F.col("next"))
     )
     out = rules.validate_pairs(pairs, "clean", "degraded")

@@ -62,10 +62,12 @@ def health_counters(df: DataFrame, keys: Sequence[str], width: str, event_time:
 
 
 def window_streaks(df: DataFrame, keys: list[str], seq: str, width: str, event_time: str = "event_time") -> DataFrame:
-    """Longest miss streak that ends inside each window (batch form)."""
+    """Longest miss streak that ends inside each window (batch form); runs may begin at any sequence."""
     d = df.withColumn("_gap_src", F.when(~F.col("missed"), F.col(seq)))
     gap = running_extreme(d, keys, [seq], F.col("_gap_src"), "_g", block(seq))
-    run = F.when(F.col("missed"), F.col(seq) - F.coalesce("_g", F.lit(-1))).otherwise(0)
+    begun = df.groupBy(*keys).agg((F.min(seq) - 1).alias("_b"))
+    gap = null_safe_join(gap, begun, list(keys))
+    run = F.when(F.col("missed"), F.col(seq) - F.coalesce("_g", "_b")).otherwise(0)
     return gap.groupBy(*keys, F.window(event_time, width).alias("_w")).agg(F.max(run).alias("max_streak")).select(*keys, F.col("_w.start").alias("window_start"), "max_streak")
 
 
@@ -99,9 +101,10 @@ def sanitize(df: DataFrame, keys: list[str], ordinal: str, value: str) -> DataFr
 
 
 def healthy_gate(df: DataFrame, keys: list[str], seq: str, ready: Column, silent: Column) -> DataFrame:
-    """Adds ``enhance``: this hop and the one before are ready, and the hop is not silent."""
+    """Adds ``enhance``: this hop and the hop of the sequence before are ready, and the hop is not silent."""
     w = Window.partitionBy(*keys, "_block").orderBy(seq)
-    out = with_halo(df.withColumn("_r", F.coalesce(ready, F.lit(False))), seq, 1).withColumn("_q", F.coalesce(F.lag("_r").over(w), F.lit(False)))
+    before = F.coalesce(F.lag("_r").over(w) & (F.lag(seq).over(w) == F.col(seq) - 1), F.lit(False))
+    out = with_halo(df.withColumn("_r", F.coalesce(ready, F.lit(False))), seq, 1).withColumn("_q", before)
     return out.filter(~F.col("_halo")).withColumn("enhance", F.col("_r") & F.col("_q") & ~F.coalesce(silent, F.lit(False))).drop("_block", "_halo", "_r", "_q")
 
 
