@@ -21,7 +21,6 @@ are written each, ordered by text; an empty table gives an empty file.
 from __future__ import annotations
 
 import os
-import re
 import sys
 import zlib
 from collections.abc import Iterator
@@ -38,20 +37,25 @@ COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
 BLOCK = 1 << 16
 #: Cached units of one Python worker.
-CACHED = 1 << 20
+CACHED = 5 << 18
+#: White space beside the space and the line feed.
+OTHER_SPACES = "\t\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SCHEMA = "shard int, block int, start bigint, n_ids bigint, words binary, doc_ids array<bigint>, doc_counts array<bigint>"
 
 
 def _next_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every position: the selector of the fullest word that could begin there, and its ids."""
     n = len(ids)
+    if n and int(ids.max()) < 1 << 32:
+        ids = ids.astype(np.uint32)
     selector = np.full(n, ESCAPE, dtype=np.int8)
     taken = np.ones(n, dtype=np.int64)
     at = np.arange(n)
     for s in range(len(COUNTS) - 1, -1, -1):
         count, bits = COUNTS[s], 60 // COUNTS[s]
-        big = np.zeros(n + 1, dtype=np.int64)
-        np.cumsum(ids >> np.uint64(bits) != 0, out=big[1:])
+        big = np.zeros(n + 1, dtype=np.int32)
+        if bits < 8 * ids.itemsize:
+            np.cumsum(ids >= 1 << bits, out=big[1:])
         stop = np.minimum(at + count, n)
         fits = big[stop] == big[:n]
         if not fits.any():
@@ -118,9 +122,10 @@ def decode(words: bytes, n_ids: int) -> np.ndarray:
 class UnitEncoder:
     """Ids of a text as bytes (32-bit little-endian), by the tokenizers library.
 
-    The byte-level pre-tokenizer always parts a text before a space that stands between two other
-    characters, and between a letter and one of ``,.!?;:|$%&*#``. Units cut there are given to the
-    library in batches and kept; texts with other white space go to it whole.
+    The byte-level pre-tokenizer always parts a text before a space that follows another character
+    and is no first one of several spaces, and between a letter and one of ``MARKS``. Units cut there
+    are given to the library once, many in one text with line feeds between them, and kept; texts
+    with two spaces in a row, or with other white space, go to it whole.
     """
 
     MARKS = ",.!?;:|$%&*#"
@@ -131,47 +136,65 @@ class UnitEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        # The cache outlives the task in a reused worker process.
+        (self.feed,) = self.library.encode("\n", add_special_tokens=False).ids
+        # The cache outlives the task in a reused worker process; units are held without their space.
         store = vars(sys.modules["tokenizers"]).setdefault("_unit_ids", {})
         self.known: dict[str, bytes] = store.setdefault(path, {})
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _apart(self, units: list[str], lead: str) -> list[bytes]:
+        """Ids of units, each with ``lead`` before it; those without white space go in as lines of one text."""
+        plain = [u for u in units if "\n" not in u]
+        out: dict[str, bytes] = {}
+        for low in range(0, len(plain), 8192):
+            part = plain[low : low + 8192]
+            ids = np.array(self.library.encode_batch_fast(["".join([f"{lead}{u}\n" for u in part])], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.feed)
+            if len(ends) == len(part):
+                data, begin = ids.tobytes(), 0
+                for u, end in zip(part, (4 * ends).tolist()):
+                    out[u] = data[begin:end]
+                    begin = end + 4
+        left = [u for u in units if u not in out]
+        out.update(zip(left, self._raw([lead + u for u in left])))
+        return [out[u] for u in units]
+
     def _learn(self, units: set[str]) -> None:
-        known, split, fresh = self.known, [], set()
+        known, split, fresh, marks_of = self.known, [], set(), set()
         for unit in units:
             word = unit.rstrip(self.MARKS)
-            if word and word is not unit and len(word) != len(unit) and word[-1].isalpha():
-                split.append((unit, word, unit[len(word) :]))
-                fresh.update(x for x in split[-1][1:] if x not in known)
+            if len(word) != len(unit) and word and word[-1].isalpha():
+                marks = unit[len(word) :]
+                split.append((unit, word, marks))
+                marks_of.add(marks)
+                if word not in known:
+                    fresh.add(word)
             else:
                 fresh.add(unit)
         todo = list(fresh)
-        for low in range(0, len(todo), 4096):
-            part = todo[low : low + 4096]
-            known.update(zip(part, self._raw(part)))
+        known.update(zip(todo, self._apart(todo, " ")))
+        after = dict(zip(marks_of, self._raw(list(marks_of))))
         for unit, word, marks in split:
-            known[unit] = known[word] + known[marks]
+            known[unit] = known[word] + after[marks]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHED:
-            self.known.clear()
-        odd = re.compile(r"\s\s|^\s|\s$|[^\S\n ]|<\|")
-        parts: list[list[str] | None] = []
-        for text in texts:
-            if not text or odd.search(text):
-                parts.append(None)
-                continue
-            units = text.split(" ")
-            parts.append([units[0], *(" " + u for u in units[1:])])
-        unknown = {u for p in parts if p for u in p if u not in self.known}
+        known = self.known
+        if len(known) > CACHED:
+            kept = {k: v for k, v in known.items() if len(k) <= 6}  # short words come back soonest
+            known.clear()
+            known.update(kept if len(kept) < CACHED // 2 else {})
+        parts = [t.split(" ") if t and "  " not in t and not any(c in t for c in OTHER_SPACES) else None for t in texts]
+        unknown = set().union(*[p[1:] for p in parts if p]).difference(known)
         if unknown:
             self._learn(unknown)
+        starts = list({p[0] for p in parts if p})
+        first = dict(zip(starts, self._apart(starts, "")))
         whole = [i for i, p in enumerate(parts) if p is None and texts[i]]
         raw = dict(zip(whole, self._raw([texts[i] for i in whole])))
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) if p else raw.get(i, b"") for i, p in enumerate(parts)]
+        get = known.__getitem__
+        return [first[p[0]] + b"".join(map(get, p[1:])) if p else raw.get(i, b"") for i, p in enumerate(parts)]
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, block: int = BLOCK) -> None:
