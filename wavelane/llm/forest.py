@@ -11,7 +11,7 @@ form a *region*.
    sorted by the signature order, and each row is paired with the next one. Documents of such large
    regions are also indexed by their rarest shingles (any two sets at the wanted similarity share
    one of those; holders that no partner at a shingle's best place could match are left out), and
-   meet the smallest set that holds the shingle.
+   for each of them meet the holder at the best place and one more, a different one by shingle.
 3. Regions and shingles whose documents are by then in one component are done. In the others,
    small regions of any tree compare their documents across components, and so do the holders of a
    rare shingle, so that no link is left out and a large group of copies makes no pairs.
@@ -173,9 +173,14 @@ def _rare_holders(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _hub_pairs(holders: DataFrame) -> DataFrame:
-    """Each holder of a shingle with the smallest set that holds it."""
-    hubs = holders.groupBy("s").agg(F.min(F.struct("n", "doc_id")).alias("hub")).select("s", F.col("hub.doc_id").alias("hub"))
-    met = holders.join(hubs, "s").filter("doc_id <> hub")
+    """Each holder of a shingle with the one where it stands at the best place, and with one that the shingle's own hash order picks.
+
+    The holder at the best place has the fewest shingles of its own: of a group of copies, the one
+    closest to all others.
+    """
+    drawn = F.struct(F.xxhash64("doc_id", "s").alias("h"), "doc_id")
+    hubs = holders.groupBy("s").agg(F.min(F.struct("p", "n", "doc_id")).alias("best"), F.min(drawn).alias("drawn")).select("s", F.array("best.doc_id", "drawn.doc_id").alias("hubs"))
+    met = holders.join(hubs, "s").select("doc_id", F.explode("hubs").alias("hub")).filter("doc_id <> hub")
     return met.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
 
 
