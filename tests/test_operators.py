@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wavelane.operators import aggregates, graph, joins, rules, sampling, selection, sequence
+from wavelane.functions.ordinals import block
+from wavelane.operators import aggregates, graph, joins, rules, sampling, selection, sequence, signal
+from wavelane.streaming import monitors
 
 
 def test_greedy_selection_equals_the_sequential_scan(spark):
@@ -126,3 +128,45 @@ def test_results_do_not_depend_on_partitioning(spark):
         lambda d: aggregates.top_k(d, ["corpus"], "row_id", "v", 5).select("corpus", "rank", "row_id"),
     ):
         assert sorted(map(tuple, op(df.repartition(1)).collect())) == sorted(map(tuple, op(df.repartition(7)).collect()))
+
+
+def test_excerpts_keep_every_sample(spark):
+    rows = [("a", i, float(i + 1)) for i in range(70)] + [("b", 0, 1.0), ("b", 3, 4.0)]
+    out = {(r.k, r.excerpt): r for r in signal.excerpts(spark.createDataFrame(rows, "k string, i bigint, x double"), ["k"], "i", ["x"], 32).collect()}
+    assert sorted(out) == [("a", 0), ("a", 1), ("a", 2), ("b", 0)] and all(len(r.x) == 32 for r in out.values())
+    assert out["a", 2].valid == 6 and out["a", 2].x[:7] == [65.0, 66.0, 67.0, 68.0, 69.0, 70.0, 0.0]
+    assert out["b", 0].x[:5] == [1.0, 0.0, 0.0, 4.0, 0.0] and sum(sum(r.x) for r in out.values()) == sum(x for _, _, x in rows)
+
+
+def test_draws_are_never_lost(spark):
+    rows = [("a", i, 1.0 / (i + 3), 9000) for i in range(500)] + [("b", 1, 0.0, 9000)]
+    df = spark.createDataFrame(rows, "corpus string, row bigint, w double, n bigint")
+    assert sampling.weighted_draws(df, "corpus", "row", "w", "n", {"a": 1.0}, 3000, 4, 100, block("row", 64)).count() == 3000
+    for absent in ("b", "c"):
+        with pytest.raises(ValueError, match=absent):
+            sampling.weighted_draws(df, "corpus", "row", "w", "n", {"a": 1.0, absent: 1.0}, 10, 4, 100, block("row"))
+
+
+def test_balanced_selection_is_the_same_for_any_page(spark):
+    rows = [(i, None if i % 2 else "g", None if i % 3 == 0 else f"a{i % 4}", f"k{i // 2}") for i in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, genre string, author string, key string")
+    picks = [sorted((r.id, r.pick) for r in graph.select_balanced(df, "id", "genre", "author", ["key"], 5, page=p).collect()) for p in (1, 3, 256)]
+    assert picks[0] == picks[1] == picks[2] and {i % 2 for i, _ in picks[0]} == {0, 1}
+    chosen = {i for i, _ in picks[0]}
+    assert any(i % 3 == 0 for i in chosen) and sum(i % 3 == 0 for i in chosen) <= 3
+
+
+def test_streaks_and_gates_of_runs_that_begin_anywhere(spark):
+    rows = [("r", s, s in (1000, 1001), "2024-01-01 00:00:00") for s in range(1000, 1004)]
+    df = spark.createDataFrame(rows, "run string, seq bigint, missed boolean, t string").withColumn("event_time", F.to_timestamp("t"))
+    assert monitors.window_streaks(df, ["run"], "seq", "1 minute").first().max_streak == 2
+    gate = spark.createDataFrame([("r", s, True, False) for s in (10, 13, 14, 65534, 65537, 65538)], "run string, seq bigint, ready boolean, silent boolean")
+    out = {r.seq: r.enhance for r in monitors.healthy_gate(gate, ["run"], "seq", F.col("ready"), F.col("silent")).collect()}
+    assert out == {10: False, 13: False, 14: True, 65534: False, 65537: False, 65538: True}
+
+
+def test_cap_ranks_only_what_it_can_keep(spark):
+    rows = [(i, f"s{i % 7}" if i % 11 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id bigint, s string")
+    out = sampling.stratified_cap(df, ["s"], "id", 50, 3).collect()
+    assert len(out) == 50 and sum(r.mandatory for r in out) == 8 and {r.s for r in out} == {None, *(f"s{k}" for k in range(7))}

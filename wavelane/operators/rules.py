@@ -207,10 +207,10 @@ def publisher_evidence(df: DataFrame, url: str, published_urls: str, files: str,
     file = F.filter(F.col(files), lambda f: f["name"] == F.col(name))[0]
     reason = first_reason(
         [
-            ("license requires separate review", key.isNull()),
-            ("publisher/catalog license mismatch", ~F.exists(published_urls, lambda u: F.coalesce(license_key(u) == key, F.lit(False)))),
-            ("missing publisher original file", ~F.coalesce(file["source"] == "original", F.lit(False))),
-            ("publisher original checksum mismatch", ~file["md5"].eqNullSafe(F.col(md5))),
+            ("license_not_preapproved", key.isNull()),
+            ("license_differs_from_publisher", ~F.exists(published_urls, lambda u: F.coalesce(license_key(u) == key, F.lit(False)))),
+            ("no_original_file", ~F.coalesce(file["source"] == "original", F.lit(False))),
+            ("original_checksum_differs", ~file["md5"].eqNullSafe(F.col(md5))),
         ]
     )
     return df.withColumn("licence", key).withColumn("evidence_reason", reason)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavelane.functions.hashing import hash_bucket, hash_integer, hash_uniform, text_hash
@@ -42,18 +42,25 @@ def is_inner_validation(track: Column, label: str = "gain-inner-v1", modulus: in
 def stratified_cap(df: DataFrame, strata: Sequence[str], row: str, n: int, seed: int) -> DataFrame:
     """At most ``n`` rows: the hash-least row of every stratum, the rest by hash.
 
-    Fails when ``n`` cannot hold one row per stratum. Adds ``mandatory``.
+    Fails when ``n`` cannot hold one row per stratum. Adds ``mandatory``. Only rows below the hash
+    bucket in which the n-th row lies, and the strata's own rows, are ranked.
     """
     h = text_hash(seed, F.col(row).cast("string"))
     hashed = df.withColumn("_h", h)
     first = hashed.groupBy(*strata).agg(F.min("_h").alias("_m"))
     size = first.agg(F.count(F.lit(1)).alias("_strata"))
-    flagged = null_safe_join(hashed, first, list(strata)).withColumn("mandatory", F.col("_h") == F.col("_m"))
+    counts = hashed.groupBy(hash_bucket(F.col("_h")).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))  # one row a bucket
+    upto = counts.select("_b", F.sum("_n").over(Window.orderBy("_b")).alias("_upto"))
+    edge = upto.filter(F.col("_upto") >= n).agg(F.min("_b")).first()[0]
+    below = F.lit(True) if edge is None else hash_bucket(F.col("_h")) <= edge
+    own = null_safe_join(hashed.filter(~below), first.withColumnRenamed("_m", "_h"), [*strata, "_h"]).withColumn("mandatory", F.lit(True))
+    low = null_safe_join(hashed.filter(below), first, list(strata)).withColumn("mandatory", F.col("_h") == F.col("_m")).drop("_m")
+    flagged = low.unionByName(own)
     bucket = F.when(F.col("mandatory"), F.lit(-1)).otherwise(hash_bucket(F.col("_h")))
     ranked = ordinal(flagged, [], ["_h"], bucket, "_pos")
     ranked = attach_row(ranked, size)
     ok = F.when(F.col("_strata") <= n, F.col("_pos") <= n).otherwise(F.raise_error(F.lit("cap cannot preserve every stratum")).cast("boolean"))
-    return ranked.filter(ok).drop("_h", "_m", "_pos", "_strata")
+    return ranked.filter(ok).drop("_h", "_pos", "_strata")
 
 
 def weighted_mix(df: DataFrame, source: str, weight: str, ratios: dict[str, float]) -> DataFrame:

@@ -152,9 +152,9 @@ WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://creativecommons
   WHEN 2 THEN 'https://creativecommons.org/licenses/by-nc/4.0/' ELSE 'https://example.org/licenses/by/4.0/' END AS url, md5(html) AS md5,
   CASE WHEN page_id % 5 = 0 THEN 'derivative' ELSE 'original' END AS source, page_id % 9 = 0 AS stale, page_id % 10 < 7 AS by4 FROM pages),
 k AS (SELECT *, CASE page_id % 4 WHEN 0 THEN '/licenses/by/4.0' WHEN 1 THEN '/licenses/by/3.0' END AS licence FROM p)
-SELECT page_id, licence, CASE WHEN licence IS NULL THEN 'license requires separate review'
-  WHEN licence <> CASE WHEN by4 THEN '/licenses/by/4.0' ELSE '/licenses/by/3.0' END THEN 'publisher/catalog license mismatch'
-  WHEN source <> 'original' THEN 'missing publisher original file' WHEN stale THEN 'publisher original checksum mismatch' END AS evidence_reason FROM k""")
+SELECT page_id, licence, CASE WHEN licence IS NULL THEN 'license_not_preapproved'
+  WHEN licence <> CASE WHEN by4 THEN '/licenses/by/4.0' ELSE '/licenses/by/3.0' END THEN 'license_differs_from_publisher'
+  WHEN source <> 'original' THEN 'no_original_file' WHEN stale THEN 'original_checksum_differs' END AS evidence_reason FROM k""")
 def v11(spark, sf):
     k = F.col("page_id")
     base = "https://creativecommons.org/licenses/"
