@@ -76,7 +76,7 @@ def tilted_rates(by_size: DataFrame, targets: DataFrame, cap: int = CAP, toleran
     rate = F.least(F.lit(float(cap)), raw)
     for _ in range(most):
         state = cut(state)
-        if not state.agg(F.max("gap")).first()[0] or state.agg(F.max("gap")).first()[0] <= tolerance:
+        if (state.agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
             break
         at = null_safe_join(grid, state.select("source", "lam", "low", "high"), ["source"])
         slope = F.when(raw < cap, words * F.col("size") / F.col("scale") * raw).otherwise(0.0)
