@@ -44,24 +44,31 @@ SCHEMA = "shard int, block int, start bigint, n_ids bigint, words binary, doc_id
 
 
 def _next_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every position: the selector of the fullest word that could begin there, and its ids."""
-    n = len(ids)
-    if n and int(ids.max()) < 1 << 32:
+    """For every position: the selector of the fullest word that could begin there, and its ids.
+
+    Ids that fit a fuller word also fit every emptier one, so each selector only looks at the
+    positions that the one before it left.
+    """
+    n, most = len(ids), int(ids.max()).bit_length() if len(ids) else 0
+    if most <= 32:
         ids = ids.astype(np.uint32)
     selector = np.full(n, ESCAPE, dtype=np.int8)
     taken = np.ones(n, dtype=np.int64)
     at = np.arange(n)
     for s in range(len(COUNTS) - 1, -1, -1):
         count, bits = COUNTS[s], 60 // COUNTS[s]
-        big = np.zeros(n + 1, dtype=np.int32)
-        if bits < 8 * ids.itemsize:
-            np.cumsum(ids >= 1 << bits, out=big[1:])
         stop = np.minimum(at + count, n)
-        fits = big[stop] == big[:n]
-        if not fits.any():
-            break  # narrower ids are rarer still
-        selector[fits] = s
-        taken[fits] = (stop - at)[fits]
+        if bits < most:
+            big = np.zeros(n + 1, dtype=np.int32)
+            np.cumsum(ids >= 1 << bits, out=big[1:])
+            fits = big[stop] == big[at]
+            at, stop = at[fits], stop[fits]
+        elif s and 60 // COUNTS[s - 1] >= most:
+            continue  # the next selector fits everywhere too
+        if not len(at):
+            break
+        selector[at] = s
+        taken[at] = stop - at
     return selector, taken
 
 
