@@ -21,7 +21,8 @@ confirmed on the full shingle sets. A pair at 0.75 shares no region with probabi
 
 Defined cases: null text counts as empty; empty texts have no shingles and are their own group;
 with fewer than five words the whole sequence is the one shingle; repeated rows stay and get the
-same group; null ids get a null group. Extra columns are ignored by ``components``.
+same group; a row without an id takes the group of an equal text, or none, its ``kept`` is null and
+``keep_one`` leaves it in. Extra columns are ignored by ``components`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
