@@ -289,3 +289,9 @@ def test_main_text_of_other_layouts(spark):
 <div class="sidebar"><p>{long}</p></div><div id="content"><h1>Bridge</h1><p>{long}<p>Yes &amp; n<b>o</b>.</p></div><div class="reader-comments"><p>{long}</p></div>
 <div class="notice">{long}</div><form><p>{long}</p></form><script>var a="<p>x</p>";</script><aside>{long}</aside><div class="ad">{long}</div><footer>&copy; 1</footer></body></html>"""
     assert pages.main_text(page, tree) == f"Bridge {long} Yes & no."
+
+
+def test_kept_documents_are_the_judged_ones(spark, documents):
+    judged = {r.doc_id for r in quality.judge(documents).filter("kept").collect()}
+    kept = quality.keep(documents)
+    assert kept.columns == documents.columns and sorted(r.doc_id for r in kept.collect()) == sorted(judged) and judged
