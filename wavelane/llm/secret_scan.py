@@ -7,9 +7,16 @@ whether uniform random symbols could look like it: chi-squared uniformity over t
 about the alphabet's middle, and lag-one serial correlation. A run's p-value is three times the
 smallest of them. Over the whole corpus, per encoding and length class, the Benjamini-Hochberg
 step-up rule then rejects runs as not random: of those dismissed, a share ``ALPHA`` at most is
-expected to be random. What remains is a ``random`` span. Short runs are thus judged against short
-runs only. The rule needs counts of p-values in fixed bins (a few thousand rows for any input);
-its cut-offs are one row that goes to every task.
+expected to be random.
+
+What the battery leaves must also be unlike text. A run's odds are its probability as uniform
+symbols of its encoding over its probability as words, numbers and separators (a fixed chain over
+pairs of characters, with shares for repeats, for steps of one and for anything). If a run is drawn
+from that chain, the expected odds are 1 at most, so the step-up rule on odds, again per encoding
+and length class, holds the share of such text among the reported ``random`` spans to ``ALPHA``:
+with ``k`` of ``n`` runs reported, each has odds of ``n / (ALPHA * k)`` at least. Dismissed runs
+count as odds 0. Both rules need counts in fixed bins only (a few thousand rows for most inputs,
+bounded for any); their cut-offs are one row that goes to every task.
 
 A document's spans are made from its own text in one projection; documents are never shuffled.
 
@@ -20,6 +27,8 @@ rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +52,48 @@ ALPHABETS = {"hex": DIGITS + "abcdef", "HEX": DIGITS + "ABCDEF", "base32": UPPER
 LENGTHS = (16, 20, 24, 32, 48, 96)
 ALPHA = 0.05
 STEP, BINS = 0.05, 400
+#: Odds are kept as whole bits, rounded down, from 0 to this.
+MOST_BITS = 40
+SYMBOLS = UPPER + LOWER + DIGITS + "+/-_"
+#: Quarter bits, as base-62 digits, of each next letter at a word's start and after each letter: half English prose and
+#: identifiers, half the four languages of the test documents.
+PAIRS = """
+ELHHDKQLFZWJLIEKSHGBOQMgcY QOIJNYPUGcVFJ9QPcEEAHSUXUj GZRV8YacKIe7ZZFVeMNYHfdeFZ FfSaEbh8BjIITaAXdMRENcfiRi
+FNVN5YVMCchOcNCXhMIKKcReSh FTKFJOTRJfbGPBOOU9DHQRRNWT FUTRFGVT9eYJWU9TcCMJHZbeSZ DPUa6aQGFeWKSGJVeHEKJUReRU
+AOWh5fXKGnYNaLGXgMKGUXPmbW ORINFJOZVgdJK6CQZNEDfPbUoS 5TST8TTTRTSTTTEQTRITGTTTTT KSTP3TQLHXWJVLPKVRESOVJXWW
+EWWO7EdiDgfEaZGWgYJMKcdlCf BMbP6cfeDgbSMZECgTKSJfdgag GPJBCTCMIdUNWLETXOHAQSRgZa TPMKTGVjLcXOK6SMcAIJCRPbec
+9cSQBHdPLgaEVaDJeCMFJVXgJg XYYWYXYYXXYPXVTYXTVX1YXYYY DPOQ6WMOGgTQNIEVeHIHNSSjOb KVHU9ZTDFXXQRSJLVQH8KeViQk
+HUTYCYe6AocRZSGThGKMLcTjPP JONM9OTSLjaGJBMJWDGFbWYFjb AaYb4ZaZ9cbbUXIabZWabaZbbb CZaSFZd4BddTcNIbaIMZbcWadc
+ETBVDRXUEYYMNYJDPLR8XPXQPV IMQTCSVIHZZLLFFCXMCBWVKYVU GNMR8VPRFTQNNTORRQNM6QWWVP
+""".split()
+#: Shares of the chain of characters: the kinds' own pairs, the same again, one further, anything.
+SHARES = (0.8, 0.06, 0.06, 0.08)
+#: After a lower-case letter, an upper-case one, a digit, a separator: how often each of these follows.
+FOLLOW = {"l": (0.88, 0.02, 0.03, 0.07), "u": (0.42, 0.5, 0.04, 0.04), "d": (0.12, 0.08, 0.6, 0.2), "s": (0.6, 0.15, 0.2, 0.05)}
+
+
+def _kind(c: str) -> str:
+    return "l" if c in LOWER else "u" if c in UPPER else "d" if c in DIGITS else "s"
+
+
+def word_bits() -> list[float]:
+    """Bits of ``SYMBOLS[j]`` after ``SYMBOLS[i]`` in text, at ``i * len(SYMBOLS) + j``; a run begins as after a separator."""
+    digits = DIGITS + UPPER + LOWER
+    letter = [[2 ** (-digits.index(x) / 4) for x in row] for row in PAIRS]
+    letter = [[x / sum(row) for x in row] for row in letter]
+    own, same, further, any_ = SHARES
+    out = []
+    for a in SYMBOLS:
+        for b in SYMBOLS:
+            k = _kind(b)
+            share = FOLLOW[_kind(a)]["luds".index(k)]
+            if k in "lu":
+                share *= letter[1 + LOWER.index(a.lower()) if _kind(a) in "lu" else 0][LOWER.index(b.lower())]
+            else:
+                share /= 10 if k == "d" else 4
+            step = SYMBOLS.index(b) - SYMBOLS.index(a) == 1 and k == _kind(a)
+            out.append(-math.log2(own * share + same * (a == b) + further * step + any_ / len(SYMBOLS)))
+    return out
 
 
 def _spans(text: Column, pattern: str, group: int, least: int, kind: str) -> Column:
@@ -87,12 +138,13 @@ def upper_tail(z: Column) -> Column:
 
 
 def battery(runs: Column) -> Column:
-    """For an array of ``struct(start, v)``: ``struct(start, end, class, bin)`` of the runs that have a known encoding."""
+    """For an array of ``struct(start, v)``: ``struct(start, end, class, bin, odds)`` of the runs that have a known encoding."""
+    bits = F.split(F.lit(",".join(f"{x:.4f}" for x in word_bits())), ",").cast("array<double>")
     alphabets = F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair])
     named = F.transform(runs, lambda r: F.struct(r["start"].alias("start"), r["v"].alias("v"), _encoding(r["v"]).alias("code")))
     mixed = F.filter(named, lambda r: r["code"].isNotNull() & r["v"].rlike("[0-9]") & r["v"].rlike("[A-Za-z]"))
     spelled = F.transform(mixed, lambda r: F.struct(r["start"].alias("start"), r["code"].alias("code"), alphabets[r["code"]].alias("letters"), F.filter(F.split(r["v"], ""), lambda c: c != "").alias("chars")))
-    valued = F.transform(spelled, lambda r: F.struct(r["start"].alias("start"), r["code"].alias("code"), F.length(r["letters"]).alias("a"), F.transform(r["chars"], lambda c: F.instr(r["letters"], c) - 1).alias("x")))
+    valued = F.transform(spelled, lambda r: F.struct(r["start"].alias("start"), r["code"].alias("code"), F.length(r["letters"]).alias("a"), F.transform(r["chars"], lambda c: F.instr(r["letters"], c) - 1).alias("x"), F.transform(r["chars"], lambda c: F.instr(F.lit(SYMBOLS), c) - 1).alias("y")))
 
     def moments(r: Column) -> Column:
         n = F.size(r["x"])
@@ -105,7 +157,9 @@ def battery(runs: Column) -> Column:
         squares = F.aggregate(r["x"], F.lit(0.0), lambda t, e: t + e * e)
         lagged = F.aggregate(pairs, F.lit(0.0), lambda t, e: t + e["p"] * e["q"])
         ends = F.element_at(r["x"], 1) + F.element_at(r["x"], -1)
-        return F.struct(r["start"].alias("start"), r["code"].alias("code"), r["a"].alias("a"), n.cast("double").alias("n"), (fits * r["a"] / n).alias("chi"), high.cast("double").alias("hi"), turns.cast("double").alias("turns"), total.alias("total"), squares.alias("squares"), lagged.alias("lagged"), ends.cast("double").alias("ends"))
+        after = F.arrays_zip(F.concat(F.array(F.lit(SYMBOLS.index("-"))), F.slice(r["y"], F.lit(1), n - 1)).alias("p"), r["y"].alias("q"))
+        words = F.aggregate(after, F.lit(0.0), lambda t, e: t + F.get(bits, e["p"] * len(SYMBOLS) + e["q"]))
+        return F.struct(r["start"].alias("start"), r["code"].alias("code"), r["a"].alias("a"), (words - n * F.log2(r["a"])).alias("odds"), n.cast("double").alias("n"), (fits * r["a"] / n).alias("chi"), high.cast("double").alias("hi"), turns.cast("double").alias("turns"), total.alias("total"), squares.alias("squares"), lagged.alias("lagged"), ends.cast("double").alias("ends"))
 
     def p_values(m: Column) -> Column:
         n, df = m["n"], m["a"] - 1
@@ -124,7 +178,7 @@ def battery(runs: Column) -> Column:
         length = F.lit(0)
         for i, least in enumerate(LENGTHS):
             length = F.when(n >= least, i).otherwise(length)
-        return F.struct(m["start"].alias("start"), (m["start"] + n.cast("int")).alias("end"), F.concat_ws("/", m["code"], length.cast("string")).alias("class"), place.alias("bin"))
+        return F.struct(m["start"].alias("start"), (m["start"] + n.cast("int")).alias("end"), F.concat_ws("/", m["code"], length.cast("string")).alias("class"), place.alias("bin"), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(float(MOST_BITS)), m["odds"]))).cast("int").alias("odds"))
 
     return F.transform(F.transform(valued, moments), p_values)
 
@@ -140,18 +194,25 @@ def candidates(text: Column) -> Column:
         return F.struct((start + F.coalesce(F.length(x["v"]), F.lit(0))).alias("at"), F.when(useful, F.concat(done["out"], run)).otherwise(done["out"]).alias("out"))
 
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,v:string>>").alias("out"))
-    none = F.array().cast("array<struct<start:int,end:int,class:string,bin:int>>")
+    none = F.array().cast("array<struct<start:int,end:int,class:string,bin:int,odds:int>>")
     return F.when(text.rlike(HINTS["random"]), battery(F.aggregate(parts, empty, step, lambda done: done["out"]))).otherwise(none)
 
 
 def cut_offs(tested: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """One row: a map from class to the smallest rejected bin, by the step-up rule on binned p-values."""
-    bins = tested.select(F.explode("secret_runs").alias("r")).groupBy("r.class", "r.bin").agg(F.count(F.lit(1)).alias("n"))
-    smallest_first = Window.partitionBy("class").orderBy(F.desc("bin"))
-    upto, whole = F.sum("n").over(smallest_first), F.sum("n").over(Window.partitionBy("class"))
-    ranked = bins.select("class", "bin", (F.pow(F.lit(10.0), -F.col("bin") * STEP) <= alpha * upto / whole).alias("rejected"))
-    edges = ranked.filter("rejected").groupBy("class").agg(F.min("bin").alias("edge"))
-    return edges.agg(F.map_from_entries(F.collect_list(F.struct("class", "edge"))).alias("secret_edges"))
+    """One row: a map from class to the smallest bin dismissed as not random (null: none) and the fewest bits reported.
+
+    Classes in which nothing is reported are not in the map.
+    """
+    bins = tested.select(F.explode("secret_runs").alias("r")).groupBy("r.class", "r.bin", "r.odds").agg(F.count(F.lit(1)).alias("n"))
+    of_class = Window.partitionBy("class")
+    upto, whole = F.sum("n").over(of_class.orderBy(F.desc("bin"))), F.sum("n").over(of_class)
+    ranked = bins.withColumn("whole", whole).withColumn("rejected", F.pow(F.lit(10.0), -F.col("bin") * STEP) <= alpha * upto / F.col("whole"))
+    edged = ranked.withColumn("edge", F.min(F.when(F.col("rejected"), F.col("bin"))).over(of_class))
+    alive = F.when(F.col("edge").isNull() | (F.col("bin") < F.col("edge")), F.col("n")).otherwise(0)
+    reported = edged.withColumn("alive", alive).withColumn("upto", F.sum("alive").over(of_class.orderBy(F.desc("odds"))))
+    passes = reported.filter((F.col("alive") > 0) & (F.pow(F.lit(2.0), F.col("odds")) * alpha * F.col("upto") >= F.col("whole")))
+    edges = passes.groupBy("class").agg(F.min("edge").alias("edge"), F.min("odds").alias("least"))
+    return edges.agg(F.map_from_entries(F.collect_list(F.struct("class", F.struct("edge", "least")))).alias("secret_edges"))
 
 
 def find(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -161,7 +222,7 @@ def find(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     tested = rows.withColumn("secret_runs", candidates(text))
     edged = attach_row(tested.withColumn("secret_base", base_spans(text)), cut_offs(tested, alpha))
     edge = lambda r: F.try_element_at(F.col("secret_edges"), r["class"])
-    random = F.filter("secret_runs", lambda r: F.coalesce(r["bin"] < edge(r), F.lit(True)))
+    random = F.filter("secret_runs", lambda r: F.coalesce(r["odds"] >= edge(r)["least"], F.lit(False)) & F.coalesce(r["bin"] < edge(r)["edge"], F.lit(True)))
     as_spans = F.transform(random, lambda r: F.struct(r["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), r["end"].alias("end")))
     return edged.select("row", "secret_base", F.sort_array(F.concat("secret_base", as_spans)).alias("secret_spans"))
 
