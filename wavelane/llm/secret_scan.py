@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns plus a randomness test battery, all in built-in expressions.
 
-Base spans come from three patterns. The battery looks at every run of 16 or more encoding
-characters that mixes digits and letters. The encoding is inferred from the characters (hex,
+Base spans come from three patterns. The battery looks at every maximal run of 16 or more
+characters of base64, of base64url and of letters and digits alone, so a key is seen as part of a
+path or after a dashed prefix too. The encoding is inferred from the characters (decimal, hex,
 base32, base36, base64), the run becomes symbol values of that alphabet, and three tests ask
 whether uniform random symbols could look like it: chi-squared uniformity over the alphabet, runs
 about the alphabet's middle, and lag-one serial correlation. A run's p-value is three times the
@@ -15,7 +16,10 @@ pairs of characters, with shares for repeats, for steps of one and for anything)
 from that chain, the expected odds are 1 at most, so the step-up rule on odds, again per encoding
 and length class, holds the share of such text among the reported ``random`` spans to ``ALPHA``:
 with ``k`` of ``n`` runs reported, each has odds of ``n / (ALPHA * k)`` at least. Dismissed runs
-count as odds 0. Both rules need counts in fixed bins only (a few thousand rows for most inputs,
+count as odds 0. Digits alone have a chain of their own, with shares for zeros, repeats and steps.
+A
+reported run that holds other reported ones is a span in their place only where what it adds has
+odds of ``1 / ALPHA`` at least. Both rules need counts in fixed bins only (a few thousand rows for most inputs,
 bounded for any); their cut-offs are one row that goes to every task.
 
 A document's spans are made from its own text in one projection; documents are never shuffled.
@@ -45,10 +49,10 @@ BASE = {
 }
 #: Cheap tests a text must pass before a pattern's matches are taken from it.
 HINTS = {"assign": r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": r"AKIA", "hex": r"[0-9a-f]{32}", "random": r"[A-Za-z0-9+/_-]{16}"}
-RUN = r"[A-Za-z0-9+/_-]{16,}"
+RUNS = (r"[A-Za-z0-9+/]{16,}", r"[A-Za-z0-9_-]{16,}", r"[A-Za-z0-9]{16,}")
 DIGITS, UPPER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-ALPHABETS = {"hex": DIGITS + "abcdef", "HEX": DIGITS + "ABCDEF", "base32": UPPER + "234567", "base36": DIGITS + LOWER, "BASE36": DIGITS + UPPER, "base64": UPPER + LOWER + DIGITS + "+/", "base64url": UPPER + LOWER + DIGITS + "-_"}
+ALPHABETS = {"decimal": DIGITS, "hex": DIGITS + "abcdef", "HEX": DIGITS + "ABCDEF", "base32": UPPER + "234567", "base36": DIGITS + LOWER, "BASE36": DIGITS + UPPER, "base64": UPPER + LOWER + DIGITS + "+/", "base64url": UPPER + LOWER + DIGITS + "-_"}
 LENGTHS = (16, 20, 24, 32, 48, 96)
 ALPHA = 0.05
 STEP, BINS = 0.05, 400
@@ -68,6 +72,8 @@ ETBVDRXUEYYMNYJDPLR8XPXQPV IMQTCSVIHZZLLFFCXMCBWVKYVU GNMR8VPRFTQNNTORRQNM6QWWVP
 """.split()
 #: Shares of the chain of characters: the kinds' own pairs, the same again, one further, anything.
 SHARES = (0.8, 0.06, 0.06, 0.08)
+#: Of numbers: a zero, the same digit, the next one, anything.
+NUMBERS = (0.2, 0.2, 0.2, 0.4)
 #: After a lower-case letter, an upper-case one, a digit, a separator: how often each of these follows.
 FOLLOW = {"l": (0.88, 0.02, 0.03, 0.07), "u": (0.42, 0.5, 0.04, 0.04), "d": (0.12, 0.08, 0.6, 0.2), "s": (0.6, 0.15, 0.2, 0.05)}
 
@@ -96,6 +102,13 @@ def word_bits() -> list[float]:
     return out
 
 
+def number_bits() -> list[float]:
+    """The same for runs of digits: zeros, the same digit, the next one and anything; other places are never looked up."""
+    zero, same, further, any_ = NUMBERS
+    own = lambda a, b: zero * (b == "0") + same * (a == b) + further * (a in DIGITS and (ord(b) - ord(a)) % 10 == 1) + any_ / 10
+    return [-math.log2(own(a, b)) if b in DIGITS else 0.0 for a in SYMBOLS for b in SYMBOLS]
+
+
 def _spans(text: Column, pattern: str, group: int, least: int, kind: str) -> Column:
     """``struct(start, kind, end)`` of the leftmost non-overlapping matches whose group is long enough."""
     parts = F.arrays_zip(
@@ -125,7 +138,7 @@ def base_spans(text: Column) -> Column:
 
 
 def _encoding(v: Column) -> Column:
-    tests = [("hex", "^[0-9a-f]+$"), ("HEX", "^[0-9A-F]+$"), ("base32", "^[A-Z2-7]+$"), ("base36", "^[0-9a-z]+$"), ("BASE36", "^[0-9A-Z]+$"), ("base64", "^[A-Za-z0-9+/]+$"), ("base64url", "^[A-Za-z0-9_-]+$")]
+    tests = [("decimal", "^[0-9]+$"), ("hex", "^[0-9a-f]+$"), ("HEX", "^[0-9A-F]+$"), ("base32", "^[A-Z2-7]+$"), ("base36", "^[0-9a-z]+$"), ("BASE36", "^[0-9A-Z]+$"), ("base64", "^[A-Za-z0-9+/]+$"), ("base64url", "^[A-Za-z0-9_-]+$")]
     out = F.lit(None).cast("string")
     for name, pattern in reversed(tests):
         out = F.when(v.rlike(pattern), name).otherwise(out)
@@ -138,12 +151,15 @@ def upper_tail(z: Column) -> Column:
 
 
 def battery(runs: Column) -> Column:
-    """For an array of ``struct(start, v)``: ``struct(start, end, class, bin, odds)`` of the runs that have a known encoding."""
-    bits = F.split(F.lit(",".join(f"{x:.4f}" for x in word_bits())), ",").cast("array<double>")
+    """For an array of ``struct(start, v)``: ``struct(start, end, class, bin, odds, weight, joined)`` of the runs.
+
+    ``weight`` is the odds' bits as they are, ``joined`` whether the run has a separator.
+    """
+    listed = lambda x: F.split(F.lit(",".join(f"{b:.4f}" for b in x)), ",").cast("array<double>")
+    bits, digits = listed(word_bits()), listed(number_bits())
     alphabets = F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair])
     named = F.transform(runs, lambda r: F.struct(r["start"].alias("start"), r["v"].alias("v"), _encoding(r["v"]).alias("code")))
-    mixed = F.filter(named, lambda r: r["code"].isNotNull() & r["v"].rlike("[0-9]") & r["v"].rlike("[A-Za-z]"))
-    spelled = F.transform(mixed, lambda r: F.struct(r["start"].alias("start"), r["code"].alias("code"), alphabets[r["code"]].alias("letters"), F.filter(F.split(r["v"], ""), lambda c: c != "").alias("chars")))
+    spelled = F.transform(named, lambda r: F.struct(r["start"].alias("start"), r["code"].alias("code"), alphabets[r["code"]].alias("letters"), F.filter(F.split(r["v"], ""), lambda c: c != "").alias("chars")))
     valued = F.transform(spelled, lambda r: F.struct(r["start"].alias("start"), r["code"].alias("code"), F.length(r["letters"]).alias("a"), F.transform(r["chars"], lambda c: F.instr(r["letters"], c) - 1).alias("x"), F.transform(r["chars"], lambda c: F.instr(F.lit(SYMBOLS), c) - 1).alias("y")))
 
     def moments(r: Column) -> Column:
@@ -158,8 +174,9 @@ def battery(runs: Column) -> Column:
         lagged = F.aggregate(pairs, F.lit(0.0), lambda t, e: t + e["p"] * e["q"])
         ends = F.element_at(r["x"], 1) + F.element_at(r["x"], -1)
         after = F.arrays_zip(F.concat(F.array(F.lit(SYMBOLS.index("-"))), F.slice(r["y"], F.lit(1), n - 1)).alias("p"), r["y"].alias("q"))
-        words = F.aggregate(after, F.lit(0.0), lambda t, e: t + F.get(bits, e["p"] * len(SYMBOLS) + e["q"]))
-        return F.struct(r["start"].alias("start"), r["code"].alias("code"), r["a"].alias("a"), (words - n * F.log2(r["a"])).alias("odds"), n.cast("double").alias("n"), (fits * r["a"] / n).alias("chi"), high.cast("double").alias("hi"), turns.cast("double").alias("turns"), total.alias("total"), squares.alias("squares"), lagged.alias("lagged"), ends.cast("double").alias("ends"))
+        at = lambda e: e["p"] * len(SYMBOLS) + e["q"]
+        words = F.when(r["code"] == "decimal", F.aggregate(after, F.lit(0.0), lambda t, e: t + F.get(digits, at(e)))).otherwise(F.aggregate(after, F.lit(0.0), lambda t, e: t + F.get(bits, at(e))))
+        return F.struct(r["start"].alias("start"), r["code"].alias("code"), r["a"].alias("a"), (words - n * F.log2(r["a"])).alias("odds"), F.exists(r["y"], lambda e: e >= 62).alias("joined"), n.cast("double").alias("n"), (fits * r["a"] / n).alias("chi"), high.cast("double").alias("hi"), turns.cast("double").alias("turns"), total.alias("total"), squares.alias("squares"), lagged.alias("lagged"), ends.cast("double").alias("ends"))
 
     def p_values(m: Column) -> Column:
         n, df = m["n"], m["a"] - 1
@@ -178,24 +195,35 @@ def battery(runs: Column) -> Column:
         length = F.lit(0)
         for i, least in enumerate(LENGTHS):
             length = F.when(n >= least, i).otherwise(length)
-        return F.struct(m["start"].alias("start"), (m["start"] + n.cast("int")).alias("end"), F.concat_ws("/", m["code"], length.cast("string")).alias("class"), place.alias("bin"), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(float(MOST_BITS)), m["odds"]))).cast("int").alias("odds"))
+        return F.struct(m["start"].alias("start"), (m["start"] + n.cast("int")).alias("end"), F.concat_ws("/", m["code"], length.cast("string")).alias("class"), place.alias("bin"), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(float(MOST_BITS)), m["odds"]))).cast("int").alias("odds"), m["odds"].alias("weight"), m["joined"].alias("joined"))
 
     return F.transform(F.transform(valued, moments), p_values)
 
 
 def candidates(text: Column) -> Column:
-    """Runs of encoding characters with their battery results."""
-    parts = F.arrays_zip(F.split(text, RUN, -1).alias("gap"), F.regexp_extract_all(text, F.lit(RUN), F.lit(0)).alias("v"))
+    """Runs of encoding characters with their battery results, by start."""
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,v:string>>").alias("out"))
 
     def step(done: Column, x: Column) -> Column:
         start = done["at"] + F.length(x["gap"])
         run = F.array(F.struct(start.alias("start"), x["v"].alias("v")))
-        useful = x["v"].rlike("[0-9]") & x["v"].rlike("[A-Za-z]")
-        return F.struct((start + F.coalesce(F.length(x["v"]), F.lit(0))).alias("at"), F.when(useful, F.concat(done["out"], run)).otherwise(done["out"]).alias("out"))
+        return F.struct((start + F.coalesce(F.length(x["v"]), F.lit(0))).alias("at"), F.when(x["v"].isNotNull(), F.concat(done["out"], run)).otherwise(done["out"]).alias("out"))
 
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,v:string>>").alias("out"))
-    none = F.array().cast("array<struct<start:int,end:int,class:string,bin:int,odds:int>>")
-    return F.when(text.rlike(HINTS["random"]), battery(F.aggregate(parts, empty, step, lambda done: done["out"]))).otherwise(none)
+    def places(pattern: str) -> Column:
+        parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("v"))
+        return F.aggregate(parts, empty, step, lambda done: done["out"])
+
+    none = F.array().cast("array<struct<start:int,end:int,class:string,bin:int,odds:int,weight:double,joined:boolean>>")
+    return F.when(text.rlike(HINTS["random"]), battery(F.sort_array(F.array_distinct(F.concat(*[places(p) for p in RUNS]))))).otherwise(none)
+
+
+def told_apart(runs: Column, alpha: float) -> Column:
+    """Of reported runs: joined ones that add enough to the runs in them, and the others outside of those."""
+    plain = F.filter(runs, lambda r: ~r["joined"])
+    within = lambda q, r: (q["start"] >= r["start"]) & (q["end"] <= r["end"])
+    held = lambda r: F.aggregate(F.filter(plain, lambda q: within(q, r)), F.lit(0.0), lambda t, q: t + q["weight"])
+    wide = F.filter(runs, lambda r: r["joined"] & ((held(r) == 0) | (r["weight"] >= held(r) - math.log2(alpha))))
+    return F.concat(wide, F.filter(plain, lambda q: ~F.exists(wide, lambda r: within(q, r))))
 
 
 def cut_offs(tested: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -223,7 +251,7 @@ def find(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     edged = attach_row(tested.withColumn("secret_base", base_spans(text)), cut_offs(tested, alpha))
     edge = lambda r: F.try_element_at(F.col("secret_edges"), r["class"])
     random = F.filter("secret_runs", lambda r: F.coalesce(r["odds"] >= edge(r)["least"], F.lit(False)) & F.coalesce(r["bin"] < edge(r)["edge"], F.lit(True)))
-    as_spans = F.transform(random, lambda r: F.struct(r["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), r["end"].alias("end")))
+    as_spans = F.transform(told_apart(random, alpha), lambda r: F.struct(r["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), r["end"].alias("end")))
     return edged.select("row", "secret_base", F.sort_array(F.concat("secret_base", as_spans)).alias("secret_spans"))
 
 
