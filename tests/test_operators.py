@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from wavelane.functions.ordinals import block
 from wavelane.operators import aggregates, graph, joins, rules, sampling, selection, sequence, signal
 from wavelane.streaming import monitors
@@ -170,3 +172,12 @@ def test_cap_ranks_only_what_it_can_keep(spark):
     df = spark.createDataFrame(rows, "id bigint, s string")
     out = sampling.stratified_cap(df, ["s"], "id", 50, 3).collect()
     assert len(out) == 50 and sum(r.mandatory for r in out) == 8 and {r.s for r in out} == {None, *(f"s{k}" for k in range(7))}
+
+
+def test_expected_pairs_that_were_never_shipped_are_missing(spark):
+    got = {(r.codec, r.label) for r in entry.queries()["u02_expected_minus_actual"](spark, SF).collect()}
+    table = lambda t: spark.read.parquet(f"{SF}/{t}.parquet")
+    shipped = table("lineitem").join(table("part"), F.col("l_partkey") == F.col("p_partkey")).join(table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    ever = {(r.n_name, r.p_brand) for r in shipped.select("n_name", "p_brand").distinct().collect()}
+    grid = {(n.n_name, p.p_brand) for n in table("nation").collect() for p in table("part").select("p_brand").distinct().collect()}
+    assert grid - ever and grid - ever <= got
