@@ -251,6 +251,23 @@ def test_notices_within_their_edits():
         assert any(m[2] == label and 11 - m[3] <= m[0] <= 11 + m[3] for m in found), notice
 
 
+def test_adjacent_notices_are_all_found():
+    finder = notices.Finder()
+    assert [m[:2] for m in finder.matches("all rights reservd all rights reserved")] == [(0, 18), (19, 38)]
+    rng = random.Random(8)
+    for notice, label in notices.NOTICES:
+        for gap in (" ", "\n", " and then some other words stand here before it comes once more "):
+            text, starts = "", []
+            for k in range(12):
+                edited = list(notice)
+                for p in rng.sample(range(4, len(notice) - 4), (notices.edits_of(notice), 0, 1)[k % 3]):
+                    edited[p] = "q"
+                starts.append(len(text))
+                text += "".join(edited) + gap
+            found = [m for m in finder.matches(text) if m[2] == label and m[1] - m[0] >= len(notice) - notices.edits_of(notice)]
+            assert len(found) >= 12 and all(any(abs(m[0] - s) <= 2 for m in found) for s in starts), (notice, gap)
+
+
 def test_base_phrases(spark):
     texts = ["CC-BY and cc by; accby cc byte", "General\nPublic license general public", "é all rights reserved, All Rights  RESERVED", "", None]
     rows = {r.doc_id: r for r in notices.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}

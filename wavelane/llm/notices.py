@@ -61,7 +61,7 @@ class Finder:
         import ahocorasick
         import regex
 
-        self.notices = [(n, label, edits_of(n), regex.compile(f"(?b)(?:{regex.escape(n, special_only=True, literal_spaces=True)}){{e<={edits_of(n)}}}")) for n, label in notices]
+        self.notices = [(n, label, edits_of(n), regex.compile(f"(?e)(?:{regex.escape(n, special_only=True, literal_spaces=True)}){{e<={edits_of(n)}}}")) for n, label in notices]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for k, (notice, _) in enumerate(notices):
             for offset, piece in pieces_of(notice):
