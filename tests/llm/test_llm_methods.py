@@ -203,6 +203,17 @@ def test_edited_texts_and_likeness(spark, documents, texts):
     assert np.mean([r.near_edited > r.near_next for r in out]) > 0.9
 
 
+def test_likeness_of_very_long_texts(spark):
+    lines = lambda clauses: "\n".join(". ".join(clauses[i : i + 50]) for i in range(0, len(clauses), 50))
+    words = lambda w, n: lines([f"{w}{i}" for i in range(n)])
+    rows = [("a", words("a", 300_000)), ("b", words("b", 300_000)), ("half", words("a", 150_000) + "\n" + words("c", 150_000)), ("same", lines(["same"] * 70_000)), ("other", lines(["other"] * 70_000))]
+    docs = spark.createDataFrame(rows, "k string, t string").repartition(4)
+    got = multiset.sums(docs, ["k"], "t").select("k", F.struct("exact", "wide", "clauses").alias("f")).groupBy().pivot("k", [k for k, _ in rows]).agg(F.first("f"))
+    near = lambda x, y: multiset.likeness(F.col(x), F.col(y))
+    r = got.select(near("a", "b").alias("ab"), near("a", "half").alias("half"), near("same", "other").alias("so"), near("same", "same").alias("ss")).first()
+    assert r.ab < 0.4 and 0.3 < r.half < 0.7 and r.so < 0.4 and r.ss == 1.0
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 61, 5000):

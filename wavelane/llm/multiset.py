@@ -6,7 +6,7 @@ order of paragraphs doesn't matter, and paragraphs are put in or taken out by ad
 subtracting their own vectors (``plus``, ``minus``).
 
 Lanes: ``EXACT`` lanes modulo 2**32 of the paragraph's SHA-256 (equality), and ``WIDE`` lanes modulo
-2**16 of signed sums over the paragraph's clauses (likeness): a clause adds one to the lanes where
+2**32 of signed sums over the paragraph's clauses (likeness): a clause adds one to the lanes where
 its hash has a one bit. Two documents' likeness is the cosine of their centred wide lanes, no less
 than 0: about the share of clauses they have in common, with an error of about ``1 / sqrt(WIDE)``;
 equal fingerprints have likeness 1.
@@ -51,7 +51,7 @@ def sums(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
         bits = F.xxhash64(F.lit(word), "c")
         wide += [F.sum(F.when(there, F.shiftrightunsigned(bits, j).bitwiseAND(F.lit(_PAIR))).otherwise(0)).alias(f"w{32 * word + j}") for j in range(32)]
     added = clauses.groupBy(*keys).agg(F.sum(there.cast("bigint")).alias("clauses"), *exact, *wide)
-    low, high = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFF)), lambda c: F.shiftrightunsigned(F.col(c), 32).bitwiseAND(F.lit(0xFFFF))
+    low, high = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)), lambda c: F.shiftrightunsigned(F.col(c), 32)
     lanes = [f(f"w{i}") for i in range(WIDE // 2) for f in (low, high)]
     return added.select(*keys, F.array(*[F.col(f"e{j}") % (1 << 32) for j in range(EXACT)]).alias("exact"), F.array(*lanes).alias("wide"), "clauses")
 
@@ -69,7 +69,7 @@ def minus(a: str | Column, b: str | Column, bits: int) -> Column:
 def written(exact: str | Column, wide: str | Column) -> Column:
     """All lanes in lowercase hex."""
     part = lambda lanes, width: F.array_join(F.transform(lanes, lambda x: F.lpad(F.lower(F.hex(x)), width, "0")), "")
-    return F.concat(part(exact, 8), part(wide, 4))
+    return F.concat(part(exact, 8), part(wide, 8))
 
 
 def likeness(a: Column, b: Column) -> Column:
