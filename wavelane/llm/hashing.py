@@ -1,6 +1,6 @@
 """Vectorised 64-bit hashes of words and word windows over the bytes of many texts at once.
 
-Words are maximal runs without space, tab, LF, VT, FF, CR; A-Z count as a-z. A word's hash is a
+Words are maximal runs without space, tab, LF, VT, FF, CR; A-Z count as a-z unless asked otherwise. A word's hash is a
 polynomial over its bytes modulo 2**64 taken from prefix sums, then mixed, so no word becomes a
 Python object. Texts are hashed in pieces of at most ``PIECE`` bytes that end at white space.
 """
@@ -32,7 +32,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHasher:
     """Holds the powers of the base and of its inverse for pieces of a given size."""
 
-    def __init__(self, size: int = PIECE):
+    def __init__(self, size: int = PIECE, lower: bool = True):
+        self.bytes = _LOWER if lower else np.arange(256, dtype=np.uint8)
         self._grow(size)
 
     def _grow(self, size: int) -> None:
@@ -51,7 +52,7 @@ class WordHasher:
         starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         if not len(starts):
             return np.empty(0, dtype=np.uint64), starts
-        values = _LOWER[piece].astype(np.uint64)
+        values = self.bytes[piece].astype(np.uint64)
         values += np.uint64(1)
         values *= self.powers[: len(piece)]
         total = np.zeros(len(piece) + 1, dtype=np.uint64)

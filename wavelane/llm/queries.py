@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wavelane.llm import backoff, forest, mixing, multiset, notices, pages, pieces, quality, secret_scan, simple8b
+from wavelane.llm import backoff, forest, merkle, mixing, multiset, notices, pages, pieces, quality, secret_scan, simple8b
 from wavelane.llm.common import own_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +80,13 @@ def op9_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof; documents whose id's crc32 divides by seven are tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    return merkle.audit(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
+
+
+ORACLES["op13_merkle_manifest"] = merkle.sql()
