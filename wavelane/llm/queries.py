@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelane.llm import backoff, forest, merkle, mixing, multiset, notices, pages, pieces, pivots, quality, secret_scan, simple8b
+from wavelane.llm import backoff, debruijn, forest, merkle, mixing, multiset, notices, pages, pieces, pivots, quality, secret_scan, simple8b
 from wavelane.llm.common import own_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.dedup(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = pivots.count_words(table(spark, sf_dir, "documents")).filter(F.col("n") >= pivots.TWICE)
