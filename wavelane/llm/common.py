@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch that goes to a Python worker; rows beyond it start the next batch.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

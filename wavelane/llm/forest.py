@@ -48,6 +48,8 @@ DEEPER = 9
 ESTIMATE = 0.5
 #: Ids that may be sent to every task to pick their texts (8 bytes each); more ids go through a shuffled join.
 SENT_IDS = 1 << 20
+#: Rows of one shingle that are counted together.
+HOT = 1 << 16
 
 
 def _signature_keys() -> tuple[np.ndarray, np.ndarray]:
@@ -156,6 +158,22 @@ def _labelled(rows: DataFrame, labels: DataFrame, id_column: str = "doc_id") ->
     return rows.join(named, id_column, "left").withColumn("label", F.coalesce("known", id_column)).drop("known")
 
 
+def _with_frequency(rows: DataFrame, hot: int = HOT) -> DataFrame:
+    """Adds ``df``, how many rows hold the shingle ``s``; all that more than ``hot`` rows hold count as ``hot + 1``.
+
+    Any fixed order of the shingles would do, so the most frequent ones needn't meet in one task.
+    """
+    frequent = cut(rows.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("s"))
+    many = frequent.count()
+    every = F.count(F.lit(1)).over(Window.partitionBy("s"))
+    if not many:
+        return rows.withColumn("df", every)
+    # There are at most rows / hot of them.
+    frequent = F.broadcast(frequent) if many <= SENT_IDS else frequent
+    rest = rows.join(frequent, "s", "left_anti").select(*rows.columns).withColumn("df", every)
+    return rest.unionByName(rows.join(frequent, "s", "left_semi").select(*rows.columns).withColumn("df", F.lit(hot + 1).cast("bigint")))
+
+
 def _rare_holders(sets: DataFrame, percent: int) -> DataFrame:
     """``doc_id, n, s, p``: the rarest shingles of each set (``doc_id, shingles``) with their place.
 
@@ -164,9 +182,8 @@ def _rare_holders(sets: DataFrame, percent: int) -> DataFrame:
     ``q``, the overlap is at most ``n - p``, and the other set has ``q`` shingles more than it; so
     ``100 * (n - p) >= percent * (n + q)``, with ``q`` no less than the shingle's best place.
     """
-    rows = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    spread = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    order = rows.join(spread, "s").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("order"))
+    rows = cut(sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s")))
+    order = _with_frequency(rows).groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("order"))
     keep = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     placed = order.select("doc_id", "n", F.posexplode(F.slice("order", F.lit(1), keep)).alias("p", "o")).filter("o.df > 1").select("doc_id", "n", F.col("o.s").alias("s"), "p")
     best = placed.groupBy("s").agg(F.min("p").alias("best"))
@@ -193,11 +210,18 @@ def _open(holders: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _rare_pairs(held: DataFrame, percent: int) -> DataFrame:
-    """Exact candidates across labels that share a rare shingle."""
+    """Exact candidates across labels that share a rare shingle.
+
+    Of each shingle's holders, those of its most frequent label need no pairs among themselves: the
+    others meet all holders. So a group of near copies costs its size times the number of others.
+    """
+    sizes = held.groupBy("s", "label").agg(F.count(F.lit(1)).alias("size"))
+    major = sizes.groupBy("s").agg(F.max(F.struct("size", "label")).alias("major")).select("s", F.col("major.label").alias("major"))
+    minor = held.join(major, "s").filter("label <> major").drop("major")
     other = held.select(F.col("doc_id").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("p").alias("q"), "s")
     room = F.least(F.col("n") - F.col("p"), F.col("n_b") - F.col("q"))
-    near = (F.col("doc_id") < F.col("b")) & (F.col("label") != F.col("label_b")) & ((100 + percent) * room >= percent * (F.col("n") + F.col("n_b")))
-    return held.join(other, "s").filter(near).select(F.col("doc_id").alias("a"), "b").distinct()
+    near = (F.col("label") != F.col("label_b")) & ((100 + percent) * room >= percent * (F.col("n") + F.col("n_b")))
+    return minor.join(other, "s").filter(near).select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
 
 
 def components(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
