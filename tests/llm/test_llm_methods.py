@@ -356,3 +356,50 @@ def test_kept_documents_are_the_judged_ones(spark, documents):
     judged = {r.doc_id for r in quality.judge(documents).filter("kept").collect()}
     kept = quality.keep(documents)
     assert kept.columns == documents.columns and sorted(r.doc_id for r in kept.collect()) == sorted(judged) and judged
+
+
+def test_forest_with_one_large_group_of_near_copies(spark):
+    """A group of 600 near copies with a few outsiders: the exact search makes few pairs, and all groups are right."""
+    rng = random.Random(11)
+    base = [f"g{i}" for i in range(120)]
+    made = {}
+    for d in range(600):
+        w = list(base)
+        for _ in range(3):
+            w[rng.randrange(120)] = f"e{rng.randrange(400)}"
+        made[d] = " ".join(w)
+    for d in range(600, 620):  # they share half of the group's words, and are no copies
+        made[d] = " ".join(base[:60] + [f"o{d}x{i}" for i in range(60)])
+    docs = spark.createDataFrame(list(made.items()), "doc_id bigint, text string")
+    sets = sets_of(made)
+    held = forest._with_frequency(forest.shingle_sets(docs).select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s")))
+    frequent = forest._with_frequency(held.drop("df"), hot=300)
+    assert frequent.filter("df = 301").count() == held.filter("df > 300").count() > 0
+    assert frequent.count() == held.count() == sum(map(len, sets.values()))
+    low = groups_of_large(sets)
+    assert {r.doc_id: r.component_id for r in forest.components(docs).collect()} == low
+    holders = forest._rare_holders(forest.shingle_sets(docs), 75)
+    labels = spark.createDataFrame([(i, 0 if i < 600 else i) for i in made], "id bigint, label bigint")
+    assert forest._rare_pairs(forest._open(holders, labels), 75).count() <= 20 * 620
+
+
+def groups_of_large(sets):
+    """As ``groups_of``, with pairs that share a shingle only."""
+    by, low = collections.defaultdict(list), {i: i for i in sets}
+    for i, x in sets.items():
+        for s in x:
+            by[s].append(i)
+    shared = collections.Counter()
+    for ids in by.values():
+        if len(ids) < 2:
+            continue
+        shared.update(itertools.combinations(ids, 2))
+    def find(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+    for (a, b), n in shared.items():
+        if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+            a, b = find(a), find(b)
+            low[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}
