@@ -12,7 +12,7 @@ from wavelane.plans.adapters import load
 from wavelane.plans.evaluation import fixed
 from wavelane.plans.registry import fx, query, with_ctes
 from wavelane.session import shared_folder
-from wavelane.streaming import monitors
+from wavelane.streaming import monitors, stateful
 
 R = ["run_id"]
 
@@ -45,8 +45,30 @@ def scratch(spark):
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-@query("r01_framed_hops", with_ctes("signal", body=f"""
-SELECT track_id * 2 + channel AS track_id, sample_ix // 8 AS hop, count(*) AS valid, {fx('sum(x * (sample_ix % 8 + 1))')} AS moment FROM signal GROUP BY 1, 2"""))
+def streamed(spark, rows, lot, lots, build, writer=None):
+    """The folder of a stateful stream over ``rows`` that land in ``lots``; the stream runs after each landing and stops.
+
+    ``writer`` (of the folder) makes a ``foreachBatch`` function; else the stream's rows are Parquet files below ``data``.
+    """
+    folder = scratch(spark)
+    with monitors.rocksdb_state(spark):
+        for i in range(lots):
+            rows.filter(lot == i).write.mode("append").parquet(f"{folder}/in")
+            source = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+            monitors.run_available(build(source), folder, writer=writer and writer(folder))
+    return folder
+
+
+def jumbled(order, lots=2, size=25):
+    """Lot of a row by its place, moved by up to 6 places, so that rows near a border land in the wrong order."""
+    return F.least(F.lit(lots - 1), F.floor((F.col(order) + F.col(order) * 31 % 7) / size))
+
+
+FRAMED = with_ctes("signal", body=f"""
+SELECT track_id * 2 + channel AS track_id, sample_ix // 8 AS hop, count(*) AS valid, {fx('sum(x * (sample_ix % 8 + 1))')} AS moment FROM signal GROUP BY 1, 2""")
+
+
+@query("r01_framed_hops", FRAMED)
 def r01(spark, sf):
     s = load(spark, sf, "signal").withColumn("track_id", F.col("track_id") * 2 + F.col("channel"))
     frames = sequence.frame_signal(s, ["track_id"], "sample_ix", "x", 8, 8, causal=True)
@@ -62,10 +84,13 @@ def r02(spark, sf):
     return monitors.gap_reset(load(spark, sf, "hops").filter(~F.col("rejected")).select("run_id", "seq"), R, "seq", 3)
 
 
-@query("r03_drop_late", with_ctes("hops", body="""
+LATE = with_ctes("hops", body="""
 WITH a AS (SELECT run_id, seq, (event_id + (event_id * 31) % 50) * 1000000 + event_id % 1000000 AS arrival FROM hops),
 m AS (SELECT *, max(seq) OVER (PARTITION BY run_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS shown FROM a)
-SELECT run_id, count(*) AS hops, count(*) FILTER (coalesce(seq + 1 <= shown, false)) AS late FROM m GROUP BY 1"""))
+SELECT run_id, count(*) AS hops, count(*) FILTER (coalesce(seq + 1 <= shown, false)) AS late FROM m GROUP BY 1""")
+
+
+@query("r03_drop_late", LATE)
 def r03(spark, sf):
     h = load(spark, sf, "hops").withColumn("arrival", (F.col("event_id") + F.col("event_id") * 31 % 50) * 1000000 + F.col("event_id") % 1000000)
     return monitors.drop_late(h, R, "arrival", "seq", 1).groupBy(*R).agg(F.count(F.lit(1)).alias("hops"), F.count(F.when(F.col("late"), 1)).alias("late"))
@@ -124,28 +149,37 @@ def r07(spark, sf):
     return monitors.histogram_p99(monitors.latency_bins(h, R), R)
 
 
-@query("r08_sanitize", with_ctes("signal", body=f"""
+SANITIZED = with_ctes("signal", body=f"""
 WITH v AS (SELECT track_id, channel, sample_ix, CASE WHEN silent THEN NULL ELSE least(greatest(x * 8, -1), 1) END AS v FROM signal),
 l AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN sample_ix END) OVER (PARTITION BY track_id, channel ORDER BY sample_ix) AS o FROM v)
-SELECT l.track_id, l.channel, l.sample_ix, {fx('coalesce(p.v * pow(0.99, l.sample_ix - l.o), 0)')} AS clean, l.v IS NULL AS invalid FROM l LEFT JOIN v p ON p.track_id = l.track_id AND p.channel = l.channel AND p.sample_ix = l.o"""))
+SELECT l.track_id, l.channel, l.sample_ix, {fx('coalesce(p.v * pow(0.99, l.sample_ix - l.o), 0)')} AS clean, l.v IS NULL AS invalid FROM l LEFT JOIN v p ON p.track_id = l.track_id AND p.channel = l.channel AND p.sample_ix = l.o""")
+
+
+@query("r08_sanitize", SANITIZED)
 def r08(spark, sf):
     s = load(spark, sf, "signal").select("track_id", "channel", "sample_ix", F.when(F.col("silent"), F.lit(float("nan"))).otherwise(F.col("x") * 8).alias("x"))
     out = monitors.sanitize(s, ["track_id", "channel"], "sample_ix", "x")
     return fixed(out.select("track_id", "channel", "sample_ix", "clean", "invalid"), ["clean"])
 
 
-@query("r09_healthy_gate", with_ctes("hops", body="""
-SELECT run_id, seq, NOT missed AND coalesce(NOT lag(missed) OVER (PARTITION BY run_id ORDER BY seq), false) AND service_ns > 100000 AS enhance FROM hops"""))
+GATED = with_ctes("hops", body="""
+SELECT run_id, seq, NOT missed AND coalesce(NOT lag(missed) OVER (PARTITION BY run_id ORDER BY seq), false) AND service_ns > 100000 AS enhance FROM hops""")
+
+
+@query("r09_healthy_gate", GATED)
 def r09(spark, sf):
     return monitors.healthy_gate(load(spark, sf, "hops"), R, "seq", ~F.col("missed"), F.col("service_ns") <= 100000).select("run_id", "seq", "enhance")
 
 
-@query("r10_stream_bandwidth", with_ctes("signal", body=f"""
+BANDWIDTH = with_ctes("signal", body=f"""
 WITH RECURSIVE s AS (SELECT track_id, channel, sample_ix AS frame, silent, floor(abs(x) * 64) * 375.0::DOUBLE AS v FROM signal),
 e(track_id, channel, frame, y, h, needs) AS (SELECT track_id, channel, frame, CASE WHEN silent THEN 0.0::DOUBLE ELSE v END, CASE WHEN NOT silent AND v / 24000 < 0.1 THEN 2 ELSE 0 END, NOT silent AND v / 24000 < 0.1 FROM s WHERE frame = 0
  UNION ALL SELECT track_id, channel, frame, y, CASE WHEN silent THEN 0 WHEN y / 24000 < 0.1 THEN 2 ELSE greatest(h - 1, 0) END, NOT silent AND (y / 24000 < 0.1 OR h > 0) FROM
  (SELECT s.track_id, s.channel, s.frame, s.silent, e.h, CASE WHEN s.silent THEN 0.0::DOUBLE WHEN e.y = 0 THEN s.v ELSE 0.1::DOUBLE * s.v + 0.9::DOUBLE * e.y END AS y FROM e JOIN s ON s.track_id = e.track_id AND s.channel = e.channel AND s.frame = e.frame + 1))
-SELECT track_id, channel, frame, {fx('y', 4)} AS smoothed, needs FROM e"""))
+SELECT track_id, channel, frame, {fx('y', 4)} AS smoothed, needs FROM e""")
+
+
+@query("r10_stream_bandwidth", BANDWIDTH)
 def r10(spark, sf):
     s = load(spark, sf, "signal").select("track_id", "channel", F.col("sample_ix").alias("frame"), "silent", (F.floor(F.abs("x") * 64) * 375.0).alias("v"))
     smooth = sequence.ema(s, ["track_id", "channel"], "frame", "v", 0.1, F.col("silent"))
@@ -154,14 +188,17 @@ def r10(spark, sf):
     return out.select("track_id", "channel", "frame", fix(F.col("smoothed"), 4).alias("smoothed"), F.col("active").alias("needs"))
 
 
-@query("r11_slo_windows", with_ctes("hops", body=f"""
+SLO = with_ctes("hops", body=f"""
 WITH h AS (SELECT *, strftime(date_trunc('day', event_time), '%Y-%m-%d %H:%M:%S') AS w, service_ns // 100 AS s FROM hops), c AS (SELECT run_id, w, count(*) FILTER (NOT missed AND NOT rejected) AS a, count(*) FILTER (missed) AS m, count(*) FILTER (rejected) AS r FROM h GROUP BY 1, 2),
 g AS (SELECT *, max(CASE WHEN NOT missed THEN seq END) OVER (PARTITION BY run_id ORDER BY seq) AS g FROM h), k AS (SELECT run_id, w, max(CASE WHEN missed THEN seq - coalesce(g, -1) ELSE 0 END) AS streak FROM g GROUP BY 1, 2),
 b AS (SELECT run_id, w, least(127, (greatest(s, 1) - 1) // 25000) AS bin, count(*) AS n, max(s) AS mx FROM h GROUP BY 1, 2, 3), q AS (SELECT *, sum(n) OVER (PARTITION BY run_id, w ORDER BY bin) AS c, sum(n) OVER (PARTITION BY run_id, w) AS t, max(mx) OVER (PARTITION BY run_id, w) AS m FROM b),
 f AS (SELECT run_id, w, min(bin) AS bin, max(m) AS mx FROM q WHERE c >= t - t // 100 GROUP BY 1, 2), p AS (SELECT *, CASE WHEN bin = 127 THEN mx ELSE least((bin + 1) * 25000, mx) END AS p99 FROM f),
 z AS (SELECT c.*, streak, mx, p99, 256 / 48000.0::DOUBLE * 1000 + mx / 1e6 AS added, CASE WHEN a + m = 0 THEN 1 ELSE m / (a + m) END AS miss, streak * 128 / 48.0::DOUBLE AS burst FROM c JOIN k USING (run_id, w) JOIN p USING (run_id, w))
 SELECT run_id, w AS window_start, {fx('added')} AS added_latency_ms, {fx('miss')} AS miss_ratio, {fx('burst')} AS miss_burst_ms, added < 8 AS latency_target_met, p99 / 1000 < 100 AND mx / 1000 < 500 AS callback_budget_met,
- a + m > 0 AND r = 0 AND miss <= 0.001 AND burst <= 20 AS availability_met FROM z"""))
+ a + m > 0 AND r = 0 AND miss <= 0.001 AND burst <= 20 AS availability_met FROM z""")
+
+
+@query("r11_slo_windows", SLO)
 def r11(spark, sf):
     h = hops(spark, sf)
     keys = ["run_id", "window_start"]
@@ -191,3 +228,110 @@ SELECT run_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime
 def r13(spark, sf):
     active = hops(spark, sf).filter(~F.col("rejected"))
     return text_time(monitors.activity_sessions(active, R, "4 hours"), "session_start", "session_end")
+
+
+# --- the same operators as streams over hops and samples that land in lots -----------------------
+
+
+@query("r01_framer_stream", FRAMED)
+def r01_stream(spark, sf):
+    s = load(spark, sf, "signal").withColumn("track_id", F.col("track_id") * 2 + F.col("channel"))
+    last = s.groupBy("track_id").agg(F.max("sample_ix").alias("last"))
+    placed = s.join(last, "track_id").groupBy("track_id", F.floor(F.col("sample_ix") / 5).alias("chunk"))
+    held = F.transform(F.array_sort(F.collect_list(F.struct("sample_ix", "x"))), lambda v: v["x"])
+    chunks = placed.agg(held.alias("samples"), F.bool_or(F.col("sample_ix") == F.col("last")).alias("final"))
+    folder = streamed(spark, chunks, F.least(F.lit(1), F.floor(F.col("chunk") / 4)), 2, lambda source: stateful.stream_framer(source, 8))
+    moment = F.aggregate(F.transform("samples", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return spark.read.parquet(f"{folder}/data").select("track_id", "hop", "valid", fix(moment).alias("moment"))
+
+
+IDLE_US = 24 * 3600 * 10**6
+
+
+@query("r02_gap_stream", with_ctes("hops", body=f"""
+WITH k AS (SELECT run_id, seq, event_time, lag(seq) OVER w AS p, lag(event_time) OVER w AS t FROM hops WHERE NOT rejected WINDOW w AS (PARTITION BY run_id ORDER BY seq)),
+f AS (SELECT *, coalesce(p <> seq - 1 OR epoch_us(event_time) - epoch_us(t) > {IDLE_US}, true) AS reset FROM k),
+l AS (SELECT *, max(CASE WHEN reset THEN seq END) OVER (PARTITION BY run_id ORDER BY seq) AS r FROM f) SELECT run_id, seq, reset, seq - r < 3 AS warming FROM l"""))
+def r02_stream(spark, sf):
+    """Hops land by time, as a watermark expects: a run whose state has gone is idle for longer than allowed."""
+    h = hops(spark, sf).filter(~F.col("rejected")).select("run_id", "seq", "event_time", "event_id")
+    ids = h.agg(F.max("event_id")).first()[0] or 0
+    build = lambda source: stateful.stream_gap_reset(source.withWatermark("event_time", "1 hour"), "seq", 3, IDLE_US)
+    folder = streamed(spark, h, F.floor(F.col("event_id") * 3 / (ids + 1)), 3, build)
+    return spark.read.parquet(f"{folder}/data")
+
+
+@query("r03_late_stream", LATE)
+def r03_stream(spark, sf):
+    """Hops in arrival order, a lot after the other; the late ones are counted, not lost."""
+    h = hops(spark, sf).withColumn("arrival", (F.col("event_id") + F.col("event_id") * 31 % 50) * 1000000 + F.col("event_id") % 1000000)
+    half = h.agg(F.max("arrival")).first()[0] or 0
+    build = lambda source: stateful.stream_drop_late(source.withWatermark("event_time", "1 hour"), "arrival", "seq", 1, 30 * IDLE_US)
+    folder = streamed(spark, h.select("run_id", "arrival", "seq", "event_time"), (F.col("arrival") > half // 2).cast("int"), 2, build)
+    rows = spark.read.parquet(f"{folder}/data").filter("seq is not null")
+    return rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("hops"), F.count(F.when(F.col("late"), 1)).alias("late"))
+
+
+FULL = with_ctes("hops", body="""
+WITH g AS (SELECT *, max(CASE WHEN NOT missed THEN seq END) OVER (PARTITION BY run_id ORDER BY seq) AS g, strftime(date_trunc('day', event_time), '%Y-%m-%d %H:%M:%S') AS w FROM hops)
+SELECT run_id, w AS window_start, count(*) AS hops, count(*) FILTER (NOT missed AND NOT rejected) AS accepted, count(*) FILTER (missed) AS misses, count(*) FILTER (event_id % 11 = 0) AS stale,
+ CAST(sum(CASE WHEN event_id % 13 = 0 THEN event_id % 5 ELSE 0 END) AS BIGINT) AS invalid, count(*) FILTER (rejected) AS rejected, count(*) FILTER (event_id % 17 = 0) AS overflow,
+ max(CASE WHEN missed THEN seq - coalesce(g, -1) ELSE 0 END) AS max_streak FROM g GROUP BY 1, 2""")
+
+
+def flagged_hops(spark, sf):
+    """Hops with planted stale results, invalid samples and queue overflows."""
+    e = F.col("event_id")
+    return hops(spark, sf).select(
+        "run_id", "seq", "event_time", "service_ns", "missed", "rejected", (e % 11 == 0).alias("stale"), F.when(e % 13 == 0, e % 5).otherwise(0).cast("bigint").alias("invalid"), (e % 17 == 0).alias("overflow"),
+    )
+
+
+@query("r06_full_counters", FULL)
+def r06_full(spark, sf):
+    return text_time(monitors.full_counters(monitors.miss_streak(flagged_hops(spark, sf), R, "seq"), R, "1 day"), "window_start")
+
+
+def slo_parts(spark, rows):
+    """Counters and latency histogram per run and day of a hop stream, merged from its micro-batches."""
+    names = [c for c in rows.columns if c not in ("run_id", "seq")]
+    writer = lambda folder: monitors.slo_writer(monitors.BatchSink(f"{folder}/sink"), R, "1 day")
+    folder = streamed(spark, rows, jumbled("seq"), 2, lambda source: stateful.stream_streaks(source, "run_id", "seq", names, 8), writer)
+    sink, keys = monitors.BatchSink(f"{folder}/sink"), ["run_id", "window_start"]
+    return monitors.merged_counters(sink.table(spark, "counters"), keys), monitors.merged_bins(sink.table(spark, "latency"), keys)
+
+
+@query("r06_counter_stream", FULL)
+def r06_counters(spark, sf):
+    return text_time(slo_parts(spark, flagged_hops(spark, sf))[0], "window_start")
+
+
+@query("r08_sanitize_stream", SANITIZED)
+def r08_stream(spark, sf):
+    s = load(spark, sf, "signal").select("track_id", "channel", "sample_ix", F.when(F.col("silent"), F.lit(float("nan"))).otherwise(F.col("x") * 8).alias("x"))
+    folder = streamed(spark, s, jumbled("sample_ix", size=12), 2, lambda source: stateful.stream_sanitize(source, ["track_id", "channel"], "sample_ix", "x", 8))
+    return fixed(spark.read.parquet(f"{folder}/data").select("track_id", "channel", "sample_ix", "clean", "invalid"), ["clean"])
+
+
+@query("r09_gate_stream", GATED)
+def r09_stream(spark, sf):
+    h = load(spark, sf, "hops").select("run_id", "seq", (~F.col("missed")).alias("ready"), (F.col("service_ns") <= 100000).alias("silent"))
+    folder = streamed(spark, h, jumbled("seq"), 2, lambda source: stateful.stream_healthy_gate(source, "run_id", "seq", 8))
+    return spark.read.parquet(f"{folder}/data").select("run_id", "seq", "enhance")
+
+
+@query("r10_bandwidth_stream", BANDWIDTH)
+def r10_stream(spark, sf):
+    s = load(spark, sf, "signal").select("track_id", F.col("channel").cast("bigint").alias("channel"), F.col("sample_ix").alias("frame"), (F.floor(F.abs("x") * 64) * 375.0).alias("detected_hz"), "silent")
+    folder = streamed(spark, s, F.least(F.lit(1), F.floor(F.col("frame") / 14)), 2, lambda source: stateful.stream_bandwidth(source, 0.1, 0.1, 24000.0, 2))
+    return spark.read.parquet(f"{folder}/data").select("track_id", "channel", "frame", fix(F.col("smoothed"), 4).alias("smoothed"), "needs")
+
+
+@query("r11_slo_stream", SLO)
+def r11_stream(spark, sf):
+    h = hops(spark, sf).select("run_id", "seq", "event_time", F.floor(F.col("service_ns") / 100).alias("service_ns"), "missed", "rejected", F.lit(False).alias("stale"), F.lit(0).cast("bigint").alias("invalid"), F.lit(False).alias("overflow"))
+    counters, bins = slo_parts(spark, h)
+    keys, names = ["run_id", "window_start"], ["added_latency_ms", "miss_ratio", "miss_burst_ms"]
+    p99 = monitors.histogram_p99(bins, keys).drop("hops")
+    out = monitors.slo_windows(counters.withColumnRenamed("max_streak", "streak"), p99, keys, 48000, evidence.realtime_assessment)
+    return fixed(text_time(out.select(*keys, *names, "latency_target_met", "callback_budget_met", "availability_met"), "window_start"), names)

@@ -7,8 +7,9 @@ watermark first; windows and sessions then close on their own.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavelane.functions.ordinals import block, null_safe_join, running_extreme, with_halo
@@ -25,15 +26,18 @@ def event_timestamp(df: DataFrame, column: str = "event_time") -> DataFrame:
     return df.withColumn(column, F.col(column).cast("timestamp"))
 
 
-def gap_reset(df: DataFrame, keys: list[str], seq: str, warmup: int) -> DataFrame:
-    """Adds ``reset`` (sequence not contiguous) and ``warming`` (within ``warmup`` rows of a reset).
+def gap_reset(df: DataFrame, keys: list[str], seq: str, warmup: int, idle_us: int | None = None, event_time: str = "event_time") -> DataFrame:
+    """Adds ``reset`` (sequence not contiguous, or idle for longer than ``idle_us``) and ``warming`` (within ``warmup`` rows of a reset).
 
     The first row of a run is a reset. Sequences may be sparse; a block keeps its last possible
     predecessor as a halo row.
     """
     w = Window.partitionBy(*keys, "_block").orderBy(seq)
-    seen = with_halo(df, seq, 1).withColumn("_p", F.lag(seq).over(w)).filter(~F.col("_halo")).drop("_block", "_halo")
-    flagged = seen.withColumn("reset", ~F.coalesce(F.col("_p") == F.col(seq) - 1, F.lit(False))).drop("_p")
+    follows = F.lag(seq).over(w) == F.col(seq) - 1
+    if idle_us is not None:
+        follows &= F.unix_micros(event_time) - F.lag(F.unix_micros(event_time)).over(w) <= idle_us
+    seen = with_halo(df, seq, 1).withColumn("_p", follows).filter(~F.col("_halo")).drop("_block", "_halo")
+    flagged = seen.withColumn("reset", ~F.coalesce(F.col("_p"), F.lit(False))).drop("_p")
     last = running_extreme(flagged, keys, [seq], F.when(F.col("reset"), F.col(seq)), "_r", block(seq), strict=False)
     return last.withColumn("warming", F.col(seq) - F.col("_r") < warmup).drop("_r")
 
@@ -108,6 +112,39 @@ def healthy_gate(df: DataFrame, keys: list[str], seq: str, ready: Column, silent
     return out.filter(~F.col("_halo")).withColumn("enhance", F.col("_r") & F.col("_q") & ~F.coalesce(silent, F.lit(False))).drop("_block", "_halo", "_r", "_q")
 
 
+#: Counters of a window beside its longest miss streak.
+COUNTERS = ("hops", "accepted", "misses", "stale", "invalid", "rejected", "overflow")
+
+
+def miss_streak(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """Adds ``streak``: misses in a row up to each hop; runs may begin at any sequence."""
+    gap = running_extreme(df, keys, [seq], F.when(~F.col("missed"), F.col(seq)), "_g", block(seq))
+    begun = df.groupBy(*keys).agg((F.min(seq) - 1).alias("_b"))
+    out = null_safe_join(gap, begun, list(keys))
+    return out.withColumn("streak", F.when(F.col("missed"), F.col(seq) - F.coalesce("_g", "_b")).otherwise(0)).drop("_g", "_b")
+
+
+def full_counters(df: DataFrame, keys: Sequence[str], width: str, event_time: str = "event_time") -> DataFrame:
+    """Per window: all counters and ``max_streak``, from ``missed, rejected, stale, overflow``, ``invalid`` samples and ``streak``.
+
+    The rows of two parts of a stream merge with ``merged_counters``.
+    """
+    return df.groupBy(*keys, F.window(event_time, width).alias("_w")).agg(
+        F.count(F.lit(1)).alias("hops"), count_if(~F.col("missed") & ~F.col("rejected")).alias("accepted"), count_if(F.col("missed")).alias("misses"), count_if(F.col("stale")).alias("stale"),
+        F.sum("invalid").alias("invalid"), count_if(F.col("rejected")).alias("rejected"), count_if(F.col("overflow")).alias("overflow"), F.max("streak").alias("max_streak"),
+    ).select(*keys, F.col("_w.start").alias("window_start"), *COUNTERS, "max_streak")
+
+
+def merged_counters(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row a window from the counters of its parts."""
+    return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTERS], F.max("max_streak").alias("max_streak"))
+
+
+def merged_bins(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Latency histogram rows from those of parts of a stream."""
+    return parts.groupBy(*keys, "bin").agg(F.sum("hops").alias("hops"), F.max("max_ns").alias("max_ns"))
+
+
 def activity_sessions(df: DataFrame, keys: Sequence[str], gap: str, event_time: str = "event_time") -> DataFrame:
     """Contiguous active spans: events closer than ``gap`` share a session."""
     g = df.groupBy(*keys, F.session_window(event_time, gap).alias("_s")).agg(F.count(F.lit(1)).alias("events"))
@@ -131,7 +168,7 @@ def progress_counts(receipts: DataFrame) -> DataFrame:
 def slo_windows(counters: DataFrame, latency: DataFrame, keys: Sequence[str], rate: int, assess: Callable[..., DataFrame]) -> DataFrame:
     """Policy assessment per window from counters and the latency histogram bound."""
     both = null_safe_join(counters, latency, list(keys))
-    stats = both.withColumn("invalid", F.lit(0)).withColumn("failed", F.lit(False))
+    stats = (both if "invalid" in both.columns else both.withColumn("invalid", F.lit(0))).withColumn("failed", F.lit(False))
     return assess(stats, F.lit(rate), F.col("p99_upper_ns") / 1000.0, F.col("max_ns") / 1000.0)
 
 
@@ -150,6 +187,42 @@ def presentation_join(inputs: DataFrame, results: DataFrame, deadline: str) -> D
     return i.join(r, condition, "left_outer").select("i.run_id", "i.seq", "i.event_time", "r.result_time")
 
 
+class BatchSink:
+    """Tables in which each micro-batch of one query owns a folder: a batch that is written again replaces itself."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+
+    def put(self, name: str, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
+
+    def table(self, spark: SparkSession, name: str) -> DataFrame:
+        return spark.read.parquet(f"{self.folder}/{name}")
+
+
+def slo_writer(sink: BatchSink, keys: Sequence[str], width: str, event_time: str = "event_time") -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: the batch's counters and latency histogram per window."""
+
+    def write(hops: DataFrame, batch: int) -> None:
+        windowed = hops.withColumn("window_start", F.window(event_time, width)["start"])
+        sink.put("counters", full_counters(hops, keys, width, event_time), batch)
+        sink.put("latency", latency_bins(windowed, [*keys, "window_start"]), batch)
+
+    return write
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """State in RocksDB, which stateful processors need, until the block ends."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def run_available(stream: DataFrame, folder: str, mode: str = "append", writer: Callable[[DataFrame, int], None] | None = None):
     """Run a stream over everything available and stop: parquet sink, or ``foreachBatch``."""
     out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)

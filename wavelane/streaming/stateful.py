@@ -1,14 +1,18 @@
-"""Stateful stream operators: framing of arbitrary chunks and carried bandwidth detection.
+"""Stateful stream operators: framing, bandwidth, gaps, late rows, miss streaks, sanitising, gating.
 
-State per key is one partial hop or three scalars, whatever the length of the stream.
+State per key is one partial hop, a few scalars, or the rows of an order buffer whose reach is a
+parameter, whatever the length of the stream. A key's rows of one micro-batch are sorted together,
+so the trigger bounds what a task holds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
@@ -95,3 +99,201 @@ def stream_bandwidth(frames: DataFrame, alpha: float, ratio: float, nyquist: flo
         statefulProcessor=BandwidthTracker(alpha, ratio, nyquist, hangover),
         outputStructType="track_id bigint, channel bigint, frame bigint, smoothed double, needs boolean", outputMode="Append", timeMode="None",
     )
+
+
+def _gathered(rows: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
+    """A key's rows of this micro-batch in order."""
+    return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable", ignore_index=True)
+
+
+def _micros(df: DataFrame, event_time: str) -> DataFrame:
+    """The event time as a plain number: late rows then reach the processor, and its timers still see the watermark."""
+    return df.withColumn("us", F.unix_micros(event_time)).drop(event_time)
+
+
+class GapReset(StatefulProcessor):
+    """Carries the expected sequence, where the last reset was, and the time of the last hop."""
+
+    def __init__(self, seq: str, warmup: int, idle_us: int) -> None:
+        self.seq, self.warmup, self.idle_us = seq, warmup, idle_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "last bigint, since bigint, at bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        got = _gathered(rows, self.seq)
+        seq, at = got[self.seq].to_numpy(), got["us"].to_numpy()
+        known = self.state.exists()
+        last, since, last_at = self.state.get() if known else (0, 0, 0)
+        before, before_at = np.concatenate([[last], seq[:-1]]), np.concatenate([[last_at], at[:-1]])
+        reset = (seq != before + 1) | (at - before_at > self.idle_us)
+        reset[0] |= not known
+        begun = np.maximum.accumulate(np.where(reset, np.arange(len(seq)), -1))
+        start = np.where(begun < 0, since, seq[np.maximum(begun, 0)])
+        self.state.update((int(seq[-1]), int(start[-1]), int(at[-1])))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(at[-1] + self.idle_us) // 1000 + 1)
+        yield pd.DataFrame({"run_id": key[0], "seq": seq, "reset": reset, "warming": seq - start < self.warmup})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()  # any later hop is beyond the idle time, so a reset without this state too
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_gap_reset(hops: DataFrame, seq: str, warmup: int, idle_us: int, event_time: str = "event_time") -> DataFrame:
+    """``run_id, seq, reset, warming``, as ``monitors.gap_reset`` with an idle time; needs a watermark on the event time.
+
+    Hops of a run arrive in sequence order, up to order within a micro-batch. The state of a run
+    that is idle for longer goes when the watermark passes.
+    """
+    return _micros(hops.select("run_id", seq, event_time), event_time).groupBy("run_id").transformWithStateInPandas(
+        statefulProcessor=GapReset(seq, warmup, idle_us), outputStructType="run_id bigint, seq bigint, reset boolean, warming boolean", outputMode="Append", timeMode="EventTime"
+    )
+
+
+class LateCounter(StatefulProcessor):
+    """Carries the presented sequence with the hops and late hops so far; a run that stays idle is closed with its counts."""
+
+    def __init__(self, arrival: str, seq: str, allowed: int, idle_us: int) -> None:
+        self.arrival, self.seq, self.allowed, self.idle_us = arrival, seq, allowed, idle_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "shown bigint, hops bigint, late bigint, at bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        got = _gathered(rows, self.arrival)
+        seq = got[self.seq].to_numpy()
+        known = self.state.exists()
+        shown, hops, lates, at = self.state.get() if known else (0, 0, 0, 0)
+        before = np.maximum.accumulate(np.concatenate([[shown if known else seq[0] - self.allowed - 1], seq]))
+        late = seq + self.allowed <= before[:-1]
+        at = max(at, int(got["us"].max()))
+        self.state.update((int(before[-1]), hops + len(seq), lates + int(late.sum()), at))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((at + self.idle_us) // 1000 + 1)
+        yield pd.DataFrame({"run_id": key[0], "seq": seq, "late": late, "hops": pd.array([None] * len(seq), "Int64"), "late_hops": pd.array([None] * len(seq), "Int64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            _, hops, late, _ = self.state.get()
+            self.state.clear()
+            yield pd.DataFrame({"run_id": [key[0]], "seq": pd.array([None], "Int64"), "late": pd.array([None], "boolean"), "hops": [hops], "late_hops": [late]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_drop_late(hops: DataFrame, arrival: str, seq: str, allowed: int, idle_us: int, event_time: str = "event_time") -> DataFrame:
+    """``run_id, seq, late`` of every hop, late ones included; needs a watermark on the event time.
+
+    Once the watermark passes a run's last hop by the idle time, one row without ``seq`` tells its
+    ``hops`` and ``late_hops``, and its state goes.
+    """
+    return _micros(hops.select("run_id", arrival, seq, event_time), event_time).groupBy("run_id").transformWithStateInPandas(
+        statefulProcessor=LateCounter(arrival, seq, allowed, idle_us), outputStructType="run_id bigint, seq bigint, late boolean, hops bigint, late_hops bigint", outputMode="Append", timeMode="EventTime"
+    )
+
+
+class Ordered(StatefulProcessor):
+    """Order buffer: rows wait until those before them have come, or a row ``reach`` places on has.
+
+    ``fold`` gets a key's released rows in order with what it carried, and returns its columns and
+    what to carry on. Rows that come after their place has been passed are left out.
+    """
+
+    def __init__(self, names: list[str], order: str, values: dict[str, str], carry: dict[str, tuple[str, object]], start: int, reach: int, fold) -> None:
+        self.names, self.order, self.values, self.carry, self.start, self.reach, self.fold = names, order, values, carry, start, reach, fold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        typed = ", ".join(f"{n} {t}" for n, (t, _) in self.carry.items())
+        self.state = handle.getValueState("state", f"place bigint, top bigint, {typed}")
+        self.waiting = handle.getListState("waiting", ", ".join([f"{self.order} bigint", *[f"{n} {t}" for n, t in self.values.items()]]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        columns = [self.order, *self.values]
+        place, top, *held = self.state.get() if self.state.exists() else (self.start, self.start, *[v for _, v in self.carry.values()])
+        kept = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=columns)
+        fresh = pd.concat(list(rows), ignore_index=True)[columns]
+        got = (pd.concat([kept, fresh], ignore_index=True) if len(kept) else fresh).sort_values(self.order, kind="stable", ignore_index=True)
+        order = got[self.order].to_numpy(dtype=np.int64)
+        low = int(np.searchsorted(order, place))
+        top = max(top, int(order[-1]) if len(order) else top)
+        high = max(low, int(np.searchsorted(order, top - self.reach, side="right")))
+        # Beyond what the reach releases, rows go on while their places are consecutive.
+        expected = order[high - 1] + 1 if high > low else place
+        breaks = np.flatnonzero(order[high:] != expected + np.arange(len(order) - high))
+        high = high + (int(breaks[0]) if len(breaks) else len(order) - high)
+        released = got.iloc[low:high]
+        if len(released):
+            out, held = self.fold(released, tuple(held))
+            place = int(order[high - 1]) + 1
+            frame = pd.DataFrame({self.order: order[low:high], **out})
+            for name, value in zip(self.names, key):
+                frame[name] = value
+            yield frame
+        self.state.update((place, top, *held))
+        left = got.iloc[high:]
+        if len(left):
+            self.waiting.put([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in left.itertuples(index=False, name=None)])
+        elif len(kept):
+            self.waiting.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _clean(rows: pd.DataFrame, held: tuple, order: str, value: str):
+    """Values clamped to +-1, bad ones 0.99 per place below the last good one; carries that one and its place."""
+    x, at = rows[value].to_numpy(dtype=np.float64), rows[order].to_numpy(dtype=np.int64)
+    good = np.isfinite(x)
+    last = np.maximum.accumulate(np.where(good, np.arange(len(x)), -1))
+    base = np.where(last < 0, held[0], np.clip(np.where(good, x, 0.0), -1.0, 1.0)[np.maximum(last, 0)])
+    base_at = np.where(last < 0, held[1], at[np.maximum(last, 0)])
+    return {"clean": base * np.power(0.99, (at - base_at).astype(np.float64)), "invalid": ~good}, (float(base[-1]), int(base_at[-1]))
+
+
+def stream_sanitize(samples: DataFrame, keys: list[str], order: str, value: str, reach: int) -> DataFrame:
+    """``keys, order, clean, invalid``, as ``monitors.sanitize``; samples may come up to ``reach`` places late."""
+    types = dict(samples.dtypes)
+    processor = Ordered(keys, order, {value: "double"}, {"good": ("double", 0.0), "good_at": ("bigint", 0)}, 0, reach, lambda rows, held: _clean(rows, held, order, value))
+    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], f"{order} bigint", "clean double", "invalid boolean"])
+    return samples.select(*keys, order, value).groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+
+
+def _gated(rows: pd.DataFrame, held: tuple, seq: str):
+    """Whether this hop and the hop before are ready and the hop isn't silent; carries the last hop."""
+    ready, at = rows["ready"].to_numpy(dtype=bool), rows[seq].to_numpy(dtype=np.int64)
+    before, before_at = np.concatenate([[held[0]], ready[:-1]]).astype(bool), np.concatenate([[held[1]], at[:-1]])
+    return {"enhance": ready & before & (before_at == at - 1) & ~rows["silent"].to_numpy(dtype=bool)}, (bool(ready[-1]), int(at[-1]))
+
+
+def stream_healthy_gate(hops: DataFrame, key: str, seq: str, reach: int) -> DataFrame:
+    """``key, seq, enhance`` from ``ready, silent``, as ``monitors.healthy_gate``; hops may come up to ``reach`` places late."""
+    processor = Ordered([key], seq, {"ready": "boolean", "silent": "boolean"}, {"was": ("boolean", False), "was_at": ("bigint", -2)}, 0, reach, lambda rows, held: _gated(rows, held, seq))
+    return hops.select(key, seq, "ready", "silent").groupBy(key).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=f"{key} {dict(hops.dtypes)[key]}, {seq} bigint, enhance boolean", outputMode="Append", timeMode="None"
+    )
+
+
+def _streaks(rows: pd.DataFrame, held: tuple, columns: list[str]):
+    """Misses in a row up to each hop; carries the current one."""
+    missed = rows["missed"].to_numpy(dtype=bool)
+    at = np.arange(len(missed))
+    last = np.maximum.accumulate(np.where(~missed, at, -1))
+    streak = np.where(missed, np.where(last < 0, at + 1 + held[0], at - last), 0)
+    return {**{c: rows[c].to_numpy() for c in columns}, "streak": streak}, (int(streak[-1]),)
+
+
+def stream_streaks(hops: DataFrame, key: str, seq: str, columns: list[str], reach: int) -> DataFrame:
+    """``key, seq``, the named columns (``missed`` among them) and ``streak``, the misses in a row up to the hop."""
+    types = dict(hops.dtypes)
+    processor = Ordered([key], seq, {c: types[c] for c in columns}, {"run": ("bigint", 0)}, 0, reach, lambda rows, held: _streaks(rows, held, columns))
+    schema = ", ".join([f"{key} {types[key]}", f"{seq} bigint", *[f"{c} {types[c]}" for c in columns], "streak bigint"])
+    return hops.select(key, seq, *columns).groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
