@@ -1,7 +1,8 @@
 """Substring dedup: long word passages that stand earlier too, by a compacted de Bruijn graph.
 
 An edge of the graph is a k-mer of ``K`` consecutive words, between the nodes of its first and last
-``K - 1`` words. Texts are dealt to blocks of about ``BLOCK`` bytes, and three steps use the blocks.
+``K - 1`` words. Whole copies of an earlier text are set aside first, by digest: all their windows
+stand earlier. The other texts are dealt to blocks of about ``BLOCK`` bytes; three steps use the blocks.
 
 1. Only repeated edges matter. Every k-mer holds a *minimizer*, its ``M``-word window of least hash,
    and equal k-mers hold the same one. A block sends each of its distinct minimizers once; those that
@@ -21,8 +22,8 @@ any length travels as one row. Edges are told apart by 96 bits of two hashes.
 Defined cases: null text counts as empty; texts of fewer than ``K`` words keep all; null ids come
 first and count as one document, as do rows that share an id. Of different texts under one id, the
 one with the smaller hash comes first. Equal rows are the same document and get equal results: a
-window is removed only for an occurrence at a smaller coordinate. An empty table gives no rows;
-extra columns are ignored.
+window is removed only for an occurrence at a smaller coordinate; they meet in one block. An empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavelane.llm.common import bounded_batches, text_of
+from wavelane.llm.common import bounded_batches, cut, text_of
 from wavelane.llm.hashing import WordHasher, mix
 
 #: Words of an edge, words of a minimizer.
@@ -126,18 +127,26 @@ class Block:
         return np.repeat(docs[self.long], sizes), np.repeat(tags[self.long] << 32, sizes) + at
 
 
+def _own_texts(frame: pd.DataFrame, told: pd.DataFrame) -> list[str]:
+    """The block's texts, empty where a copy of an earlier one stands; ``told`` lists these as ``kind`` 1."""
+    copies = told[told["kind"] == 1]
+    gone = set(zip(copies["doc"], copies["place"]))
+    return ["" if key in gone else text for text, key in zip(frame["text"], zip(frame["doc"], frame["key"]))]
+
+
 def _minimizers(k: int, m: int):
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        keys, twice = Block(list(frame["text"]), k, m).distinct_minimizers()
+    def run(key: tuple, frame: pd.DataFrame, copies: pd.DataFrame) -> pd.DataFrame:
+        keys, twice = Block(_own_texts(frame, copies), k, m).distinct_minimizers()
         return pd.DataFrame({"block": key[0], "h": keys.view(np.int64), "twice": twice})
 
     return run
 
 
 def _edges(k: int, m: int):
-    def run(key: tuple, frame: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
-        block = Block(list(frame["text"]), k, m)
-        wanted = np.flatnonzero(np.isin(block.minimizers.view(np.int64), shared["h"].to_numpy(dtype=np.int64)))
+    def run(key: tuple, frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        block = Block(_own_texts(frame, told), k, m)
+        shared = told.loc[told["kind"] == 0, "h"].to_numpy(dtype=np.int64)
+        wanted = np.flatnonzero(np.isin(block.minimizers.view(np.int64), shared))
         first, second = block.edges()
         docs, places = block.places(frame["doc"].to_numpy(), frame["tag"].to_numpy())
         follows = block.followers()[wanted]
@@ -156,8 +165,8 @@ def _edges(k: int, m: int):
 
 
 def _removed(k: int, m: int):
-    def run(key: tuple, frame: pd.DataFrame, paths: pd.DataFrame) -> pd.DataFrame:
-        block = Block(list(frame["text"]), k, m)
+    def run(key: tuple, frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        block, paths = Block(_own_texts(frame, told), k, m), told[told["kind"] == 0]
         n_words = np.array([len(w) for w in block.words], dtype=np.int64)
         base = np.cumsum(n_words) - n_words
         cover = np.zeros(int(n_words.sum()) + 1, dtype=np.int64)
@@ -189,11 +198,14 @@ def _removed(k: int, m: int):
             np.add.at(cover, begin + lengths + k - 1, -1)
         kept = np.cumsum(cover[:-1]) == 0
         out = []
-        for raw, low, n in zip(block.raw, base, n_words):
+        for text, low, n in zip(frame["text"], base, n_words):
+            words = text.encode().split()
             keep = kept[low : low + n]
-            words = raw.split()
-            left = words if keep.all() else list(compress(words, keep.tolist()))
-            out.append((n, n - len(left), hashlib.sha256(b" ".join(left)).hexdigest()))
+            if len(words) != n:  # a copy, of which all windows stand earlier
+                left = words if len(words) < k else []
+            else:
+                left = words if keep.all() else list(compress(words, keep.tolist()))
+            out.append((len(words), len(words) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()))
         rows = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"])
         return rows.assign(doc=frame["doc"].to_numpy())
 
@@ -226,6 +238,12 @@ def paths_of(told: DataFrame) -> DataFrame:
     return heads.select("key.e", "key.f", "doc", F.col("start").alias("place"), "edges", "digest")
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """``block, doc, key`` of the rows (``block, doc, key, text_key``) whose text also stands under a smaller id."""
+    groups = cut(rows.groupBy("text_key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter(F.col("first") < F.col("last")).select("text_key", "first"))
+    return cut(rows.join(groups, "text_key").filter(F.col("doc") > F.col("first")).select("block", "doc", "key").distinct())
+
+
 def dedup(docs: DataFrame, k: int = K, m: int = M, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256``: one row for each row of ``docs``."""
     bounded_batches(docs.sparkSession)
@@ -233,18 +251,29 @@ def dedup(docs: DataFrame, k: int = K, m: int = M, block: int = BLOCK) -> DataFr
     whole = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(1, -(-whole // block))
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID).cast("bigint"))
-    # The tag orders texts that share an id. Rows are dealt by their number, so that equal ones spread.
-    placed = docs.select(doc.alias("doc"), text.alias("text"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).alias("block"))
-    dealt = placed.withColumn("tag", F.xxhash64("text").bitwiseAND((1 << 30) - 1))
-
-    sent = dealt.groupBy("block").applyInPandas(_minimizers(k, m), "block bigint, h bigint, twice boolean")
+    placed = docs.select(doc.alias("doc"), text.alias("text")).withColumn("key", F.xxhash64("text"))
+    dealt = placed.withColumn("block", F.pmod(F.xxhash64("doc", "key"), F.lit(blocks)))
+    light = dealt.select("block", "doc", "key", F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("text_key"))
+    copies = _copies(light).select("block", F.lit(1).alias("kind"), "doc", F.col("key").alias("place"))
+    # Where ids repeat, a tag orders the texts that share one; else it would only take room.
+    repeated = not light.groupBy("doc").agg(F.countDistinct("key").alias("n")).filter("n > 1").isEmpty()
+    dealt = dealt.withColumn("tag", F.col("key").bitwiseAND((1 << 30) - 1) if repeated else F.lit(0).cast("bigint")).groupBy("block")
+
+    sent = dealt.cogroup(copies.groupBy("block")).applyInPandas(_minimizers(k, m), "block bigint, h bigint, twice boolean")
     every = Window.partitionBy("h")
-    shared = sent.withColumn("blocks", F.count(F.lit(1)).over(every)).filter("twice or blocks > 1").select("block", "h")
-    edge_rows = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(_edges(k, m), "e bigint, f bigint, block bigint, doc bigint, place bigint, link bigint")
+    shared = sent.withColumn("blocks", F.count(F.lit(1)).over(every)).filter("twice or blocks > 1").select("block", F.lit(0).alias("kind"), "h")
+    edge_rows = dealt.cogroup(_both(shared, copies).groupBy("block")).applyInPandas(_edges(k, m), "e bigint, f bigint, block bigint, doc bigint, place bigint, link bigint")
     # The join below asks for this filter; asked for here, both uses of the edges share one exchange.
     told = numbered(edge_rows.filter("e is not null and f is not null"))
     # A block that holds the source alone has nothing to remove.
     elsewhere = told.filter((F.struct("doc", "place", "block") != F.col("first")) | (F.shiftright("link", 32) > 1))
-    spans = elsewhere.select("e", "f", "block").join(paths_of(told), ["e", "f"])
-    out = dealt.groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(_removed(k, m), "doc bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    spans = elsewhere.select("block", F.lit(0).alias("kind"), "e", "f").join(paths_of(told), ["e", "f"])
+    out = dealt.cogroup(_both(spans, copies).groupBy("block")).applyInPandas(_removed(k, m), "doc bigint, n_words bigint, n_removed bigint, kept_sha256 string")
     return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+def _both(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """The two in one table, with zeros for the columns that one lacks."""
+    names = [*rows.columns, *[c for c in copies.columns if c not in rows.columns]]
+    padded = [d.select(*[F.col(c) if c in d.columns else F.lit(0).cast("bigint").alias(c) for c in names]) for d in (rows, copies)]
+    return padded[0].union(padded[1])
