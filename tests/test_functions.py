@@ -41,21 +41,41 @@ def _mix(x):
     return (x >> 16) ^ x
 
 
-def test_bootstrap_equals_a_plain_resampler(spark):
-    rows = [("a", i, float(i % 7), 1 + i % 3) for i in range(40)] + [("b", 5, 3.0, 2)]
-    df = spark.createDataFrame(rows, "k string, c bigint, s double, n bigint")
-    out = {r["k"]: r for r in bootstrap.percentile_ci(df, ["k"], ["c"], F.floor(F.col("c") / 7), ["s"], "n", 9, 120).collect()}
-    seed = int(hashlib.sha256(b"9:a").hexdigest()[:8], 16)
-    data = [(s, n) for k, c, s, n in rows if k == "a"]
-    means = []
-    for rep in range(120):
-        picks = [data[(_mix((_mix((_mix(seed) + rep) % bootstrap.WORD) + i) % bootstrap.WORD) * 40) >> 32] for i in range(40)]
-        means.append(sum(s for s, _ in picks) / sum(n for _, n in picks))
-    lo, hi = np.quantile(means, [0.025, 0.975])
-    assert math.isclose(out["a"]["s_lo"], lo) and math.isclose(out["a"]["s_hi"], hi)
+def test_bootstrap_equals_plain_poisson_weights(spark):
+    rows = [("a", i, float(i % 7), 1 + i % 3) for i in range(600)] + [("b", 5, 3.0, 2), (None, 6, 1.0, 1), (None, 7, 5.0, 1)]
+    df = spark.createDataFrame(rows, "k string, c bigint, s double, n bigint").repartition(5)
+    out = {r["k"]: r for r in bootstrap.percentile_ci(df, ["k"], ["c"], ["s"], "n", 9, 150).collect()}
+    cuts = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(14)]
+    for key in ("a", None):
+        seed = int(hashlib.sha256(f"9:{key or ''}".encode()).hexdigest()[:8], 16)
+        data = [(s, n, int(hashlib.sha256(str(c).encode()).hexdigest()[:8], 16)) for k, c, s, n in rows if k == key]
+        means = []
+        for rep in range(150):
+            second = _mix((_mix(seed) + rep) % bootstrap.WORD)
+            copies = [sum(_mix((second + spot) % bootstrap.WORD) >= math.floor(c * bootstrap.WORD) for c in cuts if c * bootstrap.WORD < bootstrap.WORD - 1) for _, _, spot in data]
+            total = sum(w * n for w, (_, n, _) in zip(copies, data))
+            if total:
+                means.append(sum(w * s for w, (s, _, _) in zip(copies, data)) / total)
+        lo, hi = np.quantile(means, [0.025, 0.975])
+        assert math.isclose(out[key]["s_lo"], lo) and math.isclose(out[key]["s_hi"], hi)
     assert out["b"]["s_lo"] == out["b"]["s_hi"] == 1.5
 
 
+def test_bootstrap_weights_are_poisson():
+    w = bootstrap.weights(12345, np.arange(3000) * 7919, 500)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs((w == 0).mean() - math.exp(-1)) < 0.005
+    assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.08 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.15
+
+
+def test_bootstrap_hands_on_full_tables_of_sums(spark, monkeypatch):
+    """More keys than a task holds at once."""
+    rows = [(k, c, float(c % 5), 1) for k in range(40) for c in range(12)]
+    df = spark.createDataFrame(rows, "k bigint, c bigint, s double, n bigint")
+    whole = sorted(tuple(r) for r in bootstrap.percentile_ci(df, ["k"], ["c"], ["s"], "n", 1, 50).collect())
+    monkeypatch.setattr(bootstrap, "HELD", 500)
+    assert sorted(tuple(r) for r in bootstrap.percentile_ci(df, ["k"], ["c"], ["s"], "n", 1, 50).collect()) == whole
+
+
 def test_set_hash_ignores_order_and_copies(spark):
     a = spark.createDataFrame([("x", i % 300) for i in range(900)], "k string, v bigint")
     b = spark.createDataFrame([("x", 299 - i) for i in range(300)], "k string, v bigint").repartition(4)

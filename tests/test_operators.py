@@ -94,7 +94,7 @@ def test_recordings_count_once_and_copies_do_not_reweight(spark):
     df = spark.createDataFrame(rows, "source string, a double, b double").withColumn("g", F.lit("x"))
     assert aggregates.paired_sources(df, ["g"], "source", {"d": ("a", "b")}).agg(F.avg("d")).first()[0] == 2.0
     clustered = spark.createDataFrame([("t1", 0.0)] * 10 + [("t2", 10.0)], "track_id string, v double").withColumn("k", F.when(F.col("track_id") == "t1", 1).otherwise(2)).withColumn("g", F.lit("x"))
-    ci = aggregates.cluster_bootstrap_ci(clustered, ["g"], "k", ["v"], F.lit(0), 3, 500).first()
+    ci = aggregates.cluster_bootstrap_ci(clustered, ["g"], "k", ["v"], 3, 500).first()
     assert abs(ci["v_mean"] - 10 / 11) < 1e-12 and ci["v_hi"] > 5
 
 

@@ -98,12 +98,12 @@ def strata_summary(df: DataFrame, cluster: str, metrics: Sequence[str], dims: Se
 
 
 def strata_intervals(
-    df: DataFrame, cluster: str, metrics: Sequence[str], dims: Sequence[str], bucket: Column, seed: int, replicates: int
+    df: DataFrame, cluster: str, metrics: Sequence[str], dims: Sequence[str], seed: int, replicates: int
 ) -> DataFrame:
     """``strata_summary`` with clustered percentile intervals (one resample per stratum)."""
     parts = stratified(df, cluster, metrics, dims)
     return bootstrap.percentile_ci(
-        parts, ["dimension", "stratum"], [cluster], bucket, list(metrics), "rows", seed, replicates
+        parts, ["dimension", "stratum"], [cluster], list(metrics), "rows", seed, replicates
     )
 
 
@@ -117,16 +117,16 @@ def recording_mean(df: DataFrame, keys: Sequence[str], recording: str, metrics:
     )
 
 
-def bootstrap_ci(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], bucket: Column, seed: int, replicates: int = 2000) -> DataFrame:
+def bootstrap_ci(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], seed: int, replicates: int = 2000) -> DataFrame:
     """Percentile interval of the mean over rows; one row gives (v, v)."""
     ones = df.select(*keys, *order, F.col(value).alias("value"), F.lit(1).alias("_one"))
-    return bootstrap.percentile_ci(ones, list(keys), list(order), bucket, ["value"], "_one", seed, replicates)
+    return bootstrap.percentile_ci(ones, list(keys), list(order), ["value"], "_one", seed, replicates)
 
 
-def cluster_bootstrap_ci(df: DataFrame, keys: Sequence[str], cluster: str, metrics: Sequence[str], bucket: Column, seed: int, replicates: int = 2000) -> DataFrame:
+def cluster_bootstrap_ci(df: DataFrame, keys: Sequence[str], cluster: str, metrics: Sequence[str], seed: int, replicates: int = 2000) -> DataFrame:
     """Interval of the row mean when whole clusters are resampled."""
     return bootstrap.percentile_ci(
-        cluster_sums(df, keys, cluster, metrics), list(keys), [cluster], bucket, list(metrics), "rows", seed, replicates
+        cluster_sums(df, keys, cluster, metrics), list(keys), [cluster], list(metrics), "rows", seed, replicates
     )
 
 
@@ -138,10 +138,10 @@ def paired_sources(pairs: DataFrame, keys: Sequence[str], source: str, metrics:
     return both.select(*keys, source, *[(F.col(f"_a_{m}") - F.col(f"_b_{m}")).alias(m) for m in metrics])
 
 
-def paired_source_bootstrap(pairs: DataFrame, keys: Sequence[str], source: str, metrics: dict[str, tuple[str, str]], bucket: Column, seed: int, replicates: int = 5000) -> DataFrame:
+def paired_source_bootstrap(pairs: DataFrame, keys: Sequence[str], source: str, metrics: dict[str, tuple[str, str]], seed: int, replicates: int = 5000) -> DataFrame:
     """Source-mean delta with shared resamples for all metrics, and better/worse/ties counts."""
     sources = paired_sources(pairs, keys, source, metrics).withColumn("_one", F.lit(1))
-    ci = bootstrap.percentile_ci(sources, list(keys), [source], bucket, list(metrics), "_one", seed, replicates)
+    ci = bootstrap.percentile_ci(sources, list(keys), [source], list(metrics), "_one", seed, replicates)
     signs = sources.groupBy(*keys).agg(
         *[c for m in metrics for c in (
             count_if(F.col(m) < 0).alias(f"{m}_better"), count_if(F.col(m) > 0).alias(f"{m}_worse"), count_if(F.col(m) == 0).alias(f"{m}_ties"))]
@@ -149,10 +149,10 @@ def paired_source_bootstrap(pairs: DataFrame, keys: Sequence[str], source: str,
     return null_safe_join(ci, signs, list(keys))
 
 
-def paired_comparison(pairs: DataFrame, corpus: str, track: str, candidate: str, control: str, bucket: Column, seed: int, replicates: int = 2000) -> DataFrame:
+def paired_comparison(pairs: DataFrame, corpus: str, track: str, candidate: str, control: str, seed: int, replicates: int = 2000) -> DataFrame:
     """Delta per row, mean per track, mean over tracks per corpus with interval."""
     tracks = pairs.groupBy(corpus, track).agg(F.avg(F.col(candidate) - F.col(control)).alias("delta")).withColumn("_one", F.lit(1))
-    return bootstrap.percentile_ci(tracks, [corpus], [track], bucket, ["delta"], "_one", seed, replicates)
+    return bootstrap.percentile_ci(tracks, [corpus], [track], ["delta"], "_one", seed, replicates)
 
 
 # --- A09-A11: changes and distributions ---------------------------------------------------------
@@ -396,10 +396,10 @@ def source_lists(scores: DataFrame) -> DataFrame:
     return per.select("stage", "role", "source", F.when(F.col("delta") < 0, "better").when(F.col("delta") > 0, "worse").otherwise("tie").alias("verdict"))
 
 
-def guards(pairs: DataFrame, keys: Sequence[str], track: str, candidate: str, control: str, bucket: Column, tolerance: float, seed: int, replicates: int = 2000, improvement: bool = False) -> DataFrame:
+def guards(pairs: DataFrame, keys: Sequence[str], track: str, candidate: str, control: str, tolerance: float, seed: int, replicates: int = 2000, improvement: bool = False) -> DataFrame:
     """supported / regression / inconclusive / unsupported per key from the recording interval."""
     tracks = pairs.groupBy(*keys, track).agg(F.avg(F.col(candidate) - F.col(control)).alias("delta")).withColumn("_one", F.lit(1))
-    ci = bootstrap.percentile_ci(tracks, list(keys), [track], bucket, ["delta"], "_one", seed, replicates)
+    ci = bootstrap.percentile_ci(tracks, list(keys), [track], ["delta"], "_one", seed, replicates)
     bound = -tolerance if improvement else tolerance
     status = (
         F.when(F.col("clusters") < 2, "unsupported").when(F.col("delta_hi") <= bound, "supported")

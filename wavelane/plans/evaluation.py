@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wavelane.functions.numeric import fix
-from wavelane.functions.ordinals import block
 from wavelane.operators import aggregates as agg
 from wavelane.operators import rules
 from wavelane.plans import validation
@@ -70,9 +69,9 @@ def ci_fix(df, sums):
     " UNION ALL ".join(
         ["SELECT 'overall' AS dimension, 'all' AS stratum, track_id, count(*) AS rows, sum(delta) AS delta FROM metric_rows GROUP BY track_id"]
         + [f"SELECT '{d}', CAST({d} AS VARCHAR), track_id, count(*), sum(delta) FROM metric_rows GROUP BY {d}, track_id" for d in ("corpus", "quality")]
-    ), ["dimension", "stratum"], "track_id", ["delta"], "rows", 7, 200) + "\n" + ci_select(["dimension", "stratum"], ["delta"])))
+    ), ["dimension", "stratum"], "track_id", ["delta"], "rows", 7, 2000) + "\n" + ci_select(["dimension", "stratum"], ["delta"])))
 def a03_ci(spark, sf):
-    out = agg.strata_intervals(load(spark, sf, "metric_rows"), "track_id", ["delta"], ["corpus", "quality"], block("track_id"), 7, 200)
+    out = agg.strata_intervals(load(spark, sf, "metric_rows"), "track_id", ["delta"], ["corpus", "quality"], 7, 2000)
     return ci_fix(out, ["delta"])
 
 
@@ -87,38 +86,38 @@ def a04(spark, sf):
 
 @query("a05_bootstrap_ci", with_ctes("metric_rows", body="WITH " + boot_sql(
     "SELECT corpus, codec_id, track_id, avg(delta) AS value, 1 AS one FROM metric_rows GROUP BY 1, 2, 3",
-    ["corpus", "codec_id"], "track_id", ["value"], "one", 0, 200) + "\n" + ci_select(["corpus", "codec_id"], ["value"])))
+    ["corpus", "codec_id"], "track_id", ["value"], "one", 0, 2000) + "\n" + ci_select(["corpus", "codec_id"], ["value"])))
 def a05(spark, sf):
     means = load(spark, sf, "metric_rows").groupBy("corpus", "codec_id", "track_id").agg(F.avg("delta").alias("v"))
-    return ci_fix(agg.bootstrap_ci(means, ["corpus", "codec_id"], "v", ["track_id"], block("track_id"), 0, 200), ["value"])
+    return ci_fix(agg.bootstrap_ci(means, ["corpus", "codec_id"], "v", ["track_id"], 0, 2000), ["value"])
 
 
 @query("a06_cluster_bootstrap_ci", with_ctes("metric_rows", body="WITH " + boot_sql(
     "SELECT corpus, track_id, count(*) AS rows, sum(delta) AS delta, sum(enhanced) AS enhanced FROM metric_rows GROUP BY 1, 2",
-    ["corpus"], "track_id", ["delta", "enhanced"], "rows", 11, 400) + "\n" + ci_select(["corpus"], ["delta", "enhanced"])))
+    ["corpus"], "track_id", ["delta", "enhanced"], "rows", 11, 2000) + "\n" + ci_select(["corpus"], ["delta", "enhanced"])))
 def a06(spark, sf):
-    out = agg.cluster_bootstrap_ci(load(spark, sf, "metric_rows"), ["corpus"], "track_id", ["delta", "enhanced"], block("track_id"), 11, 400)
+    out = agg.cluster_bootstrap_ci(load(spark, sf, "metric_rows"), ["corpus"], "track_id", ["delta", "enhanced"], 11, 2000)
     return ci_fix(out, ["delta", "enhanced"])
 
 
 @query("a07_paired_source_bootstrap", with_ctes("pairs", body="WITH " + boot_sql(
     "SELECT quality, track_id, avg(delta) - avg(control) AS d1, avg(baseline) - avg(enhanced) AS d2, 1 AS one FROM pairs GROUP BY 1, 2",
-    ["quality"], "track_id", ["d1", "d2"], "one", 20261012, 300) + f""",
+    ["quality"], "track_id", ["d1", "d2"], "one", 20261012, 5000) + f""",
 sg AS (SELECT quality, count(*) FILTER (d1 < 0) AS d1_better, count(*) FILTER (d1 > 0) AS d1_worse, count(*) FILTER (d1 = 0) AS d1_ties,
  count(*) FILTER (d2 < 0) AS d2_better, count(*) FILTER (d2 > 0) AS d2_worse, count(*) FILTER (d2 = 0) AS d2_ties FROM bsrc GROUP BY 1)
 {ci_select(['quality'], ['d1', 'd2'], ', d1_better, d1_worse, d1_ties, d2_better, d2_worse, d2_ties')} JOIN sg USING (quality)"""))
 def a07(spark, sf):
     out = agg.paired_source_bootstrap(
-        load(spark, sf, "pairs"), ["quality"], "track_id", {"d1": ("delta", "control"), "d2": ("baseline", "enhanced")}, block("track_id"), 20261012, 300
+        load(spark, sf, "pairs"), ["quality"], "track_id", {"d1": ("delta", "control"), "d2": ("baseline", "enhanced")}, 20261012, 5000
     )
     return ci_fix(out, ["d1", "d2"])
 
 
 @query("a08_paired_comparison", with_ctes("pairs", body="WITH " + boot_sql(
     "SELECT corpus, track_id, avg(delta - control) AS delta, 1 AS one FROM pairs GROUP BY 1, 2",
-    ["corpus"], "track_id", ["delta"], "one", 3, 300) + "\n" + ci_select(["corpus"], ["delta"])))
+    ["corpus"], "track_id", ["delta"], "one", 3, 2000) + "\n" + ci_select(["corpus"], ["delta"])))
 def a08(spark, sf):
-    return ci_fix(agg.paired_comparison(load(spark, sf, "pairs"), "corpus", "track_id", "delta", "control", block("track_id"), 3, 300), ["delta"])
+    return ci_fix(agg.paired_comparison(load(spark, sf, "pairs"), "corpus", "track_id", "delta", "control", 3, 2000), ["delta"])
 
 
 @query("a09_win_loss", with_ctes("pairs", body=f"""
@@ -336,11 +335,11 @@ def a21_lists(spark, sf):
 
 @query("a22_guards", with_ctes("pairs", body="WITH " + boot_sql(
     "SELECT corpus, quality, track_id, avg(delta - control) AS delta, 1 AS one FROM pairs WHERE pct <> 0 GROUP BY 1, 2, 3",
-    ["corpus", "quality"], "track_id", ["delta"], "one", 20261012, 200) + "\n" + ci_select(["corpus", "quality"], ["delta"],
+    ["corpus", "quality"], "track_id", ["delta"], "one", 20261012, 2000) + "\n" + ci_select(["corpus", "quality"], ["delta"],
     ", CASE WHEN clusters < 2 THEN 'unsupported' WHEN delta_hi <= 0.0005 THEN 'supported' WHEN delta_lo > 0.0005 THEN 'regression' ELSE 'inconclusive' END AS status")))
 def a22(spark, sf):
     weak = load(spark, sf, "pairs").filter(F.col("pct") != 0)
-    out = agg.guards(weak, ["corpus", "quality"], "track_id", "delta", "control", block("track_id"), 5e-4, 20261012, 200)
+    out = agg.guards(weak, ["corpus", "quality"], "track_id", "delta", "control", 5e-4, 20261012, 2000)
     return ci_fix(out, ["delta"])
 
 
@@ -367,7 +366,7 @@ GATE_ROWS = """SELECT track_id, delta, pct % 3 * 1e-7 AS chunk_error, CASE WHEN
     "SELECT 'overall' AS dimension, 'all' AS stratum, track_id, count(*) AS rows, sum(delta) AS delta FROM metric_rows GROUP BY track_id"
     " UNION ALL SELECT 'corpus', corpus, track_id, count(*), sum(delta) FROM metric_rows GROUP BY corpus, track_id"
     " UNION ALL SELECT 'quality', quality, track_id, count(*), sum(delta) FROM metric_rows GROUP BY quality, track_id",
-    ["dimension", "stratum"], "track_id", ["delta"], "rows", 5, 200) + f""",
+    ["dimension", "stratum"], "track_id", ["delta"], "rows", 5, 2000) + f""",
 g AS ({GATE_ROWS}), r AS (SELECT max(chunk_error) AS chunk, sum(clipped) AS clipped, sum(nonfinite) AS nonfinite, avg(false_bypass::INT) AS bypass, count(*) FILTER (stereo) AS st,
  count(*) FILTER (stereo AND stereo_complete) AS sc, count(perceptual) AS scored, count(*) AS rows, avg(perceptual) AS perceptual, avg(low) AS low FROM g),
 s AS (SELECT count(*) FILTER (delta_lo > 0) AS regressions, count(DISTINCT dimension) AS dims FROM ci WHERE dimension <> 'overall'),
@@ -379,7 +378,7 @@ l AS (SELECT unnest(['mean_high_band_improvement','high_band_improvement_ci','re
 SELECT * FROM l UNION ALL SELECT 'all_pass', bool_and(passed) FROM l"""))
 def a24(spark, sf):
     m = load(spark, sf, "metric_rows")
-    ci = agg.strata_intervals(m, "track_id", ["delta"], ["corpus", "quality"], block("track_id"), 5, 200)
+    ci = agg.strata_intervals(m, "track_id", ["delta"], ["corpus", "quality"], 5, 2000)
     rows = m.select(
         (F.col("pct") % 3 * F.lit(1e-7)).alias("chunk_error"), F.when(F.col("cents") % 100000 == 1, 1).otherwise(0).alias("clipped"),
         F.lit(0).alias("nonfinite"), (F.col("row_id") % 211 == 0).alias("false_bypass"), F.col("channel_role").isin("left", "right").alias("stereo"),

@@ -74,28 +74,19 @@ def with_ctes(*names: str, body: str) -> str:
 
 def boot_sql(src: str, keys: list[str], cluster: str, sums: list[str], count: str, seed: int, replicates: int, label: list[str] | None = None) -> str:
     """CTE text (starting at WITH) giving ``ci``: the SQL twin of ``bootstrap.percentile_ci``."""
+    from wavelane.functions.bootstrap import POISSON
+
     k = ", ".join(keys)
-    on = f"USING ({k}, ix)"
     label = keys if label is None else label
-    text = " || ':' || ".join(f"CAST({c} AS VARCHAR)" for c in label)
-    steps, current = [], "bd0"
-    first = f"SELECT *, ({hx(f"sha256('{seed}:' || {text})", 8)}) AS x FROM bpl, range({replicates}) t(rep)"
-    steps.append(f"bd0 AS ({first})")
-    n = 0
-    for add in ("", "rep", "ix"):
-        if add:
-            n += 1
-            steps.append(f"bs{n} AS (SELECT * REPLACE ((x + {add}) % 4294967296 AS x) FROM {current})")
-            current = f"bs{n}"
-        for _ in range(2):
-            n += 1
-            steps.append(f"bs{n} AS (SELECT * REPLACE ((xor(x >> 16, x) * {73244475}) % 4294967296 AS x) FROM {current})")
-            current = f"bs{n}"
-        n += 1
-        steps.append(f"bs{n} AS (SELECT * REPLACE (xor(x >> 16, x) AS x) FROM {current})")
-        current = f"bs{n}"
-    chain = ",\n".join(steps)
-    sums_rep = ", ".join(f"sum({s})::DOUBLE / sum({count}) AS {s}" for s in sums)
+    text = " || ':' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in label)
+    chain = f"""bst AS (SELECT *, {mixed(hx(f"sha256('{seed}:' || {text})", 8))} AS s1, {hx(f"sha256(coalesce(CAST({cluster} AS VARCHAR), ''))", 8)} AS spot FROM bsrc),
+brs AS (SELECT DISTINCT s1, rep, {mixed("((s1 + rep) % 4294967296)")} AS s2 FROM (SELECT DISTINCT s1 FROM bst), range({replicates}) t(rep)),
+bx0 AS (SELECT bst.*, rep, (s2 + spot) % 4294967296 AS x FROM bst JOIN brs USING (s1)),
+bx1 AS (SELECT * REPLACE ((xor(x >> 16, x) * 73244475) % 4294967296 AS x) FROM bx0),
+bx2 AS (SELECT * REPLACE ((xor(x >> 16, x) * 73244475) % 4294967296 AS x) FROM bx1),
+bx3 AS (SELECT * REPLACE (xor(x >> 16, x) AS x) FROM bx2),
+bdr AS (SELECT *, {" + ".join(f"CAST(x >= {t} AS INT)" for t in POISSON)} AS w FROM bx3)"""
+    sums_rep = ", ".join(f"sum(w * coalesce({s}, 0)::DOUBLE) / nullif(sum(w * {count}), 0) AS {s}" for s in sums)
     lo = ", ".join(f"quantile_cont({s}, 0.025) AS {s}_q1, quantile_cont({s}, 0.975) AS {s}_q2" for s in sums)
     mean = ", ".join(f"sum({s})::DOUBLE / sum({count}) AS {s}_mean" for s in sums)
     final = ", ".join(
@@ -103,11 +94,8 @@ def boot_sql(src: str, keys: list[str], cluster: str, sums: list[str], count: st
         for s in sums
     )
     return f"""bsrc AS ({src}),
-bpl AS (SELECT {k}, row_number() OVER (PARTITION BY {k} ORDER BY {cluster}) - 1 AS ix, count(*) OVER (PARTITION BY {k}) AS n FROM bsrc),
-bval AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY {cluster}) - 1 AS ix FROM bsrc),
 {chain},
-bdr AS (SELECT {k}, rep, (x * n) >> 32 AS ix FROM {current}),
-brep AS (SELECT {k}, rep, {sums_rep} FROM bdr JOIN bval {on} GROUP BY {k}, rep),
+brep AS (SELECT {k}, rep, {sums_rep} FROM bdr GROUP BY {k}, rep),
 bq AS (SELECT {k}, {lo} FROM brep GROUP BY {k}),
 bpt AS (SELECT {k}, count(*) AS clusters, {mean} FROM bsrc GROUP BY {k}),
 ci AS (SELECT {k}, clusters, {final} FROM bpt JOIN bq USING ({k}))"""

@@ -125,9 +125,10 @@ def w10_causal(spark, sf):
     return out.filter(F.size("samples") == 16).select(*SK, "frame", fix(weighted).alias("moment"))
 
 
-@query("w11_positive_flux", with_ctes("bins", body=f"""
-SELECT track_id, frame + 1 AS frame, {fx('sum(greatest(0, p - t))')} AS flux FROM bins GROUP BY 1, 2
-UNION ALL SELECT track_id, frame + 2, {fx('sum(greatest(0, o - p))')} FROM bins b WHERE frame = (SELECT max(frame) FROM bins c WHERE c.track_id = b.track_id) GROUP BY 1, 2"""))
+@query("w11_positive_flux", with_ctes("spectra", body=f"""
+WITH s AS (SELECT track_id, frame, samples, lag(samples) OVER (PARTITION BY track_id ORDER BY frame) AS before FROM spectra),
+u AS (SELECT track_id, frame, unnest(samples) AS a, unnest(before) AS b FROM s WHERE before IS NOT NULL)
+SELECT track_id, frame, {fx('sum(greatest(0, abs(a) - abs(b)))')} AS flux FROM u GROUP BY 1, 2"""))
 def w11(spark, sf):
     s = load(spark, sf, "spectra").withColumn("m", F.transform("samples", F.abs))
     out = sequence.positive_flux(s, ["track_id"], "frame", "m")
