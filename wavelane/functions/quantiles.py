@@ -1,8 +1,8 @@
 """Exact quantiles per group without gathering a group in one task.
 
-Equal values are counted first. Values then fall into monotone buckets (octave parts, refined
-by the linear position between the group's extremes); bucket counts locate each wanted rank,
-and only the buckets that hold a wanted rank are ranked row by row.
+Values fall into monotone buckets (octave parts, refined by the linear position between the
+group's extremes). A histogram of the buckets, combined map-side, locates each wanted rank; only
+the rows of buckets that hold one are shuffled, with equal values counted first, and ranked.
 """
 
 from __future__ import annotations
@@ -30,18 +30,11 @@ def exact_quantiles(
     ``linear`` interpolates at (n-1)p, ``nearest`` takes rank ceil(n p). Nulls are dropped;
     a group without values yields no row. Values must be finite.
     """
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    spread = counts.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n")
-    )
-    placed = null_safe_join(counts, spread, keys).withColumn(
-        "_b", value_bucket(F.col("_v"), F.col("_lo"), F.col("_hi"))
-    )
-    heads = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_m"), F.max("_n").alias("_n"))
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    spread = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    bucket = value_bucket(F.col("_v"), F.col("_lo"), F.col("_hi"))
+    placed = null_safe_join(rows, spread, keys).select(*keys, "_v", "_n", bucket.alias("_b"))
+    heads = placed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_m"), F.max("_n").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))
     wanted = []
@@ -66,7 +59,8 @@ def exact_quantiles(
         ),
     ).filter(F.size("_want") > 0)
     inside = Window.partitionBy(*keys, "_b").orderBy("_v")
-    ranked = null_safe_join(placed.drop("_n"), hits.select(*keys, "_b", "_before", "_n", "_want"), [*keys, "_b"])
+    near = null_safe_join(placed.drop("_n"), hits.select(*keys, "_b"), [*keys, "_b"]).groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = null_safe_join(near, hits.select(*keys, "_b", "_before", "_n", "_want"), [*keys, "_b"])
     ranked = ranked.withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
     found = ranked.withColumn("_w", F.explode("_want")).filter(
         (F.col("_w.r") < F.col("_upto")) & (F.col("_w.r") >= F.col("_upto") - F.col("_c"))
