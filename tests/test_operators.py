@@ -117,10 +117,32 @@ def test_manifest_rules_find_planted_duplicates(spark):
     cols = "row_id bigint, track_id string, corpus string, schema_version int, recipe_hash string, split string, sample_rate int, channel_role string, held_out boolean, start_sample bigint, length_samples bigint, residual_alignment_samples int, measured_cutoff_hz double, clean_path string"
     ok = (1, "a:t", "a", 2, "r", "train", 48000, "mono", False, 0, 10, 0, 9000.0, "x/y")
     rows = [ok, ok, (2, *ok[1:13], "x/../y"), (3, *ok[1:12], float("nan"), "x")]
-    out = rules.validate_manifest(spark.createDataFrame(rows, cols), "r", ["a"]).select("row_id", F.array_join("violations", ",").alias("v")).collect()
+    names = [c.split()[0] for c in cols.split(", ")]
+    out = rules.validate_manifest(spark.createDataFrame(rows, cols), "r", ["a"], required=names).select("row_id", F.array_join("violations", ",").alias("v")).collect()
     assert sorted((r["row_id"], r["v"]) for r in out) == [(1, "duplicate_row_id"), (1, "duplicate_row_id"), (2, "unsafe_path"), (3, "cutoff")]
 
 
+def test_manifest_needs_rows_and_all_fields(spark):
+    cols = [c for c in rules.REQUIRED_FIELDS if c not in ("sample_rate", "start_sample", "length_samples", "residual_alignment_samples", "measured_cutoff_hz", "schema_version", "held_out", "codec_mode")]
+    schema = ", ".join(f"{c} string" for c in cols) + ", sample_rate int, start_sample bigint, length_samples bigint, residual_alignment_samples int, measured_cutoff_hz double, schema_version int, held_out boolean"
+    row = {c: "x/y" for c in cols} | {"track_id": "a:t", "corpus": "a", "recipe_hash": "r", "split": "train", "channel_role": "mono", "sample_rate": 48000, "start_sample": 0, "length_samples": 5, "residual_alignment_samples": 0, "measured_cutoff_hz": 900.0, "schema_version": 2, "held_out": False}
+    rows = [row | {"row_id": "1"}, row | {"row_id": "2", "encoder": None, "degraded_path": None}, row | {"row_id": "3", "degraded_path": "/abs"}]
+    df = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
+    out = {r.row_id: (r.missing_fields, r.violations) for r in rules.validate_manifest(rules.require_rows(df), "r", ["a"]).collect()}
+    assert out["1"] == (["codec_mode"], ["missing_field"])  # no such column
+    assert out["2"] == (["encoder", "codec_mode", "degraded_path"], ["missing_field", "unsafe_path"])
+    assert out["3"][1] == ["missing_field", "unsafe_path"]
+    with pytest.raises(ValueError, match="at least one row"):
+        rules.require_rows(df.limit(0))
+
+
+def test_receipts_bind_reviews(spark):
+    evidence = spark.createDataFrame([(1, "https://a/b", "p1", "h1"), (2, "http://a/b", "p2", "h2"), (2, "https://a", "p9", "h9"), (3, "https://a", "p3", "other")], "id bigint, url string, path string, sha256 string")
+    kept = spark.createDataFrame([("p1", "h1"), ("p2", "h2"), ("p3", "h3")], "path string, sha256 string")
+    got = {r.id: sorted(r.receipt_errors) for r in rules.receipt_errors(evidence, kept).collect()}
+    assert got == {1: [], 2: ["missing_or_changed_primary_evidence", "missing_primary_evidence_url"], 3: ["missing_or_changed_primary_evidence"]}
+
+
 def test_results_do_not_depend_on_partitioning(spark):
     rows = [(i, f"c{i % 3}", f"t{i % 17}", ((i * 37) % 101) / 7.0) for i in range(400)]
     df = spark.createDataFrame(rows, "row_id bigint, corpus string, track_id string, v double")

@@ -199,18 +199,24 @@ def coverage_audit(reviewed: DataFrame, position: str = "id") -> DataFrame:
     """Approval per entry: ``status`` approved/held and ``reasons``.
 
     Needs ``errors, work, genre, genre_basis``. Only approved rows claim a work; later rows of a
-    claimed work are duplicates, which precedes the genre reasons.
+    claimed work are duplicates, which precedes the genre reasons. ``content_kind`` (NULL: music)
+    and ``reviewed_genre`` (as the review gives it, NULL: not given) are looked at where they are columns.
     """
+    known = lambda c: F.col(c) if c in reviewed.columns else F.lit(None).cast("string")
+    other_kind = F.coalesce(known("content_kind"), F.lit("music")) != "music"
+    bad_genre = F.coalesce(F.trim(known("reviewed_genre")) == "", F.lit(False))
     labelled = ~F.col("genre").isin("unlabeled", "unknown")
     no_basis = labelled & (F.coalesce(F.col("genre_basis"), F.lit("")) == "")
     work_ok = F.trim(F.coalesce(F.col("work"), F.lit(""))) != ""
-    passes = (F.size("errors") == 0) & work_ok & ~no_basis
+    passes = (F.size("errors") == 0) & ~other_kind & work_ok & ~bad_genre & ~no_basis
     first = reviewed.filter(passes).groupBy("work").agg(F.min(position).alias("_first"))
     joined = reviewed.join(first, "work", "left")
     reasons = (
         F.when(F.size("errors") > 0, F.col("errors"))
+        .when(other_kind, F.array(F.lit("not_a_music_recording")))
         .when(~work_ok, F.array(F.lit("missing_reviewed_work_group")))
         .when(F.col(position) > F.col("_first"), F.array(F.lit("duplicate_reviewed_work")))
+        .when(bad_genre, F.array(F.lit("invalid_reviewed_genre")))
         .when(no_basis, F.array(F.lit("unreviewed_genre")))
         .otherwise(F.array().cast("array<string>"))
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,14 @@ GENRE_ALIASES = {
     "classical music": "classical",
 }
 REGION_BASES = ("publisher-repertoire", "artist-repertoire", "recorded-market")
+# Fields that every manifest row must have.
+REQUIRED_FIELDS = (
+    "row_id", "schema_version", "recipe_hash", "corpus", "corpus_version", "track_id", "split", "source_id", "source_path", "source_checksum", "sample_rate", "source_channels",
+    "channel_role", "codec_id", "codec", "encoder", "codec_mode", "codec_setting", "codec_weight", "held_out", "clean_path", "degraded_path", "start_sample", "length_samples",
+    "alignment_offset_samples", "residual_alignment_samples", "measured_cutoff_hz", "clean_checksum", "degraded_checksum",
+)
+# Text fields of an accepted review that must not be blank.
+REVIEW_BASES = ("composition_basis", "recording_basis", "performers_and_samples_basis", "grant_basis", "credit_text", "reviewed_at", "artist_id")
 LICENCE_HOSTS = ("creativecommons.org", "www.creativecommons.org")
 LICENCE_PATHS = ("/licenses/by/3.0", "/licenses/by/4.0", "/publicdomain/zero/1.0")
 
@@ -68,12 +77,19 @@ def validate_manifest(
     schema_version: int = 2,
     rates: Sequence[int] = RATES,
     tolerance: int = 1,
+    required: Sequence[str] = REQUIRED_FIELDS,
 ) -> DataFrame:
-    """Adds ``violations`` to every manifest row (empty array = valid)."""
+    """Adds ``violations`` to every manifest row (empty array = valid) and ``missing_fields``, the required ones it lacks.
+
+    A required field that is no column is missing in every row. ``require_rows`` refuses an empty manifest.
+    """
+    lacking = [F.when(F.col(f).isNull() if f in df.columns else F.lit(True), F.lit(f)) for f in required]
+    paths = [p for p in ("clean_path", "degraded_path") if p in df.columns]
+    unsafe = reduce(lambda a, b: a | b, [F.col(p).startswith("/") | F.array_contains(F.split(p, "/"), "..") for p in paths])
     rate = F.col("sample_rate")
     cutoff = F.col("measured_cutoff_hz")
     rules = [
-        ("missing_field", F.col("row_id").isNull() | F.col("track_id").isNull() | F.col("split").isNull()),
+        ("missing_field", F.size("missing_fields") > 0),
         ("duplicate_row_id", F.col("_dup")),
         ("invalid_split", ~F.col("split").isin(*SPLITS)),
         ("schema_version", F.col("schema_version") != schema_version),
@@ -85,9 +101,17 @@ def validate_manifest(
         ("channel_role", ~F.col("channel_role").isin(*ROLES)),
         ("residual_alignment", F.abs("residual_alignment_samples") > tolerance),
         ("cutoff", ~finite(cutoff) | (cutoff < 0) | (cutoff > rate / 2)),
-        ("unsafe_path", F.col("clean_path").startswith("/") | F.array_contains(F.split("clean_path", "/"), "..")),
+        ("unsafe_path", unsafe),
     ]
-    return with_duplicates(df, "row_id", "_dup").withColumn("violations", violations(rules)).drop("_dup")
+    told = df.withColumn("missing_fields", F.array_compact(F.array(*lacking)).cast("array<string>"))
+    return with_duplicates(told, "row_id", "_dup").withColumn("violations", violations(rules)).drop("_dup")
+
+
+def require_rows(df: DataFrame) -> DataFrame:
+    """The rows; a table without any is refused at once."""
+    if df.isEmpty():
+        raise ValueError("manifest must contain at least one row")
+    return df
 
 
 def check_codec_metadata(df: DataFrame, recipe: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -104,11 +128,27 @@ def check_codec_metadata(df: DataFrame, recipe: DataFrame, fields: Sequence[str]
     return df.join(wanted, "codec_id", "left").withColumn("codec_status", status).drop("_known", *[f"_w_{f}" for f in fields])
 
 
-def review_errors(catalog: DataFrame, scope: str, bases: Sequence[str]) -> DataFrame:
+def receipt_errors(evidence: DataFrame, receipts: DataFrame, key: str = "id") -> DataFrame:
+    """``key, receipt_errors``: what is wrong with the receipts (``url, path, sha256``) of each review.
+
+    ``receipts`` lists the retained files (``path, sha256``). A link must be https, and its file must
+    be there with the digest that the review bound.
+    """
+    found = evidence.join(receipts.select("path", F.col("sha256").alias("_kept")), "path", "left")
+    wrong = first_reason([
+        ("missing_primary_evidence_url", F.parse_url("url", F.lit("PROTOCOL")) != "https"),
+        ("missing_or_changed_primary_evidence", F.col("_kept") != F.col("sha256")),
+    ])
+    return found.groupBy(key).agg(F.collect_set(wrong).alias("receipt_errors"))
+
+
+def review_errors(catalog: DataFrame, scope: str, bases: Sequence[str] = REVIEW_BASES, receipts: str | None = None, credited: str | None = None) -> DataFrame:
     """All reasons a review cannot be accepted, sorted and distinct, in ``errors``.
 
     A missing, pending or foreign-scope review has that single reason. ``bases`` are the text
-    fields that must not be blank.
+    fields that must not be blank. ``receipts`` names the column with the errors of the review's
+    receipts (``receipt_errors``), NULL where it has none; without it, one ``evidence_url`` is
+    checked. ``credited`` names a column that may be NULL, but not blank.
     """
     pending = ~F.coalesce((F.col("status") == "accepted") & (F.col("scope") == scope), F.lit(False))
     rules = [
@@ -116,12 +156,16 @@ def review_errors(catalog: DataFrame, scope: str, bases: Sequence[str]) -> DataF
         ("unresolved_commercial_training", ~F.col("commercial_training")),
         ("unresolved_apache_weight_distribution", ~F.col("weight_distribution")),
         ("unresolved_source_rights", F.col("unresolved_issues") != 0),
-        ("missing_primary_evidence_url", F.parse_url("evidence_url", F.lit("PROTOCOL")) != "https"),
         *[(f"missing_{b}", F.trim(F.coalesce(F.col(b), F.lit(""))) == "") for b in bases],
     ]
-    errors = F.when(pending, F.array(F.lit("source_review_pending_or_incompatible"))).otherwise(
-        F.array_sort(F.array_distinct(violations(rules)))
-    )
+    if receipts is None:
+        rules.append(("missing_primary_evidence_url", F.parse_url("evidence_url", F.lit("PROTOCOL")) != "https"))
+    if credited is not None:
+        rules.append(("invalid_credited_author", F.coalesce(F.trim(credited) == "", F.lit(False))))
+    found = violations(rules)
+    if receipts is not None:
+        found = F.concat(found, F.coalesce(F.col(receipts), F.array(F.lit("missing_primary_evidence"))))
+    errors = F.when(pending, F.array(F.lit("source_review_pending_or_incompatible"))).otherwise(F.array_sort(F.array_distinct(found)))
     return catalog.withColumn("errors", errors)
 
 

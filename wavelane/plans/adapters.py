@@ -91,6 +91,38 @@ SELECT m.row_id, corpus || ':' || CASE WHEN m.row_id % 97 = 0 THEN 'x' ELSE '' E
 FROM metric_rows m
 """
 
+# The manifest with all required fields, some planted as missing (values replaced, columns added).
+MANIFEST_GAPS = {
+    "length_samples": "CASE WHEN row_id % 179 <> 0 THEN length_samples END", "codec": "CASE WHEN row_id % 181 <> 0 THEN codec END",
+    "alignment_offset_samples": "CASE WHEN row_id % 191 <> 0 THEN alignment_offset_samples END",
+}
+MANIFEST_MORE = {
+    "corpus_version": "CASE WHEN row_id % 131 <> 0 THEN 'v' || CAST(row_id % 3 AS VARCHAR(20)) END", "source_id": "CASE WHEN row_id % 137 <> 0 THEN 'source-' || track_id END",
+    "source_path": "CASE WHEN row_id % 139 <> 0 THEN 'music/' || track_id END", "source_channels": "CASE WHEN row_id % 149 <> 0 THEN 1 + row_id % 2 END",
+    "codec_mode": "CASE WHEN row_id % 151 <> 0 THEN CASE WHEN codec_id = 'A' THEN 'cbr' ELSE 'vbr' END END", "codec_weight": "CASE WHEN row_id % 157 <> 0 THEN 1e0 END",
+    "degraded_path": "CASE WHEN row_id % 163 <> 0 THEN CASE WHEN row_id % 67 = 0 THEN '../' ELSE 'coded/' END || CAST(row_id AS VARCHAR(20)) END",
+    "clean_checksum": "CASE WHEN row_id % 167 <> 0 THEN 'c' || CAST(row_id AS VARCHAR(20)) END", "degraded_checksum": "CASE WHEN row_id % 173 <> 0 THEN 'd' || CAST(row_id AS VARCHAR(20)) END",
+}
+SQL["full_manifest"] = f"""
+SELECT * REPLACE ({', '.join(f"{e} AS {n}" for n, e in MANIFEST_GAPS.items())}), {', '.join(f"{e} AS {n}" for n, e in MANIFEST_MORE.items())} FROM manifest
+"""
+
+# What a full review has beside the fields of ``reviews``: text bases, credit, kind and genre.
+REVIEW_MORE = {
+    "composition_basis": "CASE WHEN id % 47 <> 0 THEN 'score' END", "recording_basis": "CASE WHEN id % 53 = 0 THEN '  ' ELSE 'session' END",
+    "performers_and_samples_basis": "CASE WHEN id % 59 <> 0 THEN 'named' END", "credit_text": "CASE WHEN id % 61 = 0 THEN '' ELSE 'credit' END", "reviewed_at": "CASE WHEN id % 67 <> 0 THEN '2024-05-06' END",
+    "credited_author": "CASE WHEN id % 71 = 0 THEN ' ' WHEN id % 2 = 0 THEN 'someone' END", "content_kind": "CASE WHEN id % 73 = 0 THEN 'speech' WHEN id % 3 = 0 THEN 'music' END",
+    "reviewed_genre": "CASE WHEN id % 79 = 0 THEN ' ' WHEN id % 7 = 3 THEN ' Hip Hop ' END",
+}
+SQL["full_reviews"] = f"""
+SELECT *, {', '.join(f"{e} AS {n}" for n, e in REVIEW_MORE.items())} FROM reviews
+"""
+# Two receipts of most reviews, one of some, none of a few; and the files that were kept.
+EVIDENCE = "SELECT id, 'https' || CASE WHEN (id + k) % 43 = 0 THEN '' ELSE '://' END || 'example.org/' AS url, 'receipts/' || CAST(id * 2 + k AS VARCHAR(20)) AS path, 'h' || CAST(id * 2 + k AS VARCHAR(20)) AS sha256 FROM pairs_of WHERE id % 31 <> 5 AND (k = 0 OR id % 3 <> 0)"
+SQL["evidence"] = EVIDENCE.replace("pairs_of", "(SELECT id, unnest([0, 1]) AS k FROM reviews)")
+RECEIPTS = "SELECT 'receipts/' || CAST(id * 2 + k AS VARCHAR(20)) AS path, CASE WHEN (id * 2 + k) % 37 = 0 THEN 'changed' ELSE 'h' || CAST(id * 2 + k AS VARCHAR(20)) END AS sha256 FROM pairs_of WHERE (id * 2 + k) % 41 <> 0"
+SQL["receipts"] = RECEIPTS.replace("pairs_of", "(SELECT id, unnest([0, 1]) AS k FROM reviews)")
+
 SQL["crops"] = """
 SELECT event_id AS spec_id, user_id AS source_id, user_id * 2 + event_id % 2 AS row_id,
        CASE WHEN event_id % 2 = 0 THEN 44100 ELSE 48000 END AS sample_rate,
@@ -196,6 +228,13 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     if name == "pairs":
         # Both arms are functions of one row: no join.
         return load(spark, sf, "metric_rows").withColumn("control", F.expr("cents * pct * (20 + row_id % 7 - 3) / 2e8"))
+    if name == "full_manifest":
+        return load(spark, sf, "manifest").withColumns({n: F.expr(e) for n, e in {**MANIFEST_MORE, **MANIFEST_GAPS}.items()})
+    if name == "full_reviews":
+        return load(spark, sf, "reviews").withColumns({n: F.expr(e) for n, e in REVIEW_MORE.items()})
+    if name in ("evidence", "receipts"):
+        both = load(spark, sf, "reviews").select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+        return spark.sql((EVIDENCE if name == "evidence" else RECEIPTS).replace("pairs_of", "{both}"), both=both)
     return _same_text(spark, sf, name)
 
 

@@ -169,6 +169,20 @@ def a12(spark, sf):
     return audited(spark, sf).select("id", "status", F.array_join("reasons", ",").alias("reasons"))
 
 
+@query("a12_full_audit", with_ctes("catalog", "full_reviews", "evidence", "receipts", body=f"""
+WITH reviewed AS ({validation.FULL_REVIEW_SQL}), g AS (SELECT * EXCLUDE (genre), {GENRE_SQL.replace('(genre)', '(coalesce(reviewed_genre, genre))')} AS genre,
+  coalesce(content_kind, 'music') <> 'music' AS other_kind, coalesce(trim(reviewed_genre) = '', false) AS bad_genre FROM reviewed),
+f AS (SELECT *, genre NOT IN ('unlabeled', 'unknown') AND coalesce(genre_basis, '') = '' AS no_basis FROM g),
+w AS (SELECT work, min(id) AS first_ok FROM f WHERE len(errors) = 0 AND NOT other_kind AND NOT bad_genre AND NOT no_basis GROUP BY 1),
+audit AS (SELECT f.*, CASE WHEN len(errors) > 0 THEN array_to_string(errors, ',') WHEN other_kind THEN 'not_a_music_recording' WHEN id > first_ok THEN 'duplicate_reviewed_work'
+  WHEN bad_genre THEN 'invalid_reviewed_genre' WHEN no_basis THEN 'unreviewed_genre' ELSE '' END AS reasons FROM f LEFT JOIN w USING (work))
+SELECT id, CASE WHEN reasons = '' THEN 'approved' ELSE 'held' END AS status, reasons FROM audit"""))
+def a12_full(spark, sf):
+    """Full reviews: receipts, all text fields, content kind and reviewed genre."""
+    rows = validation.fully_reviewed(spark, sf).withColumn("genre", rules.genre_normalise(F.coalesce("reviewed_genre", "genre")))
+    return agg.coverage_audit(rows).select("id", "status", F.array_join("reasons", ",").alias("reasons"))
+
+
 TARGETS = [("music", "distinct-recordings", 100000), ("artists", "distinct-creators", 2), ("regions", "en", 5), ("regions", "de", 1),
            ("regional-artists", "fr", 100000), ("regional-genres", "en", 50), ("genres", "pop", 3), ("genre-artists", "rnb", 100000),
            ("regional-vocal-music", "en", 100000), ("regional-vocal-music", "fr", 1)]

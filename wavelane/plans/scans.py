@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelane.functions.numeric import fix
@@ -97,21 +100,25 @@ def s06(spark, sf):
 
 @query("s07_scan_history", with_ctes("manifest", body="SELECT corpus, count(*) AS rows FROM manifest WHERE corpus <> 'AFRICA' GROUP BY 1"))
 def s07(spark, sf):
+    """Manifests below a root, in folders and file names that count and in those that don't."""
     root = scratch(spark)
     m = load(spark, sf, "manifest").select("row_id", "track_id", "corpus")
     m.filter(F.col("corpus") != "AFRICA").write.json(f"{root}/catalogs")
     m.filter(F.col("corpus") == "AFRICA").write.json(f"{root}/source_snapshot/catalogs")
-    rows = spark.read.schema("row_id bigint, track_id string, corpus string").option("recursiveFileLookup", "true").json(root)
-    history = rows.select("*", F.col("_metadata.file_path").alias("file"))
-    return manifests.keep_history(history).groupBy("corpus").agg(F.count(F.lit(1)).alias("rows"))
+    return manifests.scan_history(spark, root, "row_id bigint, track_id string, corpus string").groupBy("corpus").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("s08_publish_dataset", with_ctes("manifest", body="""
-SELECT split, count(*) AS rows, count(DISTINCT track_id) AS tracks FROM manifest WHERE corpus = 'ASIA' GROUP BY 1"""))
+SELECT corpus, split, count(*) AS rows, count(DISTINCT track_id) AS tracks FROM manifest GROUP BY 1, 2"""))
 def s08(spark, sf):
-    rows = load(spark, sf, "manifest").filter(F.col("corpus") == "ASIA").select("row_id", "track_id", "corpus", "split", "length_samples")
-    target = manifests.publish_dataset(rows, scratch(spark), "ASIA", {"seed": 7, "codecs": ["aac", "mp3"]}, lambda d: d.filter(F.col("length_samples") <= 0))
-    return spark.read.parquet(f"{target}/rows").groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("track_id").alias("tracks"))
+    """Every corpus becomes a published version of its own; the versions are read back."""
+    rows = load(spark, sf, "manifest").select("row_id", "track_id", "corpus", "split", "length_samples")
+    root, versions = scratch(spark), []
+    for corpus in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"):  # the five corpora of the tables
+        mine = rows.filter(F.col("corpus") == corpus)
+        versions.append(manifests.publish_dataset(mine, root, corpus, {"seed": 7, "codecs": ["aac", "mp3"]}, lambda d: d.filter(F.col("length_samples") <= 0)))
+    read = [spark.read.parquet(f"{v}/rows").select("corpus", "split", "track_id") for v in versions]
+    return reduce(DataFrame.unionByName, read).groupBy("corpus", "split").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("track_id").alias("tracks"))
 
 
 @query("s09_write_report", with_ctes("metric_rows", body=f"SELECT corpus, count(*) AS rows, {fx('avg(delta)')} AS delta FROM metric_rows GROUP BY 1"))

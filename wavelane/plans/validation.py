@@ -40,10 +40,24 @@ WITH d AS (SELECT *, count(*) OVER (PARTITION BY row_id) AS copies FROM manifest
 c AS (SELECT row_id, {V01_SQL} AS violations FROM d)
 SELECT row_id, violations FROM c WHERE violations <> ''"""))
 def v01(spark, sf):
-    out = rules.held(rules.validate_manifest(load(spark, sf, "manifest"), "recipe-1", CORPORA))
+    out = rules.held(rules.validate_manifest(load(spark, sf, "manifest"), "recipe-1", CORPORA, required=("row_id", "track_id", "split")))
     return out.select("row_id", F.array_join("violations", ",").alias("violations"))
 
 
+FULL_V01 = V01_SQL.replace("row_id IS NULL OR track_id IS NULL OR split IS NULL", "missing_fields <> ''").replace("clean_path LIKE '%..%'", "clean_path LIKE '%..%' OR starts_with(degraded_path, '/') OR degraded_path LIKE '%..%'")
+LACKING = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in rules.REQUIRED_FIELDS) + "], lambda z: z IS NOT NULL), ',')"
+
+
+@query("v01_required_fields", with_ctes("full_manifest", body=f"""
+WITH d AS (SELECT *, count(*) OVER (PARTITION BY row_id) AS copies, {LACKING} AS missing_fields FROM full_manifest),
+c AS (SELECT row_id, missing_fields, {FULL_V01} AS violations FROM d)
+SELECT row_id, violations, missing_fields FROM c WHERE violations <> ''"""))
+def v01_full(spark, sf):
+    """All required fields, both paths and an empty manifest."""
+    out = rules.held(rules.validate_manifest(rules.require_rows(load(spark, sf, "full_manifest")), "recipe-1", CORPORA))
+    return out.select("row_id", F.array_join("violations", ",").alias("violations"), F.array_join("missing_fields", ",").alias("missing_fields"))
+
+
 @query("v02_check_codec_metadata", with_ctes("manifest", body="""
 WITH r(codec_id, w_codec, w_encoder, w_setting) AS (VALUES ('A','aac','reference',128.0::DOUBLE), ('R','opus','reference',64.0::DOUBLE))
 SELECT m.codec_id, CASE WHEN r.codec_id IS NULL THEN 'absent'
@@ -92,6 +106,33 @@ def v06(spark, sf):
     return reviewed(spark, sf).select("id", F.array_join("errors", ",").alias("errors"))
 
 
+FULL_REVIEW_SQL = """
+SELECT c.*, r.* EXCLUDE (id), CASE WHEN coalesce(status = 'accepted' AND scope = 'music-training', false) THEN
+  list_sort(list_distinct(list_concat(list_filter([
+   CASE WHEN coalesce(audio_sha256 <> pcm, true) THEN 'source_review_audio_binding_mismatch' END,
+   CASE WHEN NOT coalesce(commercial_training, false) THEN 'unresolved_commercial_training' END,
+   CASE WHEN NOT coalesce(weight_distribution, false) THEN 'unresolved_apache_weight_distribution' END,
+   CASE WHEN coalesce(unresolved_issues <> 0, true) THEN 'unresolved_source_rights' END,
+   CASE WHEN trim(credited_author) = '' THEN 'invalid_credited_author' END, """ + ", ".join(f"CASE WHEN trim(coalesce({b}, '')) = '' THEN 'missing_{b}' END" for b in rules.REVIEW_BASES) + """],
+  lambda z: z IS NOT NULL), coalesce(x.receipt_errors, ['missing_primary_evidence']))))
+  ELSE ['source_review_pending_or_incompatible'] END AS errors
+FROM catalog c LEFT JOIN full_reviews r USING (id) LEFT JOIN (SELECT e.id, list_filter(list_distinct(list(CASE WHEN NOT starts_with(e.url, 'https://') THEN 'missing_primary_evidence_url'
+ WHEN k.sha256 IS DISTINCT FROM e.sha256 THEN 'missing_or_changed_primary_evidence' END)), lambda z: z IS NOT NULL) AS receipt_errors FROM evidence e LEFT JOIN receipts k USING (path) GROUP BY 1) x USING (id)"""
+
+
+def fully_reviewed(spark, sf):
+    """The catalog with full reviews and the errors of their receipts."""
+    receipts = rules.receipt_errors(load(spark, sf, "evidence"), load(spark, sf, "receipts"))
+    joined = load(spark, sf, "catalog").join(load(spark, sf, "full_reviews"), "id", "left").join(receipts, "id", "left")
+    return rules.review_errors(joined, "music-training", receipts="receipt_errors", credited="credited_author")
+
+
+@query("v06_full_review", with_ctes("catalog", "full_reviews", "evidence", "receipts", body=f"""
+WITH reviewed AS ({FULL_REVIEW_SQL}) SELECT id, array_to_string(errors, ',') AS errors FROM reviewed"""))
+def v06_full(spark, sf):
+    return fully_reviewed(spark, sf).select("id", F.array_join("errors", ",").alias("errors"))
+
+
 @query("v07_finite_guard", with_ctes("metric_rows", body="""
 WITH x AS (SELECT CASE WHEN pct <> 0 THEN delta / pct ELSE 'inf'::DOUBLE END AS per_pct, baseline FROM metric_rows)
 SELECT 'baseline' AS metric, count(*) FILTER (isnan(baseline) OR isinf(baseline)) AS nonfinite FROM x

@@ -28,7 +28,7 @@ def read_manifest(spark: SparkSession, path: str, schema: str) -> tuple[DataFram
 def scan_history(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """Rows of all historical manifests and catalogs, leaving out source-code snapshots."""
     rows = (
-        spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").json(root)
+        spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jsonl,json}").json(root)
         .select("*", F.col("_metadata.file_path").alias("file"))
     )
     return keep_history(rows)
@@ -160,7 +160,9 @@ def publish_dataset(df: DataFrame, root: str, corpus: str, recipe: dict, validat
     staging = f"{root}/.staging-{corpus}-{digest[:8]}-{uuid.uuid4().hex}"
     try:
         df.write.mode("errorifexists").partitionBy(partition).parquet(f"{staging}/rows")
-        written = spark.read.parquet(f"{staging}/rows")
+        written = spark.read.schema(df.schema).parquet(f"{staging}/rows")
+        if written.isEmpty():
+            raise ValueError("manifest must contain at least one row")
         if not written.filter(F.col("corpus") != corpus).isEmpty():
             raise ValueError("row outside the published corpus")
         if not validate(written).isEmpty():
