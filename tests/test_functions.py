@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from wavelane.functions import bootstrap, hashing, ordinals, quantiles
+from wavelane.functions import bootstrap, hashing, ordinals, quantiles, scans
 from wavelane.operators import intervals
 
 
@@ -110,3 +110,27 @@ def test_allowed_starts_cross_rate_and_touching(spark):
         t = 160 if rate == 44100 else 147
         want = {s for s in range(0, size - length + 1) if all((origin + s + length) * t <= lo or (origin + s) * t >= hi for q, lo, hi in protected if q == src)}
         assert got.get(row_id, set()) == want
+
+
+def test_affine_maps_compose_like_a_loop():
+    """Groups that end inside batches, cross several, and have null ids."""
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    ids = np.repeat([1.0, 2.0, np.nan, 3.0, 4.0], [40, 1, 33, 150, 7])
+    a, b = rng.uniform(0, 1, len(ids)), rng.normal(size=len(ids))
+    a[rng.random(len(ids)) < 0.1] = 0.0
+    rows = pd.DataFrame({"k": ids, "a": a, "b": b})
+    for emit in ("after", "before"):
+        want, last, x, y = [], None, 1.0, 0.0
+        for k, p, q in zip(ids, a, b):
+            k = None if np.isnan(k) else k
+            if k != last or not want:
+                last, x, y = k, 1.0, 0.0
+            before = (x, y)
+            x, y = p * x, p * y + q
+            want.append((x, y) if emit == "after" else before)
+        for size in (1, 7, 64, 500):
+            parts = [rows.iloc[i : i + size].copy() for i in range(0, len(rows), size)]
+            got = pd.concat(scans._running(iter(parts), ["k"], "a", "b", emit))
+            assert np.allclose(got[["a", "b"]].to_numpy(), np.array(want), rtol=1e-9, atol=1e-12), (emit, size)
