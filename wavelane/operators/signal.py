@@ -145,10 +145,10 @@ def stereo_image(df: DataFrame, keys: list[str], left: str, right: str) -> DataF
 
 
 def excerpts(df: DataFrame, keys: list[str], ordinal: str, columns: Sequence[str], length: int) -> DataFrame:
-    """``keys, excerpt, valid`` and one array of exactly ``length`` samples per column.
+    """``keys, excerpt, valid, extent`` and one array of exactly ``length`` samples per column.
 
     Every sample is in one excerpt. Where a recording ends inside an excerpt, or misses samples, the
-    places are zero; ``valid`` counts the samples that are there.
+    places are zero; ``valid`` counts the samples that are there, ``extent`` the places up to the last one.
     """
     at = F.col(ordinal) - F.floor(F.col(ordinal) / length) * length
     g = df.groupBy(*keys, F.floor(F.col(ordinal) / length).alias("excerpt")).agg(F.array_sort(F.collect_list(F.struct(at.cast("int").alias("_at"), *columns))).alias("_s"))
@@ -160,15 +160,19 @@ def excerpts(df: DataFrame, keys: list[str], ordinal: str, columns: Sequence[str
         dense = F.element_at("_s", -1)["_at"] == F.size("_s") - 1
         return F.when(dense, packed).otherwise(F.transform(places, lambda i: F.coalesce(F.try_element_at(known, i), F.lit(0.0)))).alias(name)
 
-    return g.select(*keys, "excerpt", F.size("_s").alias("valid"), *[whole(c) for c in columns])
+    return g.select(*keys, "excerpt", F.size("_s").alias("valid"), (F.element_at("_s", -1)["_at"] + 1).alias("extent"), *[whole(c) for c in columns])
 
 
 def excerpt_frames(df: DataFrame, keys: list[str], waves: dict[str, str], n: int, hop: int) -> DataFrame:
-    """Frames of every excerpt: ``keys, excerpt, frame`` and, for each wave, ``<name>`` (magnitude) and ``<name>_phase``."""
-    others = [c for c in df.columns if c not in waves.values()]
-    taken = df.select(*others, *[F.col(column).alias(f"_in_{name}") for name, column in waves.items()])
-    count = F.floor((F.size(f"_in_{next(iter(waves))}") - n) / hop).cast("int")
-    spread = taken.withColumn("frame", F.explode(F.sequence(F.lit(0), count)))
+    """Frames of every excerpt: ``keys, excerpt, frame`` and, for each wave, ``<name>`` (magnitude) and ``<name>_phase``.
+
+    Frames that begin at or beyond ``extent`` hold no sample and are left out.
+    """
+    others = [c for c in df.columns if c not in (*waves.values(), "extent")]
+    taken = df.select(*others, "extent", *[F.col(column).alias(f"_in_{name}") for name, column in waves.items()])
+    fit = F.floor((F.size(f"_in_{next(iter(waves))}") - n) / hop).cast("int")
+    count = F.least(fit, F.floor((F.col("extent") - 1) / hop).cast("int"))
+    spread = taken.withColumn("frame", F.explode(F.sequence(F.lit(0), count))).drop("extent")
     for name in waves:
         cut = spread.withColumn("_w", F.slice(f"_in_{name}", F.col("frame") * hop + 1, F.lit(n)))
         z = stft(cut, "_w").withColumn(name, F.transform("log_magnitude", lambda d: F.pow(F.lit(10.0), d / 20)))
@@ -188,7 +192,7 @@ def multires_score(df: DataFrame, keys: list[str], predicted: str, target: str,
         bins = n // 2 + 1
         unit = 1.0 / (n * float(np.sum(hann(n) ** 2)))
         power = F.array(*[F.lit(unit * (1 if k in (0, bins - 1) else 2)) for k in range(bins)])
-        frames = excerpt_frames(df.select(*own, predicted, target), own, {"p": predicted, "t": target}, n, n // 4)
+        frames = excerpt_frames(df.select(*own, "extent", predicted, target), own, {"p": predicted, "t": target}, n, n // 4)
         for name in ("p", "t"):
             frames = frames.withColumn(name, F.zip_with(name, power, lambda m, u: m * F.sqrt(u)))
         frames = frames.drop("p_phase", "t_phase")
@@ -227,7 +231,7 @@ def multires_reconstruction(df: DataFrame, keys: list[str], predicted: str, targ
     terms = None
     for n in sizes:
         bins = n // 2 + 1
-        frames = excerpt_frames(df.select(*own, predicted, target, degraded, F.col(cutoff).alias("cut")), own, {"p": predicted, "t": target, "d": degraded}, n, n // 4)
+        frames = excerpt_frames(df.select(*own, "extent", predicted, target, degraded, F.col(cutoff).alias("cut")), own, {"p": predicted, "t": target, "d": degraded}, n, n // 4)
         frames = sp.with_previous(frames.withColumn("w", sp.crossover_weights(F.col("cut"), bins, rate / n, width)), own, ["p", "t"])
         high = lambda v: sp.total(sp.weighted(v, F.col("w")))
         kept = F.transform("w", lambda v: 1 - v)
@@ -250,7 +254,7 @@ def multires_reconstruction(df: DataFrame, keys: list[str], predicted: str, targ
 
 
 def longform_score(df: DataFrame, keys: list[str], channels: Sequence[tuple[str, str]], rate: int, length: int) -> DataFrame:
-    """Per excerpt and band: reference and error RMS (rectangular Parseval, mean over channels)."""
+    """Per excerpt and band: reference and error RMS over its ``valid`` samples (rectangular Parseval, mean over channels)."""
     def parseval(column: Column) -> Column:
         @F.pandas_udf("array<double>")
         def power(series: pd.Series) -> pd.Series:
@@ -269,10 +273,10 @@ def longform_score(df: DataFrame, keys: list[str], channels: Sequence[tuple[str,
         made = made.withColumn(f"_e{i}", F.zip_with(out, ref, lambda a, b: a - b))
         made = made.withColumn(f"_pr{i}", parseval(F.col(ref))).withColumn(f"_pe{i}", parseval(F.col(f"_e{i}")))
         names[f"r{i}"], names[f"e{i}"] = F.col(f"_pr{i}"), F.col(f"_pe{i}")
-    bands = sp.band_sums(made, [*keys, "excerpt"], names, sp.band_bins(rate / length, length // 2 + 1))
+    bands = sp.band_sums(made, [*keys, "excerpt", "valid"], names, sp.band_bins(rate / length, length // 2 + 1))
     k = len(channels)
     def mean(prefix):
-        return sum(F.sqrt(f"{prefix}{i}") for i in range(k)) / k
+        return sum(F.sqrt(F.col(f"{prefix}{i}") * length / F.col("valid")) for i in range(k)) / k
     return bands.select(*keys, "excerpt", "band", mean("r").alias("reference_rms"), mean("e").alias("error_rms"))
 
 

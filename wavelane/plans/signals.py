@@ -128,10 +128,10 @@ def frames_sql(n: int, waves: dict[str, str]) -> str:
     sums = ", ".join(f"sum({v} * {win} * cos({angle})) AS {name}r, sum({v} * {win} * sin({angle})) AS {name}i" for name, v in waves.items())
     made = ", ".join(f"greatest(sqrt(coalesce({name}r, 0) * coalesce({name}r, 0) + coalesce({name}i, 0) * coalesce({name}i, 0)), 1e-10) AS {name}, coalesce({name}r, 0) AS {name}r, coalesce({name}i, 0) AS {name}i" for name in waves)
     return f"""r{n} AS (SELECT track_id, channel, excerpt, f, k, {sums} FROM c, range({(LONG - n) // hop + 1}) a(f), range({bins}) b(k) WHERE i >= f * {hop} AND i < f * {hop} + {n} GROUP BY 1, 2, 3, 4, 5),
-z{n} AS (SELECT g.*, f, k, {made} FROM g CROSS JOIN range({(LONG - n) // hop + 1}) a(f) CROSS JOIN range({bins}) b(k) LEFT JOIN r{n} USING (track_id, channel, excerpt, f, k))"""
+z{n} AS (SELECT g.*, f, k, {made} FROM g CROSS JOIN range({(LONG - n) // hop + 1}) a(f) CROSS JOIN range({bins}) b(k) LEFT JOIN r{n} USING (track_id, channel, excerpt, f, k) WHERE f * {hop} < extent)"""
 
 
-LONG_CLIPS = f"""c AS (SELECT track_id, channel, sample_ix // {LONG} AS excerpt, sample_ix % {LONG} AS i, x, y FROM pairsig), g AS (SELECT DISTINCT track_id, channel, excerpt FROM c)"""
+LONG_CLIPS = f"""c AS (SELECT track_id, channel, sample_ix // {LONG} AS excerpt, sample_ix % {LONG} AS i, x, y FROM pairsig), g AS (SELECT track_id, channel, excerpt, max(i) + 1 AS extent FROM c GROUP BY 1, 2, 3)"""
 
 
 def multires_sql(sizes: tuple[int, ...]) -> str:
@@ -147,7 +147,7 @@ d{n} AS (SELECT *, p - t - lag(p - t) OVER (PARTITION BY track_id, channel, exce
 b{n} AS (SELECT track_id, channel, excerpt, f, band, sum((p - t) * (p - t)) AS ee, sum(t * t) AS tt, sum(p * p) AS pp, avg(pow(ln(1 + p / sqrt(fl / nb)) - ln(1 + t / sqrt(fl / nb)), 2)) AS ll, sum(d * d) AS dd, max(fl) AS fl FROM d{n} GROUP BY 1, 2, 3, 4, 5),
 a{n} AS (SELECT track_id, channel, excerpt, band, avg(ee) AS ee, avg(tt) + max(fl) AS den, avg(ll) AS ll, avg(pow(sqrt(pp + fl) - sqrt(tt + fl), 2)) AS env, avg(dd) AS dd FROM b{n} GROUP BY 1, 2, 3, 4),
 e{n} AS (SELECT track_id, channel, excerpt, CAST({n} AS INT) AS size, band, unnest(['amplitude', 'log_shape', 'envelope', 'dynamics']) AS component,
- unnest([sqrt(ee / den + 1e-6) - 1e-3, sqrt(ll + 1e-6) - 1e-3, sqrt(env / den + 1e-6) - 1e-3, sqrt(dd / den + 1e-6) - 1e-3]) AS v, unnest([1.0::DOUBLE, 0.25, 0.1, 0.25]) AS w FROM a{n})""")
+ unnest([sqrt(ee / den + 1e-6) - 1e-3, sqrt(ll + 1e-6) - 1e-3, sqrt(env / den + 1e-6) - 1e-3, sqrt(coalesce(dd, 0) / den + 1e-6) - 1e-3]) AS v, unnest([1.0::DOUBLE, 0.25, 0.1, 0.25]) AS w FROM a{n})""")
         ends.append(f"SELECT * FROM e{n}")
     weight = f"v * w / {len(sizes)}.0 * (CASE WHEN band = 0 THEN 0.25 ELSE 1 END / 4.25::DOUBLE)"
     return "WITH " + ",\n".join(steps) + f"\nSELECT track_id, channel, excerpt, size, CAST(band AS INT) AS band, component, {fx('v')} AS value, {fx(weight)} AS weighted FROM ({' UNION ALL '.join(ends)})"
@@ -313,10 +313,10 @@ def f43(spark, sf):
 
 @query("f50_longform_score", with_ctes("pairsig", body=f"""
 WITH c AS (SELECT track_id, channel, sample_ix // 32 AS excerpt, sample_ix % 32 AS i, x, y - x AS e FROM pairsig),
-z AS (SELECT c.track_id, c.channel, c.excerpt, k, sum(x * cos(2 * pi() * k * i / 32)) / 32 AS xr, sum(x * sin(2 * pi() * k * i / 32)) / 32 AS xi, sum(e * cos(2 * pi() * k * i / 32)) / 32 AS er, sum(e * sin(2 * pi() * k * i / 32)) / 32 AS ei
+z AS (SELECT c.track_id, c.channel, c.excerpt, k, sum(x * cos(2 * pi() * k * i / 32)) / 32 AS xr, sum(x * sin(2 * pi() * k * i / 32)) / 32 AS xi, sum(e * cos(2 * pi() * k * i / 32)) / 32 AS er, sum(e * sin(2 * pi() * k * i / 32)) / 32 AS ei, count(*) AS n
  FROM c, range(17) g(k) GROUP BY 1, 2, 3, 4), b AS (SELECT *, k * 1500 AS hz, CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END AS w FROM z)
 SELECT track_id, channel, excerpt, CASE WHEN hz < 4000 THEN 0 WHEN hz < 8000 THEN 4000 WHEN hz < 12000 THEN 8000 WHEN hz < 16000 THEN 12000 ELSE 16000 END AS band,
- {fx('sqrt(sum(w * (xr * xr + xi * xi)))')} AS reference_rms, {fx('sqrt(sum(w * (er * er + ei * ei)))')} AS error_rms FROM b GROUP BY 1, 2, 3, 4"""))
+ {fx('sqrt(sum(w * (xr * xr + xi * xi)) * 32 / max(n))')} AS reference_rms, {fx('sqrt(sum(w * (er * er + ei * ei)) * 32 / max(n))')} AS error_rms FROM b GROUP BY 1, 2, 3, 4"""))
 def f50(spark, sf):
     return fixed(sg.longform_score(clips(spark, sf), SK, [("y", "x")], 48000, 32), ["reference_rms", "error_rms"])
 
