@@ -40,6 +40,8 @@ NOTICES = (
     ("all rights reserved", "reserved"),
     ("this is free and unencumbered software released into the public domain", "public-domain"),
 )
+#: Words of the notices above that name the licence.
+NAMES = ("apache", "mit", "gnu", "lesser", "general", "public", "creative", "commons", "attribution", "cc", "by", "mozilla", "unencumbered", "domain")
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 _IN = rb"0-9a-z\x80-\xff"
@@ -57,11 +59,17 @@ def pieces_of(notice: str) -> list[tuple[int, str]]:
 
 
 class Finder:
-    def __init__(self, notices: Sequence[tuple[str, str]] = NOTICES, phrases: Sequence[tuple[str, str]] = PHRASES):
+    def __init__(self, notices: Sequence[tuple[str, str]] = NOTICES, phrases: Sequence[tuple[str, str]] = PHRASES, names: Sequence[str] = NAMES):
         import ahocorasick
         import regex
 
-        self.notices = [(n, label, edits_of(n), regex.compile(f"(?e)(?:{regex.escape(n, special_only=True, literal_spaces=True)}){{e<={edits_of(n)}}}")) for n, label in notices]
+        def near(text: str, edits: int) -> str:
+            return f"(?:{regex.escape(text, special_only=True, literal_spaces=True)}){{e<={edits}}}"
+
+        def names_in(notice: str) -> list:
+            return [regex.compile(f"(?<![a-z]){near(w, len(w) // 5)}(?![a-z])") for w in notice.split() if w in names]
+
+        self.notices = [(n, label, edits_of(n), regex.compile("(?e)" + near(n, edits_of(n))), names_in(n)) for n, label in notices]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for k, (notice, _) in enumerate(notices):
             for offset, piece in pieces_of(notice):
@@ -77,17 +85,25 @@ class Finder:
         """(byte, label) of every exact phrase."""
         return sorted((m.start(), label) for first, pattern, label in self.phrases if first in lowered for m in pattern.finditer(lowered))
 
-    def matches(self, lowered: str) -> list[tuple[int, int, str, int]]:
-        """(start, end, label, edits) of every notice within its edits, in code points."""
+    def _verified(self, k: int, lowered: str, low: int, high: int) -> Iterator[tuple[int, int, str, int, int]]:
+        notice, label, _, pattern, names = self.notices[k]
+        while match := pattern.search(lowered, low, high):
+            if all(name.search(match.group()) for name in names):
+                yield match.start(), match.end(), label, sum(match.fuzzy_counts), len(notice)
+                low = match.end()
+            else:  # another licence's name: a right one may still begin inside
+                low = match.start() + 1
+
+    def matches(self, lowered: str) -> list[tuple[int, int, str, int, int]]:
+        """(start, end, label, edits, length of the notice) of every notice within its edits, in code points."""
         windows: dict[int, list[list[int]]] = {}
         for last, (length, places) in self.seeds.iter(lowered):
             for k, offset in places:
-                notice, _, edits, _ = self.notices[k]
+                notice, _, edits, *_ = self.notices[k]
                 low = max(0, last + 1 - length - offset - edits)
                 windows.setdefault(k, []).append([low, min(len(lowered), low + len(notice) + 2 * edits)])
         found = []
         for k, spans in windows.items():
-            _, label, edits, pattern = self.notices[k]
             spans.sort()
             joined = [spans[0]]
             for low, high in spans[1:]:
@@ -96,7 +112,7 @@ class Finder:
                 else:
                     joined.append([low, high])
             for low, high in joined:
-                found += [(m.start(), m.end(), label, sum(m.fuzzy_counts)) for m in pattern.finditer(lowered, low, high)]
+                found += self._verified(k, lowered, low, high)
         return sorted(found)
 
 
@@ -107,7 +123,6 @@ def scan(docs: DataFrame, notices: Sequence[tuple[str, str]] = NOTICES, phrases:
     """
     bounded_batches(docs.sparkSession)
     notices, phrases = tuple(notices), tuple(phrases)
-    longest = {label: max(len(n) for n, x in notices if x == label) for _, label in notices}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = Finder(notices, phrases)
@@ -122,8 +137,8 @@ def scan(docs: DataFrame, notices: Sequence[tuple[str, str]] = NOTICES, phrases:
                 words = np.searchsorted(starts, [b for b, _ in places]).tolist()
                 found = finder.matches(lowered.decode())
                 base = {label for _, label in places}
-                score = 1.0 if places else max((1 - e / longest[label] for _, _, label, e in found), default=0.0)
-                out.append((len(starts), len(places), words[0] if words else None, words[-1] if words else None, ",".join(sorted(base)), ",".join(sorted(base | {m[2] for m in found})), max(0.0, score), ",".join(f"{label}:{a}:{b}:{e}" for a, b, label, e in found)))
+                score = 1.0 if places else max((1 - e / size for *_, e, size in found), default=0.0)
+                out.append((len(starts), len(places), words[0] if words else None, words[-1] if words else None, ",".join(sorted(base)), ",".join(sorted(base | {m[2] for m in found})), max(0.0, score), ",".join(f"{label}:{a}:{b}:{e}" for a, b, label, e, _ in found)))
             rows = pd.DataFrame(out, columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
             yield rows.assign(doc_id=frame["doc_id"].to_numpy(), first_word=rows["first_word"].astype("Int64"), last_word=rows["last_word"].astype("Int64"))
 
