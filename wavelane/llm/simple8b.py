@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -132,7 +133,7 @@ class UnitEncoder:
     The byte-level pre-tokenizer always parts a text before a space that follows another character
     and is no first one of several spaces, and between a letter and one of ``MARKS``. Units cut there
     are given to the library once, many in one text with line feeds between them, and kept; texts
-    with two spaces in a row, or with other white space, go to it whole.
+    with two spaces in a row, with other white space or with an added token go to it whole.
     """
 
     MARKS = ",.!?;:|$%&*#"
@@ -142,11 +143,11 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         (self.feed,) = self.library.encode("\n", add_special_tokens=False).ids
-        # The cache outlives the task in a reused worker process; units are held without their space.
-        store = vars(sys.modules["tokenizers"]).setdefault("_unit_ids", {})
-        self.known: dict[str, bytes] = store.setdefault(path, {})
+        # The cache outlives the task in a reused worker process, in a module made for it; units are held without their space.
+        store = sys.modules.setdefault("_token_unit_cache", types.ModuleType("_token_unit_cache"))
+        self.known: dict[str, bytes] = vars(store).setdefault(path, {})
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -192,7 +193,7 @@ class UnitEncoder:
             kept = {k: v for k, v in known.items() if len(k) <= 6}  # short words come back soonest
             known.clear()
             known.update(kept if len(kept) < CACHED // 2 else {})
-        parts = [t.split(" ") if t and "  " not in t and not any(c in t for c in OTHER_SPACES) else None for t in texts]
+        parts = [t.split(" ") if t and "  " not in t and not any(c in t for c in OTHER_SPACES) and not any(a in t for a in self.added) else None for t in texts]
         unknown = set().union(*[p[1:] for p in parts if p]).difference(known)
         if unknown:
             self._learn(unknown)
