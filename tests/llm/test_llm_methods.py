@@ -214,6 +214,17 @@ def test_likeness_of_very_long_texts(spark):
     assert r.ab < 0.4 and 0.3 < r.half < 0.7 and r.so < 0.4 and r.ss == 1.0
 
 
+def test_added_tokens_are_read_as_the_library_does():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    library, encoder = Tokenizer.from_file(path), simple8b.UnitEncoder(path)
+    texts = ["plain words", "before <|endoftext|> after", "<|endoftext|>", "a<|endoftext|>b <|endoftext", ""]
+    for text, got in zip(texts, encoder(texts)):
+        assert np.frombuffer(got, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(encoder(texts)[1], dtype="<u4")
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 61, 5000):
@@ -248,6 +259,11 @@ def test_token_files(spark, documents, texts):
         at += len(ids)
 
 
+def borders_and_names(notice):
+    """Places of the words that name the licence, with one on each side: they tell notices apart, so no edits go there."""
+    return {i for w in notices.NAMES for m in re.finditer(rf"\b{w}\b", notice) for i in range(m.start() - 1, m.end() + 1)}
+
+
 def test_notices_within_their_edits():
     finder = notices.Finder()
     for text, label, edits in [("all rghts reserved.", "reserved", 1), ("Licensed under the Apche Licence".lower(), "apache", 2), ("released under the mit license", "mit", 0)]:
@@ -256,12 +272,45 @@ def test_notices_within_their_edits():
     rng = random.Random(2)
     for notice, label in notices.NOTICES:
         edited = list(notice)
+        named = borders_and_names(notice)
         for _ in range(notices.edits_of(notice)):
-            edited[rng.randrange(len(edited))] = "q"
+            edited[rng.choice([i for i in range(len(edited)) if i not in named])] = "q"
         found = finder.matches("some words " + "".join(edited) + " and more")
         assert any(m[2] == label and 11 - m[3] <= m[0] <= 11 + m[3] for m in found), notice
 
 
+def test_other_licences_names_are_told_apart():
+    finder = notices.Finder()
+    for name in ("gpl", "bsd", "isc", "mpl", "lgpl", "zlib", "cc0", "wtf"):
+        for text in (f"released under the {name} license", f"licensed under the {name} license", f"licensed under {name}"):
+            assert finder.matches(text) == [], text
+    assert [m[2] for m in finder.matches("released under the bsd license released under the mit licence")] == ["mit"]
+    assert {m[2] for m in finder.matches("under the terms of the gnu general public license")} <= {"gpl"}
+    # A plain edit-distance search over all stretches agrees on what is a notice and on its edits.
+    rng = random.Random(12)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    for notice, label in [("released under the mit license", "mit"), ("all rights reserved", "reserved"), ("licensed under cc by", "cc-by")]:
+        for _ in range(12):
+            text = list(notice)
+            for _ in range(rng.randint(0, notices.edits_of(notice) + 2)):
+                at = rng.randrange(len(text))
+                text[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "zz"])
+            text = "here " + "".join(text) + " there"
+            stretches = [text[i:j] for i in range(len(text)) for j in range(i + len(notice) - 4, min(len(text), i + len(notice) + 4) + 1)]
+            named = [w for w in notice.split() if w in notices.NAMES]
+            near = [s for s in stretches if distance(s, notice) <= notices.edits_of(notice)]
+            want = any(all(re.search(rf"(?<![a-z]){w}(?![a-z])", s) for w in named) for s in near)
+            assert any(m[2] == label for m in finder.matches(text)) == want, text
+
+
 def test_adjacent_notices_are_all_found():
     finder = notices.Finder()
     assert [m[:2] for m in finder.matches("all rights reservd all rights reserved")] == [(0, 18), (19, 38)]
@@ -271,7 +320,8 @@ def test_adjacent_notices_are_all_found():
             text, starts = "", []
             for k in range(12):
                 edited = list(notice)
-                for p in rng.sample(range(4, len(notice) - 4), (notices.edits_of(notice), 0, 1)[k % 3]):
+                free = [i for i in range(4, len(notice) - 4) if i not in borders_and_names(notice)]
+                for p in rng.sample(free, (notices.edits_of(notice), 0, 1)[k % 3]):
                     edited[p] = "q"
                 starts.append(len(text))
                 text += "".join(edited) + gap
