@@ -43,7 +43,9 @@ def paragraphs(text: Column) -> Column:
 def sums(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """``keys`` with ``exact`` and ``wide`` (arrays of bigint) and ``clauses``: the summed vectors of each key's texts."""
     lines = rows.select(*keys, F.explode(paragraphs(F.col(text))).alias("p"))
-    clauses = lines.select(*keys, F.when(F.col("p") != "", F.sha2("p", 256)).alias("h"), F.posexplode(F.split("p", r"[.,;:!?|]+\s+")).alias("i", "c"))
+    # The digest is taken before a line becomes its clauses, so that they don't carry the line along.
+    hashed = lines.select(*keys, F.when(F.col("p") != "", F.sha2("p", 256)).alias("h"), F.split("p", r"[.,;:!?|]+\s+").alias("cs"))
+    clauses = hashed.select(*keys, "h", F.posexplode("cs").alias("i", "c"))
     there, first = F.col("h").isNotNull(), F.col("h").isNotNull() & (F.col("i") == 0)
     exact = [F.sum(F.when(first, F.conv(F.substring("h", 8 * j + 1, 8), 16, 10).cast("bigint")).otherwise(0)).alias(f"e{j}") for j in range(EXACT)]
     wide = []
