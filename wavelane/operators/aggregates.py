@@ -22,6 +22,11 @@ def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
 
 
+def recording_value(value: str) -> Column:
+    """Mean of a recording's clips as a double. Decimals are added exactly, so equal clips of two arms tie in any order."""
+    return F.sum(value).cast("double") / F.count(value)
+
+
 # --- A01, A02, A18: manifest counts -------------------------------------------------------------
 
 
@@ -335,7 +340,7 @@ def factorial_contrasts(cells: DataFrame, contrasts: dict[str, tuple[str, str]],
 
     Recordings must be present in all arms of a group; an unmatched one fails the job.
     """
-    wide = cells.groupBy("group", "track_id").pivot("arm", list(arms)).agg(F.avg("value"))
+    wide = cells.groupBy("group", "track_id").pivot("arm", list(arms)).agg(recording_value("value"))
     complete = reduce(lambda a, b: a & b, [F.col(a).isNotNull() for a in arms])
     wide = wide.filter(F.when(complete, F.lit(True)).otherwise(F.raise_error(F.lit("unmatched recording populations")).cast("boolean")))
     long = wide.select(
@@ -550,7 +555,7 @@ def parity_evidence(cases: DataFrame, expected: DataFrame, budgets: dict[str, fl
 
 def variant_vs_control(df: DataFrame, control: str, metric: str) -> DataFrame:
     """Each variant against the named control per group: means, delta %, median, wins, losses."""
-    rec = df.groupBy("group", "variant", "track_id").agg(F.avg(metric).alias("v"))
+    rec = df.groupBy("group", "variant", "track_id").agg(recording_value(metric).alias("v"))
     base = rec.filter(F.col("variant") == control).select("group", "track_id", F.col("v").alias("o"))
     both = rec.join(base, ["group", "track_id"], "left").withColumn("d", F.col("v") - F.col("o"))
     main = both.groupBy("group", "variant").agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from wavelane.functions.numeric import fix
@@ -264,10 +266,18 @@ CELLS_SQL = """SELECT unnest(['raw_full','raw_mid','log_full','log_mid']) AS arm
   unnest([cents * pct / 1e7, cents * (pct + row_id % 3 - 1) / 1e7, cents * (pct - row_id % 2) / 1e7, cents * (pct * 2 - 1) / 1e7]) AS value FROM metric_rows"""
 
 
-def cells(spark, sf):
+# The same values in units of 1e-7: their sums are exact, so that signs of differences don't hang on the order of rows.
+UNITS_SQL = """SELECT unnest(['raw_full','raw_mid','log_full','log_mid']) AS arm, codec_id AS "group", track_id,
+  unnest([cents * pct, cents * (pct + row_id % 3 - 1), cents * (pct - row_id % 2), cents * (pct * 2 - 1)]) AS units FROM metric_rows"""
+UNITS_MEAN = "sum(units)::DOUBLE / 1e7 / count(*)"
+
+
+def cells(spark, sf, exact=False):
+    """Clip rows of a 2x2 design; ``exact`` gives the values as decimals."""
     c, p, r = F.col("cents"), F.col("pct"), F.col("row_id")
     arm = [("raw_full", c * p), ("raw_mid", c * (p + r % 3 - 1)), ("log_full", c * (p - r % 2)), ("log_mid", c * (p * 2 - 1))]
-    exploded = F.explode(F.array(*[F.struct(F.lit(n).alias("arm"), (v / F.lit(1e7)).alias("value")) for n, v in arm]))
+    value = (lambda v: v.cast("decimal(20,0)") * F.lit(Decimal("1e-7").quantize(Decimal("1e-7")))) if exact else (lambda v: v / F.lit(1e7))
+    exploded = F.explode(F.array(*[F.struct(F.lit(n).alias("arm"), value(v).alias("value")) for n, v in arm]))
     return load(spark, sf, "metric_rows").select(F.col("codec_id").alias("group"), "track_id", exploded.alias("x")).select("x.arm", "group", "track_id", "x.value")
 
 
@@ -276,13 +286,13 @@ CONTRASTS = {"compression": ("log_full", "raw_full"), "compression_mid": ("log_m
 
 
 @query("a19_factorial_contrasts", with_ctes("metric_rows", body=f"""
-WITH cells AS ({CELLS_SQL}), r AS (SELECT arm, "group", track_id, avg(value) AS v FROM cells GROUP BY 1, 2, 3),
+WITH cells AS ({UNITS_SQL}), r AS (SELECT arm, "group", track_id, {UNITS_MEAN} AS v FROM cells GROUP BY 1, 2, 3),
 k(contrast, a, b) AS (VALUES {', '.join(f"('{n}','{a}','{b}')" for n, (a, b) in CONTRASTS.items())}),
 d AS (SELECT contrast, x."group", x.v AS new, y.v AS old, x.v - y.v AS d FROM k JOIN r x ON x.arm = k.a JOIN r y ON y.arm = k.b AND x."group" = y."group" AND x.track_id = y.track_id)
 SELECT contrast, "group", {fx('avg(new) - avg(old)')} AS difference, {fx('(avg(new) / nullif(avg(old), 0) - 1) * 100', 4)} AS delta_pct,
  count(*) FILTER (d < 0) AS wins, count(*) FILTER (d > 0) AS losses, count(*) FILTER (d = 0) AS ties, {fx('median(d)')} AS median_difference FROM d GROUP BY 1, 2"""))
 def a19(spark, sf):
-    out = agg.factorial_contrasts(cells(spark, sf), CONTRASTS, ["raw_full", "raw_mid", "log_full", "log_mid"])
+    out = agg.factorial_contrasts(cells(spark, sf, exact=True), CONTRASTS, ["raw_full", "raw_mid", "log_full", "log_mid"])
     return fixed(fixed(out, ["difference", "median_difference"]), ["delta_pct"], 4)
 
 
@@ -495,12 +505,12 @@ def a43(spark, sf):
 
 
 @query("a44_variant_vs_control", with_ctes("metric_rows", body=f"""
-WITH cells AS ({CELLS_SQL}), r AS (SELECT "group", arm AS variant, track_id, avg(value) AS v FROM cells GROUP BY 1, 2, 3),
+WITH cells AS ({UNITS_SQL}), r AS (SELECT "group", arm AS variant, track_id, {UNITS_MEAN} AS v FROM cells GROUP BY 1, 2, 3),
 d AS (SELECT r."group", r.variant, r.v, o.v AS o, r.v - o.v AS d FROM r JOIN r o ON o.variant = 'raw_full' AND o."group" = r."group" AND o.track_id = r.track_id)
 SELECT "group", variant, {fx('avg(o)')} AS control, {fx('avg(v)')} AS candidate, {fx('(avg(v) / nullif(avg(o), 0) - 1) * 100', 4)} AS delta_pct,
  count(*) FILTER (d < 0) AS wins, count(*) FILTER (d > 0) AS losses, {fx('median(d)')} AS median_difference FROM d GROUP BY 1, 2"""))
 def a44(spark, sf):
-    out = agg.variant_vs_control(cells(spark, sf).withColumnRenamed("arm", "variant"), "raw_full", "value")
+    out = agg.variant_vs_control(cells(spark, sf, exact=True).withColumnRenamed("arm", "variant"), "raw_full", "value")
     return fixed(fixed(out, ["control", "candidate", "median_difference"]), ["delta_pct"], 4)
 
 
