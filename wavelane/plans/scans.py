@@ -155,7 +155,11 @@ def s11(spark, sf):
     return spark.read.parquet(f"{root}/data").groupBy("region").agg(F.count(F.lit(1)).alias("receipts"))
 
 
-TEXT = "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<{t}>(.*?)</{t}>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))"
+# As the parser reads references: these names and numbers may go without their semicolon. The ampersand comes last.
+TEXT = r"""regexp_extract(html, '<{t}>(.*?)</{t}>', 1)"""
+for pattern, sign in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#0*39(?:;|([^0-9;])|$)", r"''\1"), ("&amp;?", "&"), (r"\s+", " ")):
+    TEXT = f"regexp_replace({TEXT}, '{pattern}', '{sign}', 'g')"
+TEXT = f"trim({TEXT})"
 
 
 @query("s12_publisher_fields", f"""
