@@ -24,6 +24,13 @@ def build(cpus: str = "*", shuffle: int = 8, memory: str = "12g") -> SparkSessio
     )
 
 
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bound Arrow batches by bytes as well, so that long arrays can't gather in one; a value the cluster has set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(name, None) is None:
+        spark.conf.set(name, str(size))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``."""
     context = df.sparkSession.sparkContext
