@@ -204,9 +204,15 @@ def slo_writer(sink: BatchSink, keys: Sequence[str], width: str, event_time: str
     """``foreachBatch`` function: the batch's counters and latency histogram per window."""
 
     def write(hops: DataFrame, batch: int) -> None:
-        windowed = hops.withColumn("window_start", F.window(event_time, width)["start"])
-        sink.put("counters", full_counters(hops, keys, width, event_time), batch)
-        sink.put("latency", latency_bins(windowed, [*keys, "window_start"]), batch)
+        held = hops.is_cached
+        hops.persist()  # else each table would run the batch's state processors again
+        try:
+            windowed = hops.withColumn("window_start", F.window(event_time, width)["start"])
+            sink.put("counters", full_counters(hops, keys, width, event_time), batch)
+            sink.put("latency", latency_bins(windowed, [*keys, "window_start"]), batch)
+        finally:
+            if not held:
+                hops.unpersist()
 
     return write
 
