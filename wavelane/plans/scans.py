@@ -12,6 +12,7 @@ from wavelane.operators import rules
 from wavelane.plans.adapters import load
 from wavelane.plans.registry import fx, query, with_ctes
 from wavelane.plans.streams import scratch
+from wavelane.session import cut_lineage
 from wavelane.sources import files, manifests, pages
 
 MANIFEST = "row_id bigint, track_id string, corpus string, split string, codec_id string, sampling_weight double"
@@ -112,7 +113,7 @@ def s07(spark, sf):
 SELECT corpus, split, count(*) AS rows, count(DISTINCT track_id) AS tracks FROM manifest GROUP BY 1, 2"""))
 def s08(spark, sf):
     """Every corpus becomes a published version of its own; the versions are read back."""
-    rows = load(spark, sf, "manifest").select("row_id", "track_id", "corpus", "split", "length_samples")
+    rows = cut_lineage(load(spark, sf, "manifest").select("row_id", "track_id", "corpus", "split", "length_samples"))  # made once for the five
     root, versions = scratch(spark), []
     for corpus in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"):  # the five corpora of the tables
         mine = rows.filter(F.col("corpus") == corpus)
