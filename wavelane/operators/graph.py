@@ -24,26 +24,55 @@ def alias_edges(df: DataFrame, row: str, keys: Sequence[str]) -> DataFrame:
 def alias_components(edges: DataFrame, row: str = "id", alias: str = "alias") -> DataFrame:
     """``row, component``: the smallest row id reachable through shared aliases.
 
-    Every row links to the smallest row of each of its aliases. A round lowers labels along the
-    links in both directions and then jumps to the label's own label, so chains shrink by
-    doubling. Stops when no label changes.
+    Every row links to the smallest row of each of its aliases; ``pair_components`` closes the links.
     """
-    distinct = edges.select(F.col(row).alias("id"), F.col(alias).alias("alias")).distinct()
-    hubs = distinct.groupBy("alias").agg(F.min("id").alias("hub"))
-    links = cut_lineage(distinct.join(hubs, "alias").select("id", "hub").distinct())
-    labels = links.groupBy("id").agg(F.min("hub").alias("label"))
-    while True:
-        up = links.join(labels, "id").groupBy(F.col("hub").alias("id")).agg(F.min("label").alias("label"))
-        raised = labels.unionByName(up).groupBy("id").agg(F.min("label").alias("label"))
-        down = links.join(raised.select(F.col("id").alias("hub"), "label"), "hub").groupBy("id").agg(F.min("label").alias("label"))
-        lowered = raised.unionByName(down).groupBy("id").agg(F.min("label").alias("label"))
-        parent = lowered.select(F.col("id").alias("label"), F.col("label").alias("_up"))
-        jumped = lowered.join(parent, "label").select("id", F.col("_up").alias("label"))
-        before = labels.select("id", F.col("label").alias("_old"))
-        step = cut_lineage(jumped.join(before, "id").select("id", "label", (F.col("label") != F.col("_old")).alias("_moved")))
-        labels = step.select("id", "label")
-        if step.filter("_moved").isEmpty():
-            return labels.select(F.col("id").alias(row), F.col("label").alias("component"))
+    known = edges.select(F.col(row).alias("a"), F.col(alias).alias("alias")).filter("a is not null and alias is not null")
+    hubs = known.groupBy("alias").agg(F.min("a").alias("b"))
+    return pair_components(known.join(hubs, "alias"), "a", "b", row)
+
+
+def pair_components(pairs: DataFrame, a: str, b: str, row: str = "id") -> DataFrame:
+    """``row, component``: the smallest id reachable from each id of ``a`` or ``b`` over the pairs.
+
+    An id beside NULL is there without a link. Ids become hashed numbers; in a round every number
+    goes over into the smallest number of itself and its neighbours, and links between the numbers
+    left make the next round's graph. The order is kept while it lets the smallest number swallow
+    stars, and drawn anew by a bijective hash every third round, so chains in any order shrink too:
+    the graph gets smaller by a factor, and all rounds together cost a few times the first. What
+    the rounds did is then followed from the last one back.
+    """
+    ids = pairs.select(F.explode(F.array(a, b)).alias("id")).filter("id is not null").distinct()
+    seed = 0
+    while True:  # another seed in the rare case that two ids share a number
+        names = cut_lineage(ids.withColumn("v", F.xxhash64(F.lit(seed), "id")))
+        if names.groupBy("v").count().filter("count > 1").isEmpty():
+            break
+        seed += 1
+    links = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    links = cut_lineage(links.select(F.xxhash64(F.lit(seed), a).alias("a"), F.xxhash64(F.lit(seed), b).alias("b")))
+    rounds = []
+    while not links.isEmpty():
+        fresh = lambda c, r=len(rounds): F.xxhash64(F.lit(r), c) if r % 3 == 2 else F.col(c)  # noqa: E731  (one number with a fixed seed: no two meet)
+        near = links.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("l"))
+        near = near.select(F.col("l.v").alias("v"), fresh("l.w").alias("w")).groupBy("v").agg(F.min("w").alias("w"))
+        step = cut_lineage(near.select("v", F.least(fresh("v"), "w").alias("to")))
+        left = links.join(step.select(F.col("v").alias("a"), F.col("to").alias("_a")), "a").join(step.select(F.col("v").alias("b"), F.col("to").alias("_b")), "b")
+        links = cut_lineage(left.filter("_a != _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+        rounds.append(step)
+    # A number is unique within its round: a component is the round and the number in which it ended.
+    ends = None
+    for r in range(len(rounds) - 1, -1, -1):
+        here = rounds[r].select("v", "to")
+        if ends is None:
+            ends = here.select("v", F.lit(r).alias("round"), F.col("to").alias("end"))
+        else:
+            later = ends.select(F.col("v").alias("to"), "round", "end")
+            ends = cut_lineage(here.join(later, "to", "left").select("v", F.coalesce("round", F.lit(r)).alias("round"), F.coalesce("end", "to").alias("end")))
+    if ends is None:
+        return names.select(F.col("id").alias(row), F.col("id").alias("component"))
+    found = cut_lineage(names.join(ends, "v", "left").select("id", "round", "end"))
+    least = found.filter("end is not null").groupBy("round", "end").agg(F.min("id").alias("least"))
+    return found.join(least, ["round", "end"], "left").select(F.col("id").alias(row), F.coalesce("least", "id").alias("component"))
 
 
 def component_roles(df: DataFrame, keys: Sequence[str], modulus: int = 5) -> DataFrame:
@@ -52,9 +81,9 @@ def component_roles(df: DataFrame, keys: Sequence[str], modulus: int = 5) -> Dat
     Members are tagged alias values; two members are connected when a row holds both.
     """
     tagged = df.select(*[F.concat(F.lit(f"{k}:"), F.col(k).cast("string")).alias(k) for k in keys]).distinct()
-    pair = F.concat_ws("|", *keys)
-    edges = tagged.select(F.explode(F.array(*keys)).alias("member"), pair.alias("pair"))
-    comp = alias_components(edges, "member", "pair")
+    members = F.array_compact(F.array(*keys))
+    pairs = tagged.select(F.get(members, F.lit(0)).alias("first"), F.explode(members).alias("other"))
+    comp = pair_components(pairs, "first", "other", "member")
     hashes = set_hash(comp, ["component"], F.col("member"))
     role = F.when(hash_integer(F.col("set_hash"), 13) % modulus == 0, "review").otherwise("fit")
     return comp.join(hashes, "component").select("member", "component", F.col("members").alias("size"), role.alias("role"))
