@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavelane.functions.numeric import clamp
-from wavelane.operators.intervals import locate_rank
 from wavelane.functions.ordinals import BLOCK, block, lagged, null_safe_join, running_extreme, running_sum, with_halo
 from wavelane.functions.scans import affine_scan
 
@@ -144,13 +143,22 @@ def evenly_spaced_crops(df: DataFrame, k: int, crop: int, support: int) -> DataF
     stops = F.concat(F.transform("_holes", lambda h: h["a"] - 1), F.array("_last"))
     begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("_holes", lambda h: h["z"] + 1))
     gaps = F.zip_with(begins, stops, lambda lo, hi: F.struct(F.greatest(lo, F.lit(0)).alias("lo"), F.least(hi, F.col("_last")).alias("hi")))
-    spans = rows.select("row_id", F.explode(gaps).alias("g")).select("row_id", "g.lo", "g.hi").filter("lo <= hi")
-    free = spans.groupBy("row_id").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("_n"))
-    fits = anchor.between(0, F.col("_last")) & ~anchor.between(F.col("reserved") - crop + 1, F.col("reserved") + crop - support - 1) & (F.coalesce("_n", F.lit(0)) >= k - 1)
-    checked = rows.join(free, "row_id", "left").filter(F.when(fits, True).otherwise(F.raise_error(F.lit("too few free crop starts beside the anchor")).cast("boolean")))
-    wanted = checked.select("row_id", "_n", F.explode(F.sequence(F.lit(1), F.lit(k - 1))).alias("position")).withColumn("rank", F.floor((2 * F.col("position") - 1) * F.col("_n") / (2 * (k - 1))).cast("bigint")) if k > 1 else None
-    first = checked.select("row_id", F.lit(0).alias("position"), anchor.alias("start"))
-    return first if wanted is None else first.unionByName(locate_rank(spans, ["row_id"], wanted).select("row_id", "position", "start"))
+    free = F.filter(gaps, lambda g: g["lo"] <= g["hi"])
+    sized = rows.withColumn("_free", free).withColumn("_n", F.aggregate("_free", F.lit(0).cast("bigint"), lambda n, g: n + g["hi"] - g["lo"] + 1))
+    fits = anchor.between(0, F.col("_last")) & ~anchor.between(F.col("reserved") - crop + 1, F.col("reserved") + crop - support - 1) & (F.col("_n") >= k - 1)
+    checked = sized.filter(F.when(fits, True).otherwise(F.raise_error(F.lit("too few free crop starts beside the anchor")).cast("boolean")))
+    placed = checked.select("row_id", "_free", anchor.cast("bigint").alias("_anchor"), "_n", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("position"))
+    rank = F.floor((2 * F.col("position") - 1) * F.col("_n") / max(1, 2 * (k - 1))).cast("bigint")
+    # A row has at most three gaps: the rank is counted down over them in the row itself.
+    nothing = F.struct(rank.alias("left"), F.lit(None).cast("bigint").alias("start"))
+
+    def pass_gap(at: Column, g: Column) -> Column:
+        size = g["hi"] - g["lo"] + 1
+        here = F.when(at["start"].isNull() & (at["left"] < size), g["lo"] + at["left"]).otherwise(at["start"])
+        return F.struct((at["left"] - size).alias("left"), here.alias("start"))
+
+    start = F.when(F.col("position") == 0, F.col("_anchor")).otherwise(F.aggregate("_free", nothing, pass_gap)["start"])
+    return placed.select("row_id", "position", start.alias("start"))
 
 
 def best_so_far(df: DataFrame, keys: list[str], epoch: str, primary: str, tie: str) -> DataFrame:
