@@ -184,21 +184,26 @@ def farthest_probe(start: Column, length: Column, crop: int, support: int) -> Co
 def repair_overlaps(specs: DataFrame, spans: DataFrame) -> DataFrame:
     """``spec_id, row_id, before, start, moved``: illegal crops go to the nearest unused legal start.
 
-    Ties go to the smaller start; invalid crops are placed in spec order after all valid ones. A
-    record is one manifest row with its crops and spans; its distinct starts are bounded by the
-    row's samples. Rows without an illegal crop never leave the JVM.
+    Ties go to the smaller start; invalid crops are placed in spec order after all valid ones.
     """
     legal = spans.groupBy("row_id").agg(F.collect_list(F.struct("lo", "hi")).alias("legal"))
-    joined = specs.select("spec_id", "row_id", "start").join(legal, "row_id")
+    return repair_rows(specs.select("spec_id", "row_id", "start").join(legal, "row_id"))
+
+
+def repair_rows(specs: DataFrame) -> DataFrame:
+    """``repair_overlaps`` of specs that bring the ``legal`` spans of their row.
+
+    A record is one manifest row with its crops and spans; its distinct starts are bounded by the
+    row's samples. Only rows with several crops, one of them illegal, leave the JVM.
+    """
     ok = F.exists("legal", lambda s: (s["lo"] <= F.col("start")) & (F.col("start") <= s["hi"]))
-    rows = joined.withColumn("ok", ok).groupBy("row_id").agg(
+    rows = specs.withColumn("ok", ok).groupBy("row_id").agg(
         F.first("legal").alias("legal"), F.array_sort(F.collect_list(F.struct("spec_id", "start", "ok"))).alias("crops"),
-        F.countDistinct(F.when(F.col("ok"), F.col("start"))).alias("_distinct"), F.count(F.when(F.col("ok"), 1)).alias("_valid"),
     )
+    valid = F.transform(F.filter("crops", lambda c: c["ok"]), lambda c: c["start"])
     rows = rows.filter(
-        F.when(F.col("_distinct") == F.col("_valid"), F.lit(True)).otherwise(F.raise_error(F.lit("two given crops share one start")).cast("boolean"))
+        F.when(F.size(F.array_distinct(valid)) == F.size(valid), F.lit(True)).otherwise(F.raise_error(F.lit("two given crops share one start")).cast("boolean"))
     )
-    broken = F.exists("crops", lambda c: ~c["ok"])
 
     def place(batches):
         for pdf in batches:
@@ -211,10 +216,14 @@ def repair_overlaps(specs: DataFrame, spans: DataFrame) -> DataFrame:
                     out.append((c["spec_id"], row_id, c["start"], best, not c["ok"]))
             yield pd.DataFrame(out, columns=["spec_id", "row_id", "before", "start", "moved"])
 
+    broken = F.exists("crops", lambda c: ~c["ok"])
+    several = broken & (F.size("crops") > 1)
     schema = "spec_id bigint, row_id bigint, before bigint, start bigint, moved boolean"
-    fixed = rows.filter(broken).select("row_id", "legal", "crops").mapInPandas(place, schema)
-    kept = rows.filter(~broken).select("row_id", F.explode("crops").alias("c")).select(
-        "c.spec_id", "row_id", F.col("c.start").alias("before"), "c.start", F.lit(False).alias("moved")
+    fixed = rows.filter(several).select("row_id", "legal", "crops").mapInPandas(place, schema)
+    inside = lambda s: F.least(s["hi"], F.greatest(s["lo"], F.col("crops")[0]["start"]))
+    near = F.array_min(F.transform("legal", lambda s: F.struct(F.abs(inside(s) - F.col("crops")[0]["start"]).alias("far"), inside(s).alias("at"))))["at"]
+    kept = rows.filter(~several).select("row_id", "crops", F.when(broken, near).alias("at")).select("row_id", "at", F.explode("crops").alias("c")).select(
+        "c.spec_id", "row_id", F.col("c.start").alias("before"), F.coalesce("at", "c.start").alias("start"), (~F.col("c.ok")).alias("moved")
     )
     return kept.unionByName(fixed)
 

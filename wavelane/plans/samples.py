@@ -10,6 +10,7 @@ from wavelane.functions.ordinals import block
 from wavelane.operators import intervals, sampling
 from wavelane.plans.adapters import load
 from wavelane.plans.registry import fx, hu, hx, query, with_ctes
+from wavelane.session import cut_lineage
 
 
 @query("x01_assign_split", with_ctes("catalog", body=f"""
@@ -73,18 +74,26 @@ def x07(spark, sf):
     return out.withColumn("gain_db", fix(F.col("gain_db")))
 
 
-def starts(spark, sf, crop):
-    """Eligible manifest rows and their legal start spans outside protected crops."""
+def legal(spark, sf, crop):
+    """Eligible manifest rows with their legal start spans outside protected crops."""
     m = load(spark, sf, "manifest").filter((F.col("split") == "train") & ~F.col("held_out") & (F.col("start_sample") >= 0) & F.col("sample_rate").isin(44100, 48000))
-    rows = m.withColumn("source_id", F.split("source_checksum", "-")[1].cast("bigint")).withColumn("origin", F.col("start_sample"))
+    rows = m.select(
+        "row_id", F.split("source_checksum", "-")[1].cast("bigint").alias("source_id"), F.col("start_sample").alias("origin"), "length_samples", "sample_rate",
+        "corpus", "track_id", "sampling_weight",
+    )
     protected = load(spark, sf, "crops").filter(F.col("codec_id") == "signup")
-    return rows, intervals.allowed_starts(rows, protected, "source_id", crop)
+    return intervals.legal_starts(rows, protected, "source_id", crop)
+
+
+def spans_of(rows):
+    """The legal spans of rows one by one."""
+    return rows.select("row_id", F.explode("legal").alias("s")).select("row_id", "s.lo", "s.hi")
 
 
 @query("x08_balanced_schedule")
 def x08(spark, sf):
-    rows, spans = starts(spark, sf, 32768)
-    return sampling.balanced_schedule(rows, spans, {"ASIA": 4, "EUROPE": 1}, 500, 20261014)
+    rows = cut_lineage(legal(spark, sf, 32768))  # made once for rows and spans
+    return sampling.balanced_schedule(rows, spans_of(rows), {"ASIA": 4, "EUROPE": 1}, 500, 20261014)
 
 
 @query("x09_deterministic_segments", with_ctes("manifest", body=f"""
