@@ -203,8 +203,9 @@ def balanced_schedule(rows: DataFrame, spans: DataFrame, pattern: dict[str, int]
         part = eligible.filter(F.col(corpus) == name)
         order = cycled_tracks(part.select(track).distinct(), name, track, count, steps, seed)
         order = cut_lineage(order).withColumn("_u", hash_uniform(seed, name, "row", F.col("k")))
-        cum = running_sum(part.select(track, row, weight, "_room"), [track], row, F.col(weight), "_hi", block(row))
-        total = part.groupBy(track).agg(F.sum(weight).alias("_total"))
+        drawn = part.join(order.select(track).distinct(), track)  # only recordings that are drawn are numbered
+        cum = running_sum(drawn.select(track, row, weight, "_room"), [track], row, F.col(weight), "_hi", block(row))
+        total = drawn.groupBy(track).agg(F.sum(weight).alias("_total"))
         pool = cum.join(total, track).withColumn("_lo", F.col("_hi") - F.col(weight))
         target = F.col("_u") * F.col("_total")
         hit = order.join(pool, track).filter((target >= F.col("_lo")) & (target < F.col("_hi")))
