@@ -172,6 +172,19 @@ def _tables(spark: SparkSession, sf: str, text: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf}/{n}.parquet") for n in names if "{" + n + "}" in text}
 
 
+#: Rows of a part that one task aggregates at once.
+PART_ROWS = 1 << 19
+
+
+def dealt(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by their key to parts of about ``PART_ROWS`` rows, so a task's hash tables don't grow with the table.
+
+    Keys that hardly repeat are aggregated after the exchange only: tables before it would hold every row.
+    """
+    parts = df.count() // PART_ROWS + 1
+    return df.repartition(parts, key) if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else df.repartition(key)
+
+
 def _same_text(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """Run a row-level adapter's text on Spark."""
     text = SQL[name]
@@ -183,6 +196,8 @@ def _same_text(spark: SparkSession, sf: str, name: str) -> DataFrame:
     for table in ("lineitem", "orders", "customer", "nation", "region", "documents", "labels", "events"):
         text = text.replace(f"FROM {table}", f"FROM {{{table}}}").replace(f"JOIN {table} ", f"JOIN {{{table}}} ")
     frames = _tables(spark, sf, text)
+    if name == "metric_rows":
+        frames["lineitem"] = dealt(spark, frames["lineitem"], "l_orderkey")  # the key of the join with orders as well
     if "FROM metric_rows" in text:
         text = text.replace("FROM metric_rows", "FROM {metric_rows}")
         frames["metric_rows"] = load(spark, sf, "metric_rows")
