@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavelane.functions.hashing import hash_bucket, text_hash
@@ -81,9 +81,14 @@ def merge_catalogs(catalogs: Sequence[DataFrame]) -> DataFrame:
 
 def common_metrics(df: DataFrame, keys: Sequence[str], row: str, metric: str) -> DataFrame:
     """Metric names present on every row of a key."""
-    per = df.groupBy(*keys, metric).agg(F.countDistinct(row).alias("rows"))
-    total = df.groupBy(*keys).agg(F.countDistinct(row).alias("_n"))
-    return null_safe_join(per, total, list(keys)).filter(F.col("rows") == F.col("_n")).select(*keys, metric, "rows")
+    held = df.groupBy(*keys, row).agg(F.collect_set(metric).alias("_m"), F.max(F.col(metric).isNull()).alias("_none"))
+    named = F.transform("_m", lambda m: F.struct(m.alias("m"), F.lit(False).alias("all")))
+    none = F.lit(None).cast(df.schema[metric].dataType)
+    # Beside its names a row gives one entry that counts it, and one for a null name.
+    entries = F.concat(named, F.array(F.struct(none.alias("m"), F.lit(True).alias("all"))), F.when(F.col("_none"), F.array(F.struct(none.alias("m"), F.lit(False).alias("all")))).otherwise(F.array()))
+    counts = held.filter(F.col(row).isNotNull()).select(*keys, F.explode(entries).alias("_e")).groupBy(*keys, "_e").agg(F.count(F.lit(1)).alias("rows"))
+    whole = F.max(F.when(F.col("_e.all"), F.col("rows"))).over(Window.partitionBy(*keys))
+    return counts.withColumn("_n", whole).filter(~F.col("_e.all") & (F.col("rows") == F.col("_n"))).select(*keys, F.col("_e.m").alias(metric), "rows")
 
 
 def hash_pick(df: DataFrame, keys: Sequence[str], distinct: str, row: str, seed: str, k: int) -> DataFrame:
