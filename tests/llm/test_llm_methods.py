@@ -245,6 +245,27 @@ def test_units_equal_the_library():
     assert [np.frombuffer(b, dtype="<u4").tolist() for b in encoder(made)] == want
 
 
+def test_line_feeds_and_letters_in_units():
+    encoder = simple8b.UnitEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder.known.clear()
+    lines = ["One.\nTwo three,\nÉcoute日本", "One.\n\nTwo", "\nThree\n", "a\n two"]
+    rng = random.Random(9)
+    parts = [" ", "\n", "\n\n", " \n", "\n ", "the", "Über", "é", "日", "٣", "ﬁ", "e\u0301", "n't", ".", "#"]
+    made = lines + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(4000)]
+    want = [e.ids for e in encoder.library.encode_batch(made, add_special_tokens=False)]
+    for some in (lines, made):
+        ids, counts = encoder.ids_of(some)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want[: len(some)]
+        assert some is made or not any("\n" in unit for unit in encoder.known)
+
+
+def test_ids_beside_a_null_id_are_exact(spark):
+    path = own_path(spark, "blocks")
+    docs = spark.createDataFrame([(None, "no id"), (2**53 + 1, "odd"), (2**62 + 3, "large")], "doc_id bigint, text string").coalesce(1)
+    simple8b.write(docs, path, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    assert {r.doc_id for r in simple8b.read(spark, path).collect()} == {None, 2**53 + 1, 2**62 + 3}
+
+
 def test_token_files(spark, documents, texts):
     from tokenizers import Tokenizer
 
